@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.llm import langid, quality_model, quality_rules
-from catalogkit.llm.common import id_remainder, table
+from catalogkit.llm import langid, licenses, mixing, packing, quality_model, quality_rules
+from catalogkit.llm.common import id_remainder, stored, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=(F.col("doc_id"), held_out.alias("held_out"))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -33,9 +37,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(stats, model).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), keep=(F.col("doc_id"),))
+    return packing.pack(made).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = stored(mixing.measured(table(spark, sf_dir, "documents")).select("doc_id", "source", "__size", "__v"))
+    mixed = mixing.apply_limits(slim, mixing.limits(slim))
+    return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_source_mixing": op10_source_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op10_source_mixing": mixing.ORACLE}
