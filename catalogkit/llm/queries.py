@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.llm import langid, licenses, mixing, packing, quality_model, quality_rules
+from catalogkit.llm import langid, licenses, mixing, packing, quality_model, quality_rules, substring_dedup
 from catalogkit.llm.common import id_remainder, stored, table
 
 
@@ -48,6 +48,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(made).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = stored(mixing.measured(table(spark, sf_dir, "documents")).select("doc_id", "source", "__size", "__v"))
     mixed = mixing.apply_limits(slim, mixing.limits(slim))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op10_source_mixing": mixing.ORACLE}
