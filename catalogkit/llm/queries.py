@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.llm import langid, licenses, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, substring_dedup
+from catalogkit.llm import exact_dedup, langid, licenses, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, substring_dedup
 from catalogkit.llm.common import id_remainder, stored, table
 
 
@@ -22,6 +22,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -71,6 +76,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
@@ -79,4 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op4_line_dedup": line_dedup.oracle(), "op10_source_mixing": mixing.ORACLE}
+EXACT_DEDUP = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) kept, sha256(t) text_sha256 FROM d"""
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op3_exact_dedup": EXACT_DEDUP, "op4_line_dedup": line_dedup.oracle(), "op10_source_mixing": mixing.ORACLE}
