@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalogkit.llm.common import bounded_sample, code_points
 
@@ -95,7 +96,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     bits = (len(matrix) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(matrix)
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.select(*rows.columns[:-1]).schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double").fields])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value

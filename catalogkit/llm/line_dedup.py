@@ -42,7 +42,8 @@ def template_keys(ts: Column, depth: int, min_tokens: int) -> Column:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3) -> DataFrame:
-    """All columns with the text less its dropped lines, then ``n_lines``, ``n_dropped``."""
+    """All columns with the text less its dropped lines, then ``n_lines`` and ``n_dropped``
+    (columns that had these names are replaced)."""
     parsed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__lines"))
     keyed = parsed.select("__id", "__h", F.transform("__lines", tokens).alias("__t"))
     keyed = keyed.select("__id", "__h", F.transform("__t", lambda t: template_keys(t, depth, min_tokens)).alias("__keys"))
@@ -55,9 +56,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
     joined = rows.join(by_doc, F.col(doc_id).eqNullSafe(F.col("__of")) & (F.col("__h") == F.col("__ofh")), "left")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    others = [c for c in docs.columns]
     return joined.select(
-        *(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in others),
+        *(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
         F.size(split).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_dropped"),
     )
 

@@ -75,19 +75,20 @@ def limits(slim: DataFrame, doc_id: str = "doc_id", source: str = "source", rang
     edge = edge.withColumn("upto", F.col("before") + F.sum(F.col("__size") * F.col("n")).over(order))
     edge = edge.where("upto >= rest and upto - __size * n < rest")
     cut = edge.select("s", F.col("__v").alias("cut_v"), F.col("id").alias("cut_id"), F.col("__size").alias("cut_size"), F.floor((F.col("rest") - F.col("upto") + F.col("__size") * F.col("n")) / F.col("n")).alias("left"))
-    return aims.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("__source"), "source_size", "target", "passes", "rest", "cut_v", "cut_id", "cut_size", "left")
+    names = ("source", "source_size", "target", "passes", "rest", "cut_v", "cut_id", "cut_size", "left")
+    return aims.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(*(F.col(c).alias(f"__{c}") for c in names))
 
 
 def apply_limits(rows: DataFrame, ends: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Measured rows with their source's columns of ``ends``, ``partial`` (words of the
-    last pass) and ``taken`` (all words, repeats counted)."""
+    """Measured rows with their source's columns of ``ends``, ``__partial`` (words of the
+    last pass) and ``__taken`` (all words, repeats counted)."""
     v, key, n = F.col("__v"), F.col(doc_id), F.col("__size")
-    tied = v == F.col("cut_v")
-    later = F.when(F.col("cut_id").isNull(), key.isNotNull()).otherwise(key < F.col("cut_id"))
-    same = key.eqNullSafe(F.col("cut_id"))
-    part = F.when((F.col("rest") <= 0) | F.col("cut_v").isNull(), 0).when((v > F.col("cut_v")) | (tied & (later | (same & (n < F.col("cut_size"))))), n).when(tied & same & (n == F.col("cut_size")), F.col("left")).otherwise(0)
+    tied = v == F.col("__cut_v")
+    later = F.when(F.col("__cut_id").isNull(), key.isNotNull()).otherwise(key < F.col("__cut_id"))
+    same = key.eqNullSafe(F.col("__cut_id"))
+    part = F.when((F.col("__rest") <= 0) | F.col("__cut_v").isNull(), 0).when((v > F.col("__cut_v")) | (tied & (later | (same & (n < F.col("__cut_size"))))), n).when(tied & same & (n == F.col("__cut_size")), F.col("__left")).otherwise(0)
     joined = rows.join(ends, F.col(source).eqNullSafe(F.col("__source")))
-    return joined.withColumn("partial", part.cast("long")).withColumn("taken", (F.col("passes") * n + F.col("partial")).cast("long"))
+    return joined.withColumn("__partial", part.cast("long")).withColumn("__taken", (F.col("__passes") * n + F.col("__partial")).cast("long"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options: object) -> DataFrame:
@@ -96,9 +97,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     words, joined by one space)."""
     rows = measured(docs, doc_id, text)
     ends = limits(rows, doc_id, source, **options)
-    chosen = apply_limits(rows, ends, doc_id, source).where("taken > 0")
-    full = F.transform(F.sequence(F.lit(1), F.col("passes").cast("int")), lambda _: F.col("__size"))
-    runs = F.concat(F.when(F.col("passes") > 0, full).otherwise(F.array().cast("array<bigint>")), F.when(F.col("partial") > 0, F.array("partial")).otherwise(F.array().cast("array<bigint>")))
+    chosen = apply_limits(rows, ends, doc_id, source).where("__taken > 0")
+    full = F.transform(F.sequence(F.lit(1), F.col("__passes").cast("int")), lambda _: F.col("__size"))
+    runs = F.concat(F.when(F.col("__passes") > 0, full).otherwise(F.array().cast("array<bigint>")), F.when(F.col("__partial") > 0, F.array("__partial")).otherwise(F.array().cast("array<bigint>")))
     out = chosen.withColumn("__n", F.explode(runs))
     cut = F.array_join(F.slice(words(F.col(text)), 1, F.col("__n").cast("int")), " ")
     return out.withColumn(text, F.when(F.col("__n") < F.col("__size"), cut).otherwise(F.col(text))).select(*docs.columns)

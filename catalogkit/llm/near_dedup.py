@@ -41,11 +41,14 @@ def shingle_words(text: Column) -> Column:
 
 def shingles(ws: Column, n: int) -> Column:
     """The distinct n-word shingles of a word array, as strings."""
-    runs = F.transform(F.slice(ws, 1, F.size(ws) - (n - 1)), lambda _, i: F.array_join(F.slice(ws, i + 1, n), " ")) if n != 2 else F.transform(F.slice(ws, 1, F.size(ws) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1)))
+    def run(w: Column, i: Column) -> Column:
+        return F.concat(w, *(x for k in range(1, n) for x in (F.lit(" "), F.get(ws, i + k))))
+
+    runs = F.transform(F.slice(ws, 1, F.size(ws) - (n - 1)), run)
     return F.when(F.size(ws) >= n, F.array_distinct(runs)).when(F.size(ws) > 0, F.array(F.array_join(ws, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 2, k: int = K) -> DataFrame:
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, k: int = K) -> DataFrame:
     """``id``, ``n`` (set size), two hashes of the whole set, and its sketch."""
     rows = docs.select(F.col(doc_id).alias("id"), shingle_words(F.col(text)).alias("ws"))
     rows = rows.select("id", shingles(F.col("ws"), n).alias("set"))
@@ -117,7 +120,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
     return sets.where((100 * F.col("both") >= p * (F.col("nx") + F.col("ny") - F.col("both"))) & (F.col("both") > 0)).select("a", "b").distinct()
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 2, similarity: float = 0.8, k: int = K) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (smallest identifier reachable) for every row."""
     made = stored(sketches(docs, doc_id, text, n, k))
     valid = made.where("id is not null and n > 0")

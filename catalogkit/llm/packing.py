@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[Column, .
     """``keep`` columns, then one row for each piece (and its token ids, if asked for)."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
     names = rows.columns[:-1]
-    schema = StructType([*rows.select(*names).schema.fields, *StructType.fromDDL(PIECES + ", ids array<int>" * with_ids).fields])
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(PIECES + ", ids array<int>" * with_ids).fields])
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)

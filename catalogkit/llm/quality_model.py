@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalogkit.llm.common import bounded_sample, code_points
 
@@ -116,7 +117,7 @@ def predict(docs: DataFrame, model: np.ndarray, text: str = "text", keep: tuple[
     bits = (len(model) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.select(*rows.columns[:-1]).schema.add("score", "double")
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("score double").fields])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value

@@ -33,7 +33,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.groups(table(spark, sf_dir, "documents"))
+    found = near_dedup.groups(table(spark, sf_dir, "documents"), n=2)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -70,7 +70,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = stored(mixing.measured(table(spark, sf_dir, "documents")).select("doc_id", "source", "__size", "__v"))
     mixed = mixing.apply_limits(slim, mixing.limits(slim))
-    return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
+    return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,8 +1,67 @@
+"""A corpus pipeline: each stage applies one operator to all that its predecessor kept.
+
+quality rules -> line dedup -> MinHash near-dedup -> source mixing -> packing
+"""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalogkit.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from catalogkit.llm.common import SPACE, stored, table
+from catalogkit.llm.queries import tokenizer_path
+
+
+def keep_by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the isolation forest let pass."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality_rules.train(quality_rules.with_stats(docs, keep=(F.col("doc_id"),)), labels)
+    stats = quality_rules.with_stats(docs, keep=tuple(F.col(c).alias(f"col_{c}") for c in docs.columns))
+    return quality_rules.judge(stats, model).where("kept").select(*(F.col(f"col_{c}").alias(c) for c in docs.columns))
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines whose templates recur; a document of which nothing is
+    left goes, and ``n_chars`` follows the text."""
+    left = line_dedup.deduplicate(docs)
+    left = left.where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("text", F.lit("")), F.lit(SPACE.replace("[", "[^", 1))))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest identifier of each group of near copies."""
+    gone = near_dedup.groups(docs).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each time that it takes them."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    made = packing.pieces(docs, tokenizer_path(), keep=(F.col("doc_id"),))
+    return packing.pack(made).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", keep_by_quality_rules),
+    ("line_dedup", drop_recurring_lines),
+    ("near_dedup", keep_one_of_near_copies),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES = []
+#: SQL expresses neither the forest nor the tokenizer; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each written as Parquet and reread by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
