@@ -115,9 +115,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
     first, second = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     sets = pairs.join(first, "a").join(second, "b").select("a", "b", shingle_words(F.col("ta")).alias("wa"), shingle_words(F.col("tb")).alias("wb"))
     sets = sets.select("a", "b", shingles(F.col("wa"), n).alias("x"), shingles(F.col("wb"), n).alias("y"))
-    sets = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+    sizes = sets.select("a", "b", F.struct(F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both")).alias("s"))
+    sizes = sizes.groupBy("a", "b").agg(F.max("s").alias("s"))  # a filter right on the sets would be pushed into them and split the texts for each shingle
     p = round(100 * similarity)
-    return sets.where((100 * F.col("both") >= p * (F.col("nx") + F.col("ny") - F.col("both"))) & (F.col("both") > 0)).select("a", "b").distinct()
+    return sizes.where((100 * F.col("s.both") >= p * (F.col("s.nx") + F.col("s.ny") - F.col("s.both"))) & (F.col("s.both") > 0)).select("a", "b")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
