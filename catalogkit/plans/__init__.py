@@ -1 +1,6 @@
+"""Queries over the driver's tables, registered by name."""
 
+from catalogkit.plans import catalog, scalar
+from catalogkit.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog", "scalar"]
