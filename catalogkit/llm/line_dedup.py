@@ -4,11 +4,14 @@ A line is parsed by its number of tokens and its ``depth`` leading tokens (a tok
 a digit counts as a variable field). Below such a leaf, a line has its full template and
 generalised ones: the other tokens are cut into four parts, of which two are kept and
 two become variable fields, so that lines with one template agree in at least half of
-their tokens. Templates are counted over all documents by key, each document once; no
-leaf is ever gathered. A line is dropped if a template of it recurs in ``min_docs``
+their tokens. Templates are counted over all documents by key, with map-side combining;
+no leaf is ever gathered. A line is dropped if a template of it recurs in ``min_docs``
 documents or more and this is not the first of them (the smallest identifier), so that
 one copy of every line stays.
 
+The recurring templates are sent to the tasks while they are fewer than ``max_sent``;
+beyond that, the lines are joined with them.
+
 Defined results: a null text counts as empty (one blank line). Blank lines and lines of
 fewer than ``min_tokens`` tokens stay. Each row counts as a document; rows equal in
 identifier and text get equal results; null identifiers come last.
@@ -16,50 +19,112 @@ identifier and text get equal results; null identifiers come last.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalogkit.llm.common import SPACE, stored
 
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 PARTS = 4
+LAST = (1 << 63) - 1
+_FIELD, _DIGIT = re.compile(FIELD.encode()), re.compile(b"[0-9]")
+
+
+def template_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
+    """The keys of a line's templates: full, then with two of four parts."""
+    tokens = (_FIELD.sub(b"<*>", line) if _DIGIT.search(line) else line).split()
+    n, rest = len(tokens), len(tokens) - depth
+    if n < min_tokens:
+        return []
+    keys = [xxhash.xxh64_intdigest(b"full " + b" ".join(tokens))]
+    if rest >= PARTS:
+        bound = [depth + rest * k // PARTS for k in range(PARTS + 1)]
+        part = [b" ".join(tokens[bound[k] : bound[k + 1]]) for k in range(PARTS)]
+        leaf = b"%d %s" % (n, b" ".join(tokens[:depth]))
+        keys += [xxhash.xxh64_intdigest(b"%d %s / %s / %s" % (i * PARTS + j, leaf, part[i], part[j])) for i in range(PARTS) for j in range(i + 1, PARTS)]
+    return keys
 
 
-def tokens(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(line, FIELD, "<*>"), SPACE), lambda t: t != "")
+def text_keys(text: str, depth: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all lines of a text, and the number of the line of each."""
+    keys, at = [], []
+    for i, line in enumerate(text.encode("utf-8", "replace").split(b"\n")):
+        own = template_keys(line, depth, min_tokens)
+        keys += own
+        at += [i] * len(own)
+    return np.array(keys, np.uint64).view(np.int64), np.array(at, np.int64)
 
 
-def template_keys(ts: Column, depth: int, min_tokens: int) -> Column:
-    """The keys of a token array's templates: full, then with two of four parts."""
-    n, rest = F.size(ts), F.size(ts) - depth
-    bound = [(F.floor(rest * k / PARTS) + depth).cast("int") for k in range(PARTS + 1)]
-    part = [F.slice(ts, bound[k] + 1, bound[k + 1] - bound[k]) for k in range(PARTS)]
-    lead = F.slice(ts, 1, depth)
-    full = F.xxhash64(F.lit(-1), ts)
-    some = [F.xxhash64(F.lit(i * PARTS + j), n, lead, F.size(part[i]), part[i], part[j]) for i in range(PARTS) for j in range(i + 1, PARTS)]
-    none = F.array().cast("array<bigint>")
-    return F.when(n < min_tokens, none).when(rest < PARTS, F.array(full)).otherwise(F.array(full, *some))
+def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min_docs: int, min_tokens: int) -> DataFrame:
+    """``key``, ``first``: templates in ``min_docs`` documents or more, and the first one."""
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [np.unique(text_keys(t or "", depth, min_tokens)[0]) for t in b["t"]]
+            if own:
+                yield pd.DataFrame({"key": np.concatenate(own), "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in own])})
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3) -> DataFrame:
+    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("id"), F.col(text).alias("t"))
+    counted = rows.mapInPandas(parse, "key long, id long").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return stored(counted.where(F.col("n") >= min_docs).select("key", "first"))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, max_sent: int = 2_000_000) -> DataFrame:
     """All columns with the text less its dropped lines, then ``n_lines`` and ``n_dropped``
     (columns that had these names are replaced)."""
-    parsed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__lines"))
-    keyed = parsed.select("__id", "__h", F.transform("__lines", tokens).alias("__t"))
-    keyed = keyed.select("__id", "__h", F.transform("__t", lambda t: template_keys(t, depth, min_tokens)).alias("__keys"))
-    seen = keyed.select("__id", F.explode(F.array_distinct(F.flatten("__keys"))).alias("key"))
-    recurring = stored(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first")).where(F.col("n") >= min_docs).select("key", "first"))
-    lines = keyed.select("__id", "__h", F.posexplode("__keys").alias("line", "ks")).select("__id", "__h", "line", F.explode("ks").alias("key"))
-    dropped = lines.join(recurring, "key").where(~F.col("__id").eqNullSafe(F.col("first")))
-    by_doc = dropped.groupBy("__id", "__h").agg(F.collect_set("line").alias("__gone")).withColumnsRenamed({"__id": "__of", "__h": "__ofh"})
-    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = rows.join(by_doc, F.col(doc_id).eqNullSafe(F.col("__of")) & (F.col("__h") == F.col("__ofh")), "left")
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.select(
-        *(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
-        F.size(split).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_dropped"),
-    )
+    recurring = recurring_templates(docs, doc_id, text, depth, min_docs, min_tokens)
+    rank = F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long")
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(*(F.col(c).alias(f"col_{c}") for c in others), rank.alias("__id"))
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("n_lines int, n_dropped int").fields])
+    column = f"col_{text}"
+
+    def cut(b: pd.DataFrame, gone: list[set[int]]) -> pd.DataFrame:
+        lines = [(t or "").split("\n") for t in b[column]]
+        left = [t if not g else "\n".join(x for i, x in enumerate(ls) if i not in g) for t, ls, g in zip(b[column], lines, gone)]
+        return b.assign(**{column: left}, n_lines=[len(x) for x in lines], n_dropped=[len(g) for g in gone])[schema.names]
+
+    if recurring.count() <= max_sent:
+        known = recurring.toPandas().sort_values("key")
+        sent = docs.sparkSession.sparkContext.broadcast((known["key"].to_numpy(np.int64), known["first"].to_numpy(np.int64)))
+
+        def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            all_keys, first = sent.value
+            for b in batches:
+                gone = []
+                for t, own in zip(b[column], b["__id"]):
+                    keys, at = text_keys(t or "", depth, min_tokens)
+                    found = np.minimum(np.searchsorted(all_keys, keys), len(all_keys) - 1) if len(all_keys) else np.zeros(0, np.int64)
+                    gone.append(set(at[(all_keys[found] == keys) & (first[found] != own)].tolist()) if len(found) else set())
+                yield cut(b, gone)
+
+        out = rows.mapInPandas(drop, schema)
+    else:
+
+        def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for t, own, h in zip(b["t"], b["id"], b["h"]):
+                    keys, at = text_keys(t or "", depth, min_tokens)
+                    yield pd.DataFrame({"key": keys, "line": at, "id": own, "h": h})
+
+        hashed = F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+        lines = rows.select(F.col("__id").alias("id"), F.col(column).alias("t"), hashed.alias("h")).mapInPandas(parse, "key long, line long, id long, h long")
+        dropped = lines.join(recurring, "key").where("id <> first").groupBy("id", "h").agg(F.collect_set("line").alias("gone"))
+        joined = rows.withColumn("__h", hashed).join(dropped, (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left").select(*schema.names[:-2], "gone")
+
+        def drop_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield cut(b, [set() if g is None else set(g.tolist()) for g in b["gone"]])
+
+        out = joined.mapInPandas(drop_joined, schema)
+    return out.select(*(F.col(f"col_{c}").alias(c) for c in others), "n_lines", "n_dropped")
 
 
 def oracle(depth: int = 3, min_docs: int = 5, min_tokens: int = 3) -> str:
