@@ -161,7 +161,7 @@ def record_keys(record: Column, title: Column, path: Column, legacy: Column) ->
     parts = F.transform(F.split(clean_path(path), "/"), lambda p: F.regexp_replace(p, fixed.IMAGE_SUFFIX, ""))
     named = F.array(title, record, legacy, F.regexp_replace(_text(legacy), "^[^_]+_", ""))
     every = F.concat(named, parts, F.transform(parts, lambda p: without_role(p)))
-    return F.array_distinct(F.filter(F.transform(every, norm_key), lambda k: F.length(k) > 1))
+    return F.array_distinct(F.filter(F.transform(every, lambda x: norm_key(x)), lambda k: F.length(k) > 1))
 
 
 def canonical_key(source: Column, path: Column, legacy: Column) -> Column:
@@ -182,7 +182,7 @@ def entity_from_path(path: Column) -> Column:
         r"assets/_raw/(?:expanded-wikimedia|expanded-website-icons|wikimedia)/([^/]+)/", r"vendor/vectorlogozone/www/logos/([^/]+)/", r"^([^/]+)/[^/]+-(?:icon|ar21)\.svg",
         r"public/icons/([^/]+)/", r"(?:logos/optimized|local-logos)/([^/]+)\.(?:svg|png|webp|jpe?g)$",
     )
-    found = F.transform(F.array(*map(F.lit, layouts)), lambda p: F.regexp_extract(raw, p, 1))
+    found = F.transform(F.array(*map(F.lit, layouts)), lambda p: F.call_function("regexp_extract", raw, p, F.lit(1)))
     single = without_role(F.regexp_extract(raw, r"vendor/gilbarbara-logos/logos/([^/]+)\.svg$", 1), "icon|logo|symbol|mark|default|color")
     return F.get(F.filter(F.concat(found, F.array(single)), lambda x: x != ""), F.lit(0))
 

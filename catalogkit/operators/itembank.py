@@ -59,7 +59,7 @@ def item_bank(entities: DataFrame, entity: str, group: str, category: str, types
     seeded order, group and category."""
     chosen = distractors(entities, entity, (group, category, None), seed=seed).groupBy("answer").agg(F.collect_list("option").alias("others"))
     full = entities.join(chosen.where(F.size("others") == fixed.OPTION_COUNT - 1), F.col(entity) == F.col("answer"))
-    options = F.transform(F.array_sort(F.transform(F.concat(F.array(F.col(entity)), "others"), lambda o: F.struct(hash_order(F.col(entity).cast("string"), o).alias("h"), o.alias("o")))), lambda x: x["o"])
+    options = F.transform(F.array_sort(F.transform(F.concat(F.array(F.col(entity)), "others"), lambda o: F.named_struct(F.lit("h"), hash_order(F.col(entity).cast("string"), o), F.lit("option"), o))), lambda x: x["option"])
     kinds = F.explode(F.array(*map(F.lit, types))).alias("type")
     return full.select(F.col(entity).alias("answer"), kinds, options.alias("options"), F.col(group).alias("item_group"), F.col(category).alias("category")).withColumn("item_id", F.concat_ws("_", "type", F.col("answer").cast("string")))
 

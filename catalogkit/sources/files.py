@@ -61,7 +61,7 @@ def marked_ids(df: DataFrame, lists: tuple[str, ...], marks: str, flag: str) ->
     out = df.select(F.explode(F.map_keys(F.map_filter(marks, lambda _, m: F.coalesce(m[flag], F.lit(False))))).alias("id"))
     for c in lists:
         out = out.unionByName(df.select(F.explode(c).alias("id")))
-    return out.where("id is not null and id <> ''").distinct()
+    return out.where(F.coalesce(F.col("id").cast("string"), F.lit("")) != "").distinct()
 
 
 def remapped_ids(marks: DataFrame, mapping: DataFrame, old: str, new: str) -> DataFrame:
