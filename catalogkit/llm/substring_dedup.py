@@ -9,7 +9,7 @@ starts in a document with a smaller identifier.
 2. Probe: every rolling window of ``block`` words is held against the blocks; hits at
    other places than a document's own blocks are gathered in the same way, which marks
    the reference blocks that somebody hit.
-3. Extend: full windows around hits, keyed by two 64-bit hashes of their words, get the
+3. Extend: full windows around hits, keyed by 96 bits of hash of their words, get the
    smallest identifier they occur in, with map-side combining, so that no pair of
    documents is ever formed. A document keeps the windows it owns; what its other
    windows around hits cover, the maximal repeats, is removed.
@@ -125,6 +125,11 @@ class Windows:
         self.full = left[: max(0, n - window + 1)] >= window
         self.block, self.window, self.length = block, window, length
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of hash for the runs of a window's length from each word on."""
+        first, second = (rolling(x, self.window) for x in self.words)
+        return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def around_hits(self, blocks: np.ndarray | None, hit: np.ndarray | None) -> np.ndarray:
         """Starts of the full windows that hold a block with a hit."""
         if blocks is None:
@@ -175,6 +180,8 @@ def _bitmaps(docs: DataFrame, text: str, bits: int, block: int, window: int, blo
 
     made = docs.select(F.col(text).alias("t")).mapInPandas(gather, "segment int, once binary, more binary")
     parts = made.groupBy("segment").applyInPandas(build, "segment int, seen binary, twice binary").collect()
+    if sent is not None:
+        sent.destroy()
     seen, twice = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
     width = len(seen) // SEGMENTS
     for r in parts:
@@ -216,11 +223,11 @@ def deduplicate(
                 w = Windows([texts[i] for i in at], hashers, block, window)
                 s = w.around_hits(*sent.value)
                 if len(s):
-                    keys = [rolling(x, window)[s].view(np.int64) for x in w.words]
-                    yield pd.DataFrame({"a": keys[0], "b": keys[1], "id": np.repeat(ids[at], w.length)[s]})
+                    a, b32 = w.keys()
+                    yield pd.DataFrame({"a": a[s], "b": b32[s], "id": np.repeat(ids[at], w.length)[s]})
 
     rank = F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long")
-    around = docs.select(rank.alias("id"), F.col(text).alias("t")).mapInPandas(windows, "a long, b long, id long")
+    around = docs.select(rank.alias("id"), F.col(text).alias("t")).mapInPandas(windows, "a long, b int, id long")
     owned = around.groupBy("a", "b").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("a").alias("__a"), F.collect_list("b").alias("__b"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"), rank.alias("__id"))
     names = rows.columns[:-2]  # without the text and the rank
@@ -235,7 +242,7 @@ def deduplicate(
             for at in chunks(texts, SLICE):
                 w = Windows([texts[i] for i in at], hashers, block, window)
                 s = w.around_hits(*sent.value)
-                keys = [rolling(x, window) for x in w.words]
+                keys = w.keys()
                 cuts = np.searchsorted(s, w.begin)
                 for k, i in enumerate(at):
                     own, n = s[cuts[k] : cuts[k + 1]], int(w.length[k])
@@ -260,9 +267,9 @@ def deduplicate(
 
 def _contained(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs (x, y) are among the pairs (a, b)."""
-    pair = np.dtype([("a", np.int64), ("b", np.int64)])
+    pair = np.dtype([("a", np.int64), ("b", np.int32)])
     left, right = np.empty(len(x), pair), np.empty(len(a), pair)
-    left["a"], left["b"], right["a"], right["b"] = x.view(np.int64), y.view(np.int64), a, b
+    left["a"], left["b"], right["a"], right["b"] = x, y, a, b
     right = np.unique(right)
     at = np.minimum(np.searchsorted(right, left), len(right) - 1)
     return right[at] == left
