@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line is parsed by its number of tokens and its ``depth`` leading tokens (a token with
-a digit counts as a variable field). Below such a leaf, a line has its full template and
+a digit counts as a variable field, unless most of the line's tokens have one). Below such a leaf, a line has its full template and
 generalised ones: the other tokens are cut into four parts, of which two are kept and
 two become variable fields, so that lines with one template agree in at least half of
 their tokens. Templates are counted over all documents by key, with map-side combining;
@@ -39,7 +39,10 @@ _FIELD, _DIGIT = re.compile(FIELD.encode()), re.compile(b"[0-9]")
 
 def template_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
     """The keys of a line's templates: full, then with two of four parts."""
-    tokens = (_FIELD.sub(b"<*>", line) if _DIGIT.search(line) else line).split()
+    tokens = line.split()
+    if _DIGIT.search(line):
+        fields = _FIELD.sub(b"<*>", line).split()
+        tokens = fields if 2 * fields.count(b"<*>") <= len(fields) else tokens
     n, rest = len(tokens), len(tokens) - depth
     if n < min_tokens:
         return []
@@ -134,7 +137,8 @@ def oracle(depth: int = 3, min_docs: int = 5, min_tokens: int = 3) -> str:
     some = ", ".join(f"concat('{i * PARTS + j} ', len(t), ' ', array_to_string(list_slice(t, 1, {depth}), ' '), ' / ', array_to_string({part[i]}, ' '), ' / ', array_to_string({part[j]}, ' '))" for i in range(PARTS) for j in range(i + 1, PARTS))
     return rf"""
     WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) no FROM documents),
-    p AS (SELECT doc_id, no, line, list_filter(string_split_regex(regexp_replace(line, '{FIELD}', '<*>', 'g'), '{SPACE}'), lambda x: x <> '') t FROM l),
+    m AS (SELECT doc_id, no, line, list_filter(string_split_regex(line, '{SPACE}'), lambda x: x <> '') raw, list_filter(string_split_regex(regexp_replace(line, '{FIELD}', '<*>', 'g'), '{SPACE}'), lambda x: x <> '') masked FROM l),
+    p AS (SELECT doc_id, no, line, CASE WHEN 2 * len(list_filter(masked, lambda x: x = '<*>')) <= len(masked) THEN masked ELSE raw END t FROM m),
     k AS (SELECT doc_id, no, line, CASE WHEN len(t) < {min_tokens} THEN [] WHEN len(t) - {depth} < {PARTS} THEN [concat('full ', array_to_string(t, ' '))]
           ELSE [concat('full ', array_to_string(t, ' ')), {some}] END ks FROM p),
     u AS (SELECT doc_id, no, unnest(ks) tk FROM k),
