@@ -137,3 +137,18 @@ def upsert_latest(state: DataFrame, new: DataFrame, key: str, at: str) -> DataFr
     every = state.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in every.columns if c not in (key, "__new")]
     return every.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, "__new", *rest)).alias("r")).select(key, "r.*")
+
+
+def append_new(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The state and the rows of new keys; run again with the same rows it adds nothing."""
+    return state.unionByName(new.join(state.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def label_in(labels: Column, languages: tuple[str, ...], fallback: Column) -> Column:
+    """A label from a map language -> label: the first language that has one, else the fallback."""
+    return keys.first_filled(*(labels[x] for x in languages), fallback)
+
+
+def first_claim(claims: Column, properties: tuple[str, ...]) -> Column:
+    """The first value of the first property that has one, from a map property -> values."""
+    return F.get(F.filter(F.flatten(F.array(*(F.coalesce(claims[p], F.array().cast("array<string>")) for p in properties))), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))

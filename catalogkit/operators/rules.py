@@ -77,3 +77,8 @@ def faceted(df: DataFrame, facets: dict[str, object], words: str = "", over: tup
     if words:
         df = df.where(F.contains(F.lower(F.concat_ws(" ", *over)), F.lit(words.lower())))
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
+
+
+def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
+    """Required columns that a table lacks; looks at its schema only."""
+    return [c for c in required if c not in df.columns]

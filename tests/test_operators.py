@@ -175,3 +175,13 @@ def test_faceted_pages(spark):
     df = spark.range(10).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("s"), F.concat(F.lit("Item "), "id").alias("t"))
     got = rules.faceted(df, {"s": "a", "t": None}, "item", ("t",), ("id",), page=2, size=2)
     assert [r.id for r in got.collect()] == [4, 6]
+
+
+def test_labels_claims_columns_and_appends(spark):
+    df = spark.sql("SELECT map('zh', 'z', 'en', '') labels, map('P94', array('', 'c.png'), 'P1', array('x')) claims, 'f' f")
+    got = df.select(resolve.label_in(F.col("labels"), ("zh-hans", "zh"), F.col("f")), resolve.label_in(F.col("labels"), ("en",), F.col("f")), resolve.first_claim(F.col("claims"), ("P154", "P94"))).first()
+    assert tuple(got) == ("z", "f", "c.png")
+    assert rules.missing_columns(df, ("labels", "id")) == ["id"]
+    old, new = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string")
+    once = resolve.append_new(old, new, "id")
+    assert sorted(map(tuple, resolve.append_new(once, new, "id").collect())) == [(1, "a"), (2, "c")]
