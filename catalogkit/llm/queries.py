@@ -89,4 +89,22 @@ EXACT_DEDUP = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) kept, sha256(t) text_sha256 FROM d"""
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op3_exact_dedup": EXACT_DEDUP, "op4_line_dedup": line_dedup.oracle(), "op10_source_mixing": mixing.ORACLE}
+SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+NEAR_DEDUP = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) ELSE w END sh FROM d),
+e AS (SELECT doc_id, len(sh) n, unnest(sh) x FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, min(other) component_id, s.doc_id = min(other) kept FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(sh)"""
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, {SPLIT.format("coalesce(text, '')")} w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM d),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') k FROM s),
+f AS (SELECT k, min(doc_id) m FROM g GROUP BY k),
+r AS (SELECT DISTINCT g.doc_id, g.i + o j FROM g JOIN f ON g.k = f.k AND f.m < g.doc_id, (SELECT unnest(range(0, 13)) o)),
+x AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) j FROM d),
+t AS (SELECT x.doc_id, count(r.j) n, string_agg(word, ' ' ORDER BY x.j) FILTER (r.j IS NULL) kept FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.j = r.j GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id"""
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op3_exact_dedup": EXACT_DEDUP, "op4_line_dedup": line_dedup.oracle(), "op5_minhash_near_dedup": NEAR_DEDUP, "op9_substring_dedup": SUBSTRINGS, "op10_source_mixing": mixing.ORACLE}
