@@ -2,14 +2,17 @@
 
 1. Each document's set of word shingles is hashed once; its k smallest hashes are its
    sketch. Documents with equal sets form a class and go on as one node.
-2. Inverted lists of retained values give candidates. Two sets of the similarity asked
-   for share at least ``least_shared`` of their retained values (but for a chance of
-   about 1e-7; exactly, where sketches hold whole sets), so a node is listed only under
-   its rarest values, as many as are left when ``least_shared`` - 1 are taken off. What
-   rare means comes from a table of counts by hash of fixed size; any order is exact.
-3. Members of a list are first held against one hub, so that a group of copies costs as
-   many pairs as it has members. Lists whose members are then all connected are done;
-   in the others only members of different components meet.
+2. Inverted lists of retained values generate overlaps. The values of a sketch are put
+   into one global order, rare ones first, and a node is listed under each two that
+   stand next to each other: similar sets agree in most of the order, while others that
+   happen to share a frequent value do not meet. Where sketches hold whole sets this
+   finds every pair asked for (see ``neighbours``); among the first ``LISTED`` values of longer ones it fails with a chance
+   of about 1e-10. What rare means comes from counts by hash in a table of fixed size.
+3. Members of a list are first held against a few hubs, the smallest node of each of
+   ``HUBS`` hash classes, so that a group of copies costs as many pairs as it has members
+   times hubs. Lists whose members are then all connected are done. In the others,
+   members outside the largest component meet representatives of the other components,
+   and what is still apart meets in full, so no partner is left out.
 4. The sketch of the union estimates each pair's similarity; pairs far below are left
    out, the others are confirmed on the full sets of shingles, read from the texts.
 
@@ -25,46 +28,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import SPACE, ascii_lower, stored
+from catalogkit.llm.common import chunks, stored
 from catalogkit.llm.components import components
+from catalogkit.llm.substring_dedup import WordHasher, rolling, split_words
 
-K = 64
+K, LISTED, HUBS = 64, 36, 8
 COUNTERS = 1 << 18
+SLICE = 1 << 20
+_BASE = 0x5851F42D4C957F2D
 
 
-def shingle_words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
+def shingle_sets(texts: list[str | None], n: int, hasher: WordHasher) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word shingles (A-Z lower-cased)."""
+    for at in chunks([t or "" for t in texts], SLICE):
+        data, starts, ends, begin = split_words([(texts[i] or "").encode("utf-8", "replace").lower() for i in at])
+        words = hasher(data, starts, ends)
+        runs = rolling(words, n)
+        for a, b in zip(begin[:-1], begin[1:]):
+            if b - a >= n:
+                yield np.unique(runs[a : b - n + 1])
+            else:
+                yield rolling(words[a:b], b - a) if b > a else runs[:0]
 
 
-def shingles(ws: Column, n: int) -> Column:
-    """The distinct n-word shingles of a word array, as strings."""
-    def run(w: Column, i: Column) -> Column:
-        return F.concat(w, *(x for k in range(1, n) for x in (F.lit(" "), F.get(ws, i + k))))
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, k: int = K) -> DataFrame:
+    """``id``, ``n`` (set size), a 128-bit digest of the whole set, and its sketch."""
 
-    runs = F.transform(F.slice(ws, 1, F.size(ws) - (n - 1)), run)
-    return F.when(F.size(ws) >= n, F.array_distinct(runs)).when(F.size(ws) > 0, F.array(F.array_join(ws, " "))).otherwise(F.array().cast("array<string>"))
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher(_BASE)
+        for b in batches:
+            sets = [(len(s), xxhash.xxh128_digest(s.tobytes()), s[:k].view(np.int64)) for s in shingle_sets(b["t"].tolist(), n, hasher)]
+            yield pd.DataFrame({"id": b["id"], "n": [s[0] for s in sets], "digest": [s[1] for s in sets], "sketch": [s[2] for s in sets]})
 
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(sketch, "id long, n long, digest binary, sketch array<long>")
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, k: int = K) -> DataFrame:
-    """``id``, ``n`` (set size), two hashes of the whole set, and its sketch."""
-    rows = docs.select(F.col(doc_id).alias("id"), shingle_words(F.col(text)).alias("ws"))
-    rows = rows.select("id", shingles(F.col("ws"), n).alias("set"))
-    rows = rows.select("id", F.sort_array(F.transform("set", lambda s: F.xxhash64(s))).alias("h"))
-    return rows.select("id", F.size("h").cast("long").alias("n"), F.xxhash64("h").alias("h1"), F.hash("h").alias("h2"), F.slice("h", 1, k).alias("sketch"))
 
+def neighbours(n: int, similarity: float) -> int:
+    """How many of n values, in order, hold two neighbours that a similar set has as neighbours too.
 
-def least_shared(n: int, similarity: float, k: int = K) -> int:
-    """How many retained values two similar sets share, of which one has n members."""
-    if n <= similarity * k:
-        return math.ceil(similarity * n - 1e-9)
-    return math.floor(k * similarity - 6 * math.sqrt(k * similarity * (1 - similarity)))
+    Of two sets with i values in common and x, y own ones, i >= similarity * (i + x + y). Each
+    common value before the first two neighbours stands alone, which takes an own value of either
+    set; so they end at place 2 x + y + 2 at most, which is largest if all own values are in the
+    set of n."""
+    return math.floor(2 * (1 - similarity) * n + 1e-9) + 2
 
 
 def listed(nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """``value``, ``node``, ``n``: each node under the rarest values of its sketch."""
+    """``value``, ``node``: each node under the neighbours in the order of its sketch."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
@@ -81,71 +95,111 @@ def listed(nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            values, sizes = [], []
+            values = []
             for x, n in zip(b["sketch"], b["n"]):
                 x = np.asarray(x)
-                most = len(x) - least_shared(n, similarity, k) + 1
-                values.append(x[np.lexsort((x, sent.value[x & (COUNTERS - 1)]))[:most]])
-                sizes.append(len(values[-1]))
+                x = x[np.lexsort((x, sent.value[x & (COUNTERS - 1)]))]
+                # beyond this size a similar set may be larger than a sketch
+                x = x[: neighbours(n, similarity) if n <= similarity * k else LISTED]
+                values.append(rolling(x.view(np.uint64), 2).view(np.int64))
             if values:
-                yield pd.DataFrame({"value": np.concatenate(values), "node": np.repeat(b["node"].to_numpy(), sizes), "n": np.repeat(b["n"].to_numpy(), sizes)})
+                yield pd.DataFrame({"value": np.concatenate(values), "node": np.repeat(b["node"].to_numpy(), [len(v) for v in values])})
 
-    return nodes.mapInPandas(choose, "value long, node long, n long")
+    return nodes.mapInPandas(choose, "value long, node long")
 
 
-def _alike_sizes(a: str, b: str, similarity: float) -> Column:
-    p = round(100 * similarity)
-    return (100 * F.col(a) >= p * F.col(b)) & (100 * F.col(b) >= p * F.col(a))
+def _hubs(node: str, seed: int) -> list[Column]:
+    """The smallest node of each hash class, with map-side combining."""
+    own = F.pmod(F.xxhash64(F.col(node), F.lit(seed)), F.lit(HUBS))
+    return [F.min(F.when(own == j, F.col(node))).alias(f"h{j}") for j in range(HUBS)]
+
+
+def _present() -> Column:
+    return F.filter(F.array(*(F.col(f"h{j}") for j in range(HUBS))), lambda x: x.isNotNull())
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of ``node`` and ``hub``."""
+    return df.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """The pairs whose similarity may be high enough by the sketch of their union."""
-    s = nodes.select("node", "sketch")
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    share = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) / F.size(union)
+    """The pairs of fitting sizes whose similarity may be high enough by the sketch of their union."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    p = round(100 * similarity)
+    both = pairs.join(a, "a").join(b, "b").where((100 * F.col("na") >= p * F.col("nb")) & (100 * F.col("nb") >= p * F.col("na")))
     floor = similarity - 6 * math.sqrt(similarity * (1 - similarity) / k)
-    return both.where(share >= floor).select("a", "b")
+
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            likely = []
+            for x, y in zip(part["sa"], part["sb"]):
+                x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
+                union = np.union1d(x, y)[:k]
+                shared = np.intersect1d(x, y, assume_unique=True)
+                likely.append(np.searchsorted(shared, union[-1], side="right") >= floor * len(union))
+            yield part.loc[likely, ["a", "b"]]
+
+    return both.select("a", "b", "sa", "sb").mapInPandas(estimate, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, similarity: float) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("id is not null")
+    pairs = stored(pairs)
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
     texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     first, second = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    sets = pairs.join(first, "a").join(second, "b").select("a", "b", shingle_words(F.col("ta")).alias("wa"), shingle_words(F.col("tb")).alias("wb"))
-    sets = sets.select("a", "b", shingles(F.col("wa"), n).alias("x"), shingles(F.col("wb"), n).alias("y"))
-    sizes = sets.select("a", "b", F.struct(F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both")).alias("s"))
-    sizes = sizes.groupBy("a", "b").agg(F.max("s").alias("s"))  # a filter right on the sets would be pushed into them and split the texts for each shingle
     p = round(100 * similarity)
-    return sizes.where((100 * F.col("s.both") >= p * (F.col("s.nx") + F.col("s.ny") - F.col("s.both"))) & (F.col("s.both") > 0)).select("a", "b")
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher(_BASE)
+        for b in batches:
+            same = []
+            for x, y in zip(shingle_sets(b["ta"].tolist(), n, hasher), shingle_sets(b["tb"].tolist(), n, hasher)):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(shared > 0 and 100 * shared >= p * (len(x) + len(y) - shared))
+            yield b.loc[same, ["a", "b"]]
+
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (smallest identifier reachable) for every row."""
     made = stored(sketches(docs, doc_id, text, n, k))
     valid = made.where("id is not null and n > 0")
-    nodes = stored(valid.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch")))
-    lists = stored(listed(nodes.select("node", "n", "sketch"), similarity, k))
-
-    hubs = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    hubs = hubs.select("value", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
-    pairs = lists.withColumnsRenamed({"node": "b", "n": "nb"}).join(hubs, "value").where(F.col("a") < F.col("b")).where(_alike_sizes("na", "nb", similarity))
-    pairs = stored(pairs.select("a", "b").distinct())
-    edges = stored(confirmed(estimated(pairs, nodes, similarity, k), docs, doc_id, text, n, similarity))
-    roots = components(edges)
-
-    placed = lists.join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_lists = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
-    members = stored(placed.join(open_lists, "value", "left_semi"))
-    left, right = members.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), members.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike_sizes("na", "nb", similarity)).select("a", "b").distinct()
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"))
-    more = confirmed(estimated(across, nodes, similarity, k), docs, doc_id, text, n, similarity)
-    # what was connected so far counts as an edge to its root
-    roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    classes = nodes.join(roots, "node", "left").select("h1", "h2", F.col("n").alias("__n"), F.coalesce("root", "node").alias("component_id"))
-    keys = (made["h1"] == classes["h1"]) & (made["h2"] == classes["h2"]) & (F.col("n") == F.col("__n")) & F.col("id").isNotNull()
-    out = made.join(classes, keys, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out
+    nodes = stored(valid.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    lists = listed(nodes, similarity, k)
+    hubs = lists.groupBy("value").agg(F.count(F.lit(1)).alias("members"), *_hubs("node", 0)).where("members > 1").select("value", _present().alias("hubs"))
+    shared = stored(lists.join(hubs, "value"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(confirmed(estimated(pairs, nodes, similarity, k), docs, doc_id, text, n, similarity))
+
+    tested = stored(_pairs(shared.select("node", F.explode("hubs").alias("hub"))))
+    roots = components(linked(tested))
+    for complete in (False, True):
+        placed = shared.select("value", "node").join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+        apart = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+        members = stored(placed.join(apart, "value", "left_semi"))
+        if members.isEmpty():
+            break
+        if complete:
+            others = members.select("value", F.col("node").alias("hub"), F.col("root").alias("other"))
+            meet = members.join(others, "value").where("root <> other and node < hub")
+        else:
+            by_root = members.groupBy("value", F.col("root").alias("other")).agg(F.count(F.lit(1)).alias("members"), *_hubs("node", 1)).select("value", "other", "members", _present().alias("hubs"))
+            largest = by_root.groupBy("value").agg(F.max_by("other", F.struct("members", "other")).alias("largest"))
+            outside = members.join(largest, "value").where("root <> largest").select("value", "node", "root")
+            meet = outside.join(by_root.select("value", "other", "hubs"), "value").where("root <> other").select("node", F.explode("hubs").alias("hub"))
+        new = stored(_pairs(meet).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(new)
+        fresh = linked(new)
+        if fresh.isEmpty():
+            continue
+        # what was connected so far counts as an edge to its root
+        roots = components(fresh.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+    out = made.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
