@@ -16,6 +16,7 @@ import base64
 import heapq
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,11 +72,12 @@ def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[Column, .
         for b in batches:
             at, made = [], []
             for i, t in enumerate(b["__text"]):
-                ids = np.array([*(encode(t) if t else ()), end], dtype="<u4")
+                ids = array("I", encode(t) if t else ())
+                ids.append(end)
+                data = memoryview(ids).cast("B")  # unsigned 32-bit; little-endian, as the machines are
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
-                    own = ids[start : start + n]
                     at.append(i)
-                    made.append((k, start, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] * with_ids)))
+                    made.append((k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), *([ids[start : start + n]] * with_ids)))
             found = pd.DataFrame(made, columns=schema.names[len(names) :])
             yield pd.concat([b[names].iloc[at].reset_index(drop=True), found], axis=1)
 
