@@ -41,6 +41,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 1_000) -> None:
+    """Bound what Python workers hold at once: ``most`` rows a batch in this session, unless it
+    asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text without other characters takes the quick way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

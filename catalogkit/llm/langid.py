@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import bounded_sample, code_points
+from catalogkit.llm.common import bounded_sample, code_points, small_batches
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -92,6 +92,7 @@ def train(
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """``keep`` columns of every row, then ``lang_pred`` and ``score``, the posterior
     probability of the language named."""
+    small_batches(docs.sparkSession)
     labels, matrix = model
     bits = (len(matrix) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(matrix)

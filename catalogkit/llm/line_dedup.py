@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import SPACE, stored
+from catalogkit.llm.common import SPACE, small_batches, stored
 
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 PARTS = 4
@@ -82,6 +82,7 @@ def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, max_sent: int = 2_000_000) -> DataFrame:
     """All columns with the text less its dropped lines, then ``n_lines`` and ``n_dropped``
     (columns that had these names are replaced)."""
+    small_batches(docs.sparkSession)
     recurring = recurring_templates(docs, doc_id, text, depth, min_docs, min_tokens)
     rank = F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import chunks, stored
+from catalogkit.llm.common import chunks, small_batches, stored
 from catalogkit.llm.components import components
 from catalogkit.llm.substring_dedup import WordHasher, rolling, split_words
 
@@ -165,6 +165,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (smallest identifier reachable) for every row."""
+    small_batches(docs.sparkSession)
     made = stored(sketches(docs, doc_id, text, n, k))
     valid = made.where("id is not null and n > 0")
     nodes = stored(valid.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))

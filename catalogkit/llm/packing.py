@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import stored
+from catalogkit.llm.common import small_batches, stored
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -63,6 +63,7 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[Column, ...] = (), capacity: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """``keep`` columns, then one row for each piece (and its token ids, if asked for)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     names = rows.columns[:-1]
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(PIECES + ", ids array<int>" * with_ids).fields])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import bounded_sample, code_points
+from catalogkit.llm.common import bounded_sample, code_points, small_batches
 
 ORDERS = (3, 4)
 SLICE = 1 << 18
@@ -114,6 +114,7 @@ def train(
 
 def predict(docs: DataFrame, model: np.ndarray, text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """``keep`` columns of every row, then ``score``, the probability of label 1."""
+    small_batches(docs.sparkSession)
     bits = (len(model) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("__text"))

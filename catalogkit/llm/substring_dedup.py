@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import chunks
+from catalogkit.llm.common import chunks, small_batches
 
 SEGMENTS, PROBES = 64, 4
 SLICE = 1 << 20
@@ -204,6 +204,7 @@ def deduplicate(
     kept words joined by one space) and, if asked for, ``kept_text``, for every row."""
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block")
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     wanted = max(1 << 16, int(chars / 5.5 / block * 8))  # bits for the blocks of about so many words

@@ -17,7 +17,7 @@ def keep_by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that the base rules and the isolation forest let pass."""
     labels = table(spark, sf_dir, "labels")
     model = quality_rules.train(quality_rules.with_stats(docs, keep=(F.col("doc_id"),)), labels)
-    stats = quality_rules.with_stats(docs, keep=tuple(F.col(c).alias(f"col_{c}") for c in docs.columns))
+    stats = quality_rules.with_stats(docs, keep=tuple(F.col(c).alias(f"col_{c}") for c in docs.columns), forest=model[0])
     return quality_rules.judge(stats, model).where("kept").select(*(F.col(f"col_{c}").alias(c) for c in docs.columns))
 
 
