@@ -9,11 +9,15 @@ no leaf is ever gathered. A line is dropped if a template of it recurs in ``min_
 documents or more and this is not the first of them (the smallest identifier), so that
 one copy of every line stays.
 
+With ``wide``, lines of fewer than ``min_tokens`` tokens count in full, and more tokens are
+generalised (``wide_keys``); with ``exact_docs``, whole lines of ``min_tokens`` tokens or more
+recur in that many documents already. Without them the results are those of ``oracle``.
+
 The recurring templates are sent to the tasks while they are fewer than ``max_sent``;
 beyond that, the lines are joined with them.
 
-Defined results: a null text counts as empty (one blank line). Blank lines and lines of
-fewer than ``min_tokens`` tokens stay. Each row counts as a document; rows equal in
+Defined results: a null text counts as empty (one blank line). Blank lines and (unless
+``wide``) lines of fewer than ``min_tokens`` tokens stay. Each row counts as a document; rows equal in
 identifier and text get equal results; null identifiers come last.
 """
 
@@ -37,12 +41,18 @@ LAST = (1 << 63) - 1
 _FIELD, _DIGIT = re.compile(FIELD.encode()), re.compile(b"[0-9]")
 
 
-def template_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
-    """The keys of a line's templates: full, then with two of four parts."""
+def parsed(line: bytes) -> list[bytes]:
+    """The tokens of a line, with variable fields for those that have a digit."""
     tokens = line.split()
     if _DIGIT.search(line):
         fields = _FIELD.sub(b"<*>", line).split()
         tokens = fields if 2 * fields.count(b"<*>") <= len(fields) else tokens
+    return tokens
+
+
+def template_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
+    """The keys of a line's templates: full, then with two of four parts."""
+    tokens = parsed(line)
     n, rest = len(tokens), len(tokens) - depth
     if n < min_tokens:
         return []
@@ -55,35 +65,62 @@ def template_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
     return keys
 
 
-def text_keys(text: str, depth: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all lines of a text, and the number of the line of each."""
+def wide_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
+    """Further keys: lines of fewer than ``min_tokens`` tokens in full, short lines and leading
+    tokens with one token left out, longer lines with three of four parts left out."""
+    tokens = parsed(line)
+    n, rest = len(tokens), len(tokens) - depth
+    if n < min_tokens:
+        return [xxhash.xxh64_intdigest(b"full " + b" ".join(tokens))] if n else []
+    some = range(n if rest < PARTS else depth) if n > 1 else ()
+    keys = [xxhash.xxh64_intdigest(b"out %d %d %s / %s" % (k, n, b" ".join(tokens[:k]), b" ".join(tokens[k + 1 :]))) for k in some]
+    if rest >= PARTS:
+        bound = [depth + rest * k // PARTS for k in range(PARTS + 1)]
+        keys += [xxhash.xxh64_intdigest(b"part %d %d %s / %s" % (k, n, b" ".join(tokens[:depth]), b" ".join(tokens[bound[k] : bound[k + 1]]))) for k in range(PARTS)]
+    return keys
+
+
+def text_keys(text: str, depth: int, min_tokens: int, wide: bool = False, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all lines of a text, and the number of the line of each. With ``exact`` the
+    lowest bit tells the keys of whole lines, fields included, from those of templates."""
     keys, at = [], []
     for i, line in enumerate(text.encode("utf-8", "replace").split(b"\n")):
         own = template_keys(line, depth, min_tokens)
+        if wide:
+            own += wide_keys(line, depth, min_tokens)
+        if exact:
+            own = [k & ~1 for k in own]
+            tokens = line.split()
+            if tokens and len(tokens) >= min_tokens:
+                own.append(xxhash.xxh64_intdigest(b"line " + b" ".join(tokens)) | 1)
         keys += own
         at += [i] * len(own)
     return np.array(keys, np.uint64).view(np.int64), np.array(at, np.int64)
 
 
-def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min_docs: int, min_tokens: int) -> DataFrame:
-    """``key``, ``first``: templates in ``min_docs`` documents or more, and the first one."""
+def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min_docs: int, min_tokens: int, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
+    """``key``, ``first``: templates in ``min_docs`` documents or more (whole lines in
+    ``exact_docs``), and the first one."""
+    how = (depth, min_tokens, wide, exact_docs is not None)
+    least = F.lit(min_docs) if exact_docs is None else F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, exact_docs).otherwise(min_docs)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [np.unique(text_keys(t or "", depth, min_tokens)[0]) for t in b["t"]]
+            own = [np.unique(text_keys(t or "", *how)[0]) for t in b["t"]]
             if own:
                 yield pd.DataFrame({"key": np.concatenate(own), "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in own])})
 
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("id"), F.col(text).alias("t"))
     counted = rows.mapInPandas(parse, "key long, id long").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    return stored(counted.where(F.col("n") >= min_docs).select("key", "first"))
+    return stored(counted.where(F.col("n") >= least).select("key", "first"))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, max_sent: int = 2_000_000) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, max_sent: int = 2_000_000, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
     """All columns with the text less its dropped lines, then ``n_lines`` and ``n_dropped``
     (columns that had these names are replaced)."""
     small_batches(docs.sparkSession)
-    recurring = recurring_templates(docs, doc_id, text, depth, min_docs, min_tokens)
+    how = (depth, min_tokens, wide, exact_docs is not None)
+    recurring = recurring_templates(docs, doc_id, text, depth, min_docs, min_tokens, wide, exact_docs)
     rank = F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*(F.col(c).alias(f"col_{c}") for c in others), rank.alias("__id"))
@@ -104,7 +141,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
             for b in batches:
                 gone = []
                 for t, own in zip(b[column], b["__id"]):
-                    keys, at = text_keys(t or "", depth, min_tokens)
+                    keys, at = text_keys(t or "", *how)
                     found = np.minimum(np.searchsorted(all_keys, keys), len(all_keys) - 1) if len(all_keys) else np.zeros(0, np.int64)
                     gone.append(set(at[(all_keys[found] == keys) & (first[found] != own)].tolist()) if len(found) else set())
                 yield cut(b, gone)
@@ -115,7 +152,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
         def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for t, own, h in zip(b["t"], b["id"], b["h"]):
-                    keys, at = text_keys(t or "", depth, min_tokens)
+                    keys, at = text_keys(t or "", *how)
                     yield pd.DataFrame({"key": keys, "line": at, "id": own, "h": h})
 
         hashed = F.xxhash64(F.coalesce(F.col(column), F.lit("")))

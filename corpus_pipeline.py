@@ -24,7 +24,7 @@ def keep_by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines whose templates recur; a document of which nothing is
     left goes, and ``n_chars`` follows the text."""
-    left = line_dedup.deduplicate(docs)
+    left = line_dedup.deduplicate(docs, wide=True)
     left = left.where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("text", F.lit("")), F.lit(SPACE.replace("[", "[^", 1))))
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)

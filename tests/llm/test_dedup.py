@@ -153,3 +153,16 @@ def test_line_dedup_null_and_repeated_ids(spark, make_docs):
     texts = ["a line that comes again and again"] * 6
     got = line_dedup.deduplicate(make_docs(texts, ids=[None, None, 3, 3, 4, 5])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_dropped) for r in got) == [(False, 3, 0), (False, 3, 0), (False, 4, 1), (False, 5, 1), (True, 0, 1), (True, 0, 1)]
+
+
+@pytest.mark.parametrize("max_sent", [1000, 0])
+def test_line_dedup_whole_lines_in_two_documents_and_plain_word_fields(spark, make_docs, prose, max_sent):
+    names = ["alice", "bob", "carol", "dave", "erin"]
+    texts = [f"{prose(500 + i, 20)}\nPosted by {x}\nok\nour shop in {x} sells {x} and more {x} than all others here" for i, x in enumerate(names)]
+    passage = prose(600, 60)
+    texts += [f"{passage}\nonly {i} here" for i in range(2)]
+    docs = make_docs(texts)
+    got = {r.doc_id: r for r in line_dedup.deduplicate(docs, max_sent=max_sent, wide=True, exact_docs=2).collect()}
+    assert got[0].text == texts[0] and got[5].text == texts[5] and got[6].text == "only 1 here"
+    assert all(got[i].text == texts[i].split("\n")[0] for i in range(1, 5))
+    assert all(r.n_dropped == 0 for r in line_dedup.deduplicate(docs, max_sent=max_sent).collect())
