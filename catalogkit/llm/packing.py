@@ -2,9 +2,9 @@
 
 Documents become token ids; only those longer than a sequence are cut. Pieces are
 dealt to groups of bounded size. Within a group they are packed by best fit in
-descending length; then, while the free space could still empty a bin, pieces of the
-emptiest bins are moved, exchanged one for one, or two for one, into other underfull
-bins, each step increasing the sum of squared fills, until bins empty.
+descending length; then, while the free space could still empty a bin, pieces of all
+underfull bins, the emptiest first, are moved, exchanged one for one, or two for one, into
+others, each step increasing the sum of squared fills, until no step is left.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are packed
 each. An empty table gives no rows. No piece is dropped or cut further.
@@ -13,7 +13,6 @@ each. An empty table gives no rows. No piece is dropped or cut further.
 from __future__ import annotations
 
 import base64
-import heapq
 import math
 import zlib
 from array import array
@@ -108,64 +107,89 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = 40) -> list[list[int]]:
+class Bins:
+    """Bins with tables of the underfull ones by room and by the lengths that they hold (length 0:
+    any). Lengths are at most the capacity, so the tables cover every piece and pair exactly."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
+        self.capacity, self.size = capacity, lengths.tolist()
+        self.held: list[dict[int, list[int]]] = [{} for _ in bins]
+        for own, b in zip(self.held, bins):
+            for p in b:
+                own.setdefault(self.size[p], []).append(p)
+        self.fill = [sum(self.size[p] for p in b) for b in bins]
+        self.found: dict[int, set[int]] = {}  # length * (capacity + 1) + room -> bins
+        self.there = np.zeros((capacity + 1) ** 2, bool)
+
+    def show(self, b: int, on: bool) -> None:
+        """Put an underfull bin into the tables, or take it out."""
+        room = self.capacity - self.fill[b]
+        for n in (0, *self.held[b]) if 0 < room < self.capacity else ():
+            at = n * (self.capacity + 1) + room
+            if on:
+                self.found.setdefault(at, set()).add(b)
+            else:
+                self.found[at].discard(b)
+            self.there[at] = bool(self.found[at])
+
+    def step(self, s: int) -> tuple[tuple[int, ...], int, int] | None:
+        """The step from bin s (not in the tables) that raises the sum of squared fills most:
+        lengths of the one or two pieces to give, the bin, and the length to take (0: none)."""
+        own = sorted(self.held[s])
+        out = {n + m: (n, m) for i, n in enumerate(own) for m in own[i:] if n != m or len(self.held[s][n]) > 1} | {n: (n,) for n in own}
+        most = np.zeros(2 * self.capacity + 1, np.int64)  # the largest sum up to each number
+        sums = np.array(list(out))
+        most[sums] = sums
+        most = np.maximum.accumulate(most)
+        at = np.flatnonzero(self.there)
+        back, room = np.divmod(at, self.capacity + 1)
+        grown = most[back + room] - back  # for one length and room the largest sum gains most
+        gain = np.where(grown > 0, grown * (self.capacity - room - self.fill[s] + grown), 0)
+        k = int(np.argmax(gain)) if len(gain) else -1
+        if k < 0 or gain[k] <= 0:
+            return None
+        return out[int(back[k] + grown[k])], next(iter(self.found[int(at[k])])), int(back[k])
+
+    def move(self, s: int, t: int, n: int) -> None:
+        own = self.held[s][n]
+        self.held[t].setdefault(n, []).append(own.pop())
+        if not own:
+            del self.held[s][n]
+        self.fill[s] -= n
+        self.fill[t] += n
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty bins by moves and exchanges that increase the sum of squared fills.
 
-    Stops when the free space is less than a bin, which no packing could save, or after
-    ``patience`` bins in a row that could not be emptied."""
-    fill = np.array([lengths[b].sum() for b in bins], dtype=np.int64)
-    loose = [i for i in range(len(bins)) if fill[i] < capacity]
-    slack = int(sum(capacity - fill[i] for i in loose))
-    todo = [(int(fill[i]), i) for i in loose]
-    heapq.heapify(todo)
-    failed = 0
-    while slack >= capacity and todo and failed < patience:
-        _, s = heapq.heappop(todo)
-        targets = [t for t in loose if t != s and bins[t] and fill[t] < capacity and fill[t] >= fill[s]]
-        if not targets:
-            break
-        owner = np.repeat(targets, [len(bins[t]) for t in targets])
-        piece = np.concatenate([bins[t] for t in targets])
-        size = lengths[piece]
-        while bins[s]:
-            best: tuple[int, tuple[int, ...], int] | None = None
-            rooms = capacity - fill[owner]
-            singles = [((p,), int(lengths[p])) for p in bins[s]]
-            pairs = [((p, q), int(lengths[p] + lengths[q])) for k, p in enumerate(bins[s]) for q in bins[s][k + 1 :]]
-            for out, n in singles + pairs[:64]:
-                for exchange in (False, True):
-                    grown = n - size if exchange else np.full(len(size), n)
-                    gain = np.where((grown > 0) & (grown <= rooms), grown * (fill[owner] - fill[s] + grown), -1)
-                    if not exchange and len(out) > 1:
-                        continue
-                    k = int(np.argmax(gain))
-                    if gain[k] > 0 and (best is None or gain[k] > best[0]):
-                        best = (int(gain[k]), out, k if exchange else -k - 1)
-            if best is None:
+    A bin gives one or two pieces and takes none or one back. Stops when the free space is less
+    than a bin, which no packing could save, or when a whole pass over all underfull bins, the
+    emptiest first, brings no gain."""
+    slack = len(bins) * capacity - int(lengths.sum())
+    if slack < capacity:
+        return bins
+    state, gained = Bins(bins, lengths, capacity), True
+    fill = state.fill
+    for b in range(len(bins)):
+        state.show(b, True)
+    while gained and slack >= capacity:
+        gained = False
+        for s in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=fill.__getitem__):
+            if slack < capacity:
                 break
-            _, out, k = best
-            swap = k >= 0
-            k = k if swap else -k - 1
-            t = int(owner[k])
-            grown = int(lengths[list(out)].sum()) - (int(size[k]) if swap else 0)
-            for p in out:
-                bins[s].remove(p)
-            bins[t].extend(out)
-            if swap:
-                back = int(piece[k])
-                bins[t].remove(back)
-                bins[s].append(back)
-            fill[t] += grown
-            fill[s] -= grown
-            keep = owner != t
-            owner = np.concatenate([owner[keep], np.full(len(bins[t]), t)])
-            piece = np.concatenate([piece[keep], bins[t]])
-            size = lengths[piece]
-        if bins[s]:
-            failed += 1
-        else:
-            failed, slack = 0, slack - capacity
-    return [b for b in bins if b]
+            state.show(s, False)
+            while 0 < fill[s] < capacity and (best := state.step(s)):
+                gained = True
+                out, t, back = best
+                state.show(t, False)
+                for n in out:
+                    state.move(s, t, n)
+                if back:
+                    state.move(t, s, back)
+                state.show(t, True)
+            state.show(s, True)
+            slack -= capacity * (fill[s] == 0)
+    return [[p for ps in own.values() for p in ps] for own in state.held if own]
 
 
 def pack(rows: DataFrame, length: str = "length", capacity: int = 1024, per_group: int = 200_000) -> DataFrame:

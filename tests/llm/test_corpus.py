@@ -126,6 +126,24 @@ def test_local_search_empties_a_bin_by_exchanges():
     assert len(packing.improve([list(b) for b in loose], lengths, 10)) == 3
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_local_search_ends_only_where_no_step_is_left(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.concatenate([rng.integers(35, 70, 240), rng.integers(1, 9, 60)])
+    bins = [[int(i)] for i in range(240)] + [list(range(240 + 15 * k, 255 + 15 * k)) for k in range(4)]
+    bins = packing.improve(bins, lengths, 100)
+    fill = [int(lengths[b].sum()) for b in bins]
+    assert sorted(sum(bins, [])) == list(range(300)) and max(fill) <= 100
+    if len(bins) * 100 - sum(fill) < 100:
+        return
+    for s, own in enumerate(bins):
+        give = {int(lengths[p]) for p in own} | {int(lengths[p] + lengths[q]) for i, p in enumerate(own) for q in own[i + 1 :]}
+        for t, other in enumerate(bins):
+            if s != t and fill[s] < 100 and fill[t] < 100:
+                for grown in {n - b for n in give for b in (0, *lengths[other].tolist())}:
+                    assert not (0 < grown <= 100 - fill[t] and fill[t] - fill[s] + grown > 0)
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
