@@ -1,11 +1,13 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Each document gets statistics that quality rules look at (word and symbol counts,
-repeated lines and repeated three-word windows, case and digit shares), each
-measured as its excess over the range (and a margin) that label-1 rows keep to. A forest of random
-splits is grown on a bounded sample; short average path lengths mark anomalous
-documents. The threshold comes from labelled rows: the one that best separates
-label 0 from label 1 while it rejects about ``max_false`` of label 1 at most.
+repeated lines and repeated three-word windows, case and digit shares). Forests of random
+splits are grown on a bounded sample, one on the statistics' excess over the range (and a
+margin) that label-1 rows keep to, one on the statistics themselves; short average path
+lengths mark anomalous documents, and the higher of both scores counts. Range and thresholds
+come from all labelled rows: those that best separate label 0 from label 1 while they reject
+``max_false`` of label 1 at most together. Where the second forest finds no label-0 row that
+the first left, it rejects what is more unusual than every label-1 row.
 
 Defined results: a null text counts as empty, has no words and fails the base
 rules. Without labelled rows of both classes the forest rejects nothing. Every row
@@ -23,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from catalogkit.llm.common import bounded_sample, small_batches
+from catalogkit.llm.common import bounded_sample, small_batches, stored
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STEPS = 1 << 16
 SHARES = ("upper_share", "digit_share", "bang_share", "top_share")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, upper_share double, digit_share double, bang_share double, top_share double, n_lines long"
 
@@ -121,10 +124,16 @@ def excess(x: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return np.maximum(x - limits[1], 0) + np.maximum(limits[0] - x, 0)
 
 
-def anomaly(x: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]) -> np.ndarray:
-    """Between 0 and 1; higher: isolated by fewer splits."""
-    feature, split, path, size, limits = forest
-    x = excess(x, limits)
+def anomaly(x: np.ndarray, forest: tuple) -> np.ndarray:
+    """Between 0 and 1; higher: isolated by fewer splits. The second forest's scores are
+    shifted so that both have one threshold."""
+    *parts, shifts, limits = forest
+    scores = [isolation(seen, part) + shift for seen, part, shift in zip((excess(x, limits), x), parts, shifts)]
+    return np.clip(np.maximum(*scores), 0, 1)
+
+
+def isolation(x: np.ndarray, grown: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
+    feature, split, path, size = grown
     total = np.zeros(len(x))
     for f, s, p in zip(feature, split, path):
         node = np.zeros(len(x), np.int64)
@@ -153,25 +162,69 @@ def train(
 ) -> tuple[tuple, float]:
     """The forest and the score from which a document is rejected.
 
-    At most about ``max_rows`` labelled rows (by a hash of the key) serve both the
-    growth of the forest (their statistics) and the calibration of its threshold.
+    At most about ``max_rows`` labelled rows (by a hash of the key) serve the growth of the
+    forest; the usual ranges and the threshold come from all of them, by aggregates that
+    combine on the map side.
     """
     y = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).where("__y in (0, 1)")
-    rows = stats.where(~base_failed()).join(y, F.col(key) == F.col("__k")).drop("__k")
+    rows = stored(stats.where(~base_failed()).join(y, F.col(key) == F.col("__k")).drop("__k"))
     b = bounded_sample(rows, F.struct(key), max_rows).toPandas().sort_values([key, "__y"], kind="stable")
-    if len(b) < 2 or b["__y"].nunique() < 2:
+    if len(b) < 2 or rows.agg(F.count_distinct("__y")).first()[0] < 2:
         return (), np.inf
-    x, good = _matrix(b), b["__y"].to_numpy() == 1
-    low, high = np.quantile(x[good], [max_false / 4, 1 - max_false / 4], axis=0)
+    x = _matrix(b)
+    low, high = usual_range(rows.where("__y = 1"), x.shape[1], max_false / 4)
     limits = np.array([low - margin * (high - low), high + margin * (high - low)])
-    forest = (*grow(excess(x, limits), trees, subsample, seed), limits)
-    score = anomaly(x, forest)
-    floor = np.quantile(score[good], 1 - max_false)
-    cuts = np.unique(score[score > floor])
-    if not len(cuts):
-        return forest, np.inf
-    caught = np.array([(score[~good] >= c).mean() - (score[good] >= c).mean() for c in cuts])
-    return forest, float(cuts[int(np.argmax(caught))])
+    outer, inner = grow(excess(x, limits), trees, subsample, seed), grow(x, trees, subsample, seed)
+    first = counts(rows, (outer, outer, (0, -1), limits))
+    total = first[["good", "bad"]].sum()
+    limit = threshold(first, total, max_false, 0)
+    caught = first["step"] >= limit * STEPS
+    second = counts(rows, (outer, inner, (0, 0), limits), limit)
+    further = threshold(second, total, max_false, first.loc[caught, "good"].sum())
+    if np.isinf(further):  # above all rows of label 1 that are left
+        further = float((second.loc[second["good"] > 0, "step"].max() + 1) / STEPS)
+    if np.isinf(limit):
+        return (outer, inner, (-1, 0), limits), further
+    return (outer, inner, (0, limit - further), limits), limit
+
+
+def usual_range(rows: DataFrame, n: int, tail: float) -> np.ndarray:
+    """The quantiles ``tail`` and 1 - ``tail`` of each statistic over all rows."""
+    names = [f"x{i}" for i in range(n)]
+
+    def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(_matrix(b), columns=names)
+
+    x = rows.mapInPandas(matrix, ", ".join(f"{c} double" for c in names))
+    found = x.agg(*(F.percentile_approx(c, [tail, 1 - tail], 100_000).alias(c) for c in names)).first()
+    return np.array([found[c] for c in names]).T
+
+
+def counts(rows: DataFrame, forest: tuple, below: float | None = None) -> pd.DataFrame:
+    """``good`` and ``bad`` rows by ``step`` (of ``STEPS``) of their score, the highest first; with
+    ``below`` by the second forest's score, of rows for which the first one's is less than that."""
+    sent = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        outer, inner, _, limits = sent.value
+        for b in batches:
+            x, y = _matrix(b), b["__y"].to_numpy()
+            found = isolation(excess(x, limits), outer)
+            if below is not None:
+                left = found < below
+                found, y = isolation(x[left], inner), y[left]
+            yield pd.DataFrame({"step": np.floor(found * STEPS).astype(np.int64), "y": y})
+
+    scored = rows.mapInPandas(score, "step long, y int").groupBy("step")
+    return scored.agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")).toPandas().sort_values("step", ascending=False)
+
+
+def threshold(c: pd.DataFrame, total: pd.Series, max_false: float, gone: int) -> float:
+    """The score that separates best if ``gone`` rows of label 1 are rejected already."""
+    good, bad = c["good"].cumsum() / total["good"], c["bad"].cumsum() / total["bad"]
+    gain = (bad - good).where(c["good"].cumsum() + gone <= max_false * total["good"], -np.inf).to_numpy()
+    return float(c["step"].iloc[int(np.argmax(gain))] / STEPS) if len(gain) and gain.max() > 0 else np.inf
 
 
 def judge(stats: DataFrame, model: tuple[tuple, float]) -> DataFrame:

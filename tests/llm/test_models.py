@@ -75,3 +75,21 @@ def test_isolation_forest_rejects_junk_and_keeps_the_rest(spark, make_docs):
     calm = quality_rules.judge(stats, quality_rules.train(stats, labels.where("quality = 1")))
     assert calm.where("kept").count() == 165
     assert quality_rules.judge(stats.where("false"), quality_rules.train(stats.where("false"), labels)).count() == 0
+
+
+def test_forest_sees_statistics_within_the_usual_range_and_all_labels(spark):
+    rng = np.random.default_rng(3)
+    shares = [float(rng.choice([0.1, 0.5]) + rng.uniform(-0.02, 0.02)) for _ in range(600)]
+    rows = [(i, 100, 500, 0, 0, 0, s, 0.1, 0.0, 0.1, 3) for i, s in enumerate(shares)]
+    rows += [(600 + i, 100, 500, 90, 0, 0, 0.1, 0.1, 0.0, 0.1, 3) for i in range(20)]
+    rows += [(700, 100, 500, 0, 0, 0, 0.3, 0.1, 0.0, 0.1, 3), (701, 100, 500, 0, 0, 0, 0.1, 0.1, 0.0, 0.1, 3)]
+    stats = spark.createDataFrame(rows, "doc_id long, " + quality_rules.STATS)
+    labels = stats.where("doc_id < 700").select("doc_id", (F.col("doc_id") < 600).cast("int").alias("quality"))
+    model = quality_rules.train(stats, labels)
+    got = {r.doc_id: r for r in quality_rules.judge(stats, model).collect()}
+    assert got[700].anomaly > got[701].anomaly  # in a gap of the range, and a usual one
+    few = quality_rules.train(stats, labels, max_rows=100)
+    assert (few[0][-1] == model[0][-1]).all()
+    kept = [r.kept for r in quality_rules.judge(stats, few).orderBy("doc_id").collect()]
+    assert sum(kept[:600]) >= 599 and not any(kept[600:620])
+    assert got[701].kept
