@@ -5,7 +5,8 @@ set of template phrases in a broadcast join (the words themselves are compared o
 hit). Each hit votes for the diagonal document position - template position.
 Votes are summed by diagonal, neighbouring diagonals are merged (words added or left
 out), and a merged span counts if enough of its template is there in a span of about
-its length. A diagonal with a vote from each pair of a phrase is an exact place.
+its length: either a chain of diagonals with a quarter of the pairs each, or any run of
+diagonals at most twice ``shift`` apart, however few votes each of them has. A diagonal with a vote from each pair of a phrase is an exact place.
 
 Defined results: a null text is empty, with no words, labels '' and score 0. Equal
 rows (identifier and text) are counted once and returned as often as they came.
@@ -63,20 +64,25 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     votes = hits.select("doc_id", "key", F.when(F.col("at") == 0, F.size("ws")).alias("n_words"), "tid", "label", "base", "m", "tpos", (p - F.col("tpos")).alias("diagonal"))
 
     lines = votes.groupBy("doc_id", "key", "tid", "label", "base", "m", "diagonal").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set("tpos").alias("seen"))
-    lines = lines.where("tid is null or 4 * size(seen) >= m - 1")
-    of = W.partitionBy("doc_id", "key", "tid").orderBy("diagonal")
+    run = W.partitionBy("doc_id", "key", "tid").orderBy("diagonal").rangeBetween(0, 2 * shift)
+    lines = lines.withColumn("near", F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(run)))) / (F.col("m") - 1))
+    core = F.coalesce(4 * F.size("seen") >= F.col("m") - 1, F.lit(True))
+    lines = lines.withColumn("core", core).where(F.col("core") | (~F.col("base") & (F.col("near") >= coverage)))
+    of = W.partitionBy("doc_id", "key", "tid", "core").orderBy("diagonal")
     merged = lines.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(of) > shift).cast("int"))
     merged = merged.withColumn("span", F.sum(F.coalesce("new", F.lit(1))).over(of))
-    spans = merged.groupBy("doc_id", "key", "tid", "span").agg(
+    spans = merged.groupBy("doc_id", "key", "tid", "core", "span").agg(
         F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("m").alias("m"),
         F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"),
-        F.min(F.col("diagonal") + F.array_min("seen")).alias("start"), F.max(F.col("diagonal") + F.array_max("seen") + 2).alias("end"),
+        F.max("near").alias("near"), F.min(F.col("diagonal") + F.array_min("seen")).alias("start"), F.max(F.col("diagonal") + F.array_max("seen") + 2).alias("end"),
         F.count_if(F.col("base") & (F.size("seen") == F.col("m") - 1)).alias("places"),
         F.min(F.when(F.col("base") & (F.size("seen") == F.col("m") - 1), F.col("diagonal"))).alias("first"),
         F.max(F.when(F.col("base") & (F.size("seen") == F.col("m") - 1), F.col("diagonal"))).alias("last"),
     )
-    share = F.col("seen") / (F.col("m") - 1)
-    verified = ~F.col("base") & (share >= coverage) & (F.col("end") - F.col("start") <= F.col("m") + 2 * shift)
+    chain = F.col("seen") / (F.col("m") - 1)
+    fits = F.col("core") & (chain >= coverage) & (F.col("end") - F.col("start") <= F.col("m") + 2 * shift)
+    share = F.greatest(F.when(fits, chain), F.col("near"))
+    verified = ~F.col("base") & (share >= coverage)
     is_base = F.col("places") > 0
     found = spans.groupBy("doc_id", "key").agg(
         F.max("n_words").cast("long").alias("n_words"), F.sum("copies").alias("copies"), F.sum("places").alias("n_base"),

@@ -38,6 +38,15 @@ def test_license_scan_repeats_nulls_and_nothing(spark, make_docs):
     assert licenses.scan(make_docs([])).count() == 0
 
 
+def test_license_scan_adds_up_votes_of_thin_diagonals(spark, make_docs):
+    phrase = "permission is hereby granted free of charge to any person obtaining a copy of this software".split()
+    split = [*phrase[:9], "x", *phrase[9:13], "y", *phrase[13:]]
+    apart = [*phrase[:4], "x", *phrase[4:8], "y", *phrase[8:12], "z", *phrase[12:]]
+    got = {r.doc_id: r for r in licenses.scan(make_docs([" ".join(split), " ".join(apart), " ".join(phrase[::-1])])).collect()}
+    assert [got[i].labels for i in range(3)] == ["mit", "mit", ""]
+    assert abs(got[0].score - 13 / 15) < 1e-9 and abs(got[1].score - 12 / 15) < 1e-9
+
+
 def brute_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight, total, capped = {s: weights[i % 3] for i, s in enumerate(names)}, sum(sizes.values()), set()
