@@ -38,7 +38,18 @@ def stored(df: DataFrame) -> DataFrame:
     The table outlives lost executors; it goes with the shared folder."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made and nothing reads any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, most: int = 1_000) -> None:

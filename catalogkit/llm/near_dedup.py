@@ -2,44 +2,55 @@
 
 1. Each document's set of word shingles is hashed once; its k smallest hashes are its
    sketch. Documents with equal sets form a class and go on as one node.
-2. Inverted lists of retained values generate overlaps. The values of a sketch are put
-   into one global order, rare ones first, and a node is listed under each two that
-   stand next to each other: similar sets agree in most of the order, while others that
-   happen to share a frequent value do not meet. Where sketches hold whole sets this
-   finds every pair asked for (see ``neighbours``); among the first ``LISTED`` values of longer ones it fails with a chance
-   of about 1e-10. What rare means comes from counts by hash in a table of fixed size.
-3. Members of a list are first held against a few hubs, the smallest node of each of
-   ``HUBS`` hash classes, so that a group of copies costs as many pairs as it has members
-   times hubs. Lists whose members are then all connected are done. In the others,
-   members outside the largest component meet representatives of the other components,
-   and what is still apart meets in full, so no partner is left out.
-4. The sketch of the union estimates each pair's similarity; pairs far below are left
-   out, the others are confirmed on the full sets of shingles, read from the texts.
+2. Inverted lists of retained values. The values of a sketch are put into one global order,
+   rare ones first, and a node is listed under each ``RUN`` of them that stand next to each
+   other: similar sets agree in most of the order, while others that happen to share a
+   frequent value do not meet. Where sketches hold whole sets this finds every pair asked
+   for (see ``runs`` and ``listed_values``); with longer ones it fails with a chance of about
+   1e-11. What rare means comes from counts by hash in a table of fixed size. Lists with
+   the same members count as one.
+3. Overlaps are counted inside tasks, which get the members of a list with their sketches
+   (``overlaps``: inverted lists again, of single values). The sketch of the union estimates
+   each pair's similarity; pairs far below 0.8 are left out. A task gives out who hangs
+   together, one row for each member, and never a pair.
+4. What hangs together by estimate is a canopy; every similar pair lies within one. A
+   canopy's members meet in a task with their whole texts, once each, and overlaps of the
+   full sets confirm who is linked.
+
+Groups beyond ``capacity`` are dealt to blocks that share some members (``joined``). Only where
+parts of a group are then still apart do the blocks of the smaller parts meet the others, so
+that a group of copies costs as much as it has members.
 
 Defined results: a null text, or one without words, has an empty set and is linked with
 nothing; a text of fewer words than a shingle has its words as the only one. Rows that
-share an identifier are one document; a null identifier is linked with nothing.
+share an identifier are one document; a null identifier is linked with nothing. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import chunks, small_batches, stored
+from catalogkit.llm.common import chunks, free, small_batches, stored
 from catalogkit.llm.components import components
 from catalogkit.llm.substring_dedup import WordHasher, rolling, split_words
 
-K, LISTED, HUBS = 64, 36, 8
+K, RUN, SHARED = 64, 3, 32
 COUNTERS = 1 << 18
 SLICE = 1 << 20
+#: Members of a list, and shingles of a canopy, that one task compares at once.
+MEMBERS, SHINGLES = 2_048, 1 << 20
+#: Values with more holders than this in a batch of tasks are counted by a matrix product.
+HEAVY = 24
 _BASE = 0x5851F42D4C957F2D
+_TOP = np.uint64(32)
 
 
 def shingle_sets(texts: list[str | None], n: int, hasher: WordHasher) -> Iterator[np.ndarray]:
@@ -47,44 +58,58 @@ def shingle_sets(texts: list[str | None], n: int, hasher: WordHasher) -> Iterato
     for at in chunks([t or "" for t in texts], SLICE):
         data, starts, ends, begin = split_words([(texts[i] or "").encode("utf-8", "replace").lower() for i in at])
         words = hasher(data, starts, ends)
-        runs = rolling(words, n)
+        shingles = rolling(words, n)
         for a, b in zip(begin[:-1], begin[1:]):
             if b - a >= n:
-                yield np.unique(runs[a : b - n + 1])
+                yield np.unique(shingles[a : b - n + 1])
             else:
-                yield rolling(words[a:b], b - a) if b > a else runs[:0]
+                yield rolling(words[a:b], b - a) if b > a else shingles[:0]
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, k: int = K) -> DataFrame:
-    """``id``, ``n`` (set size), a 128-bit digest of the whole set, and its sketch."""
+    """``id``, ``n`` (set size), a 128-bit digest of the whole set, and its sketch (the upper
+    32 bits of the k smallest hashes: equal ones by chance only make a pair look closer)."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(_BASE)
         for b in batches:
-            sets = [(len(s), xxhash.xxh128_digest(s.tobytes()), s[:k].view(np.int64)) for s in shingle_sets(b["t"].tolist(), n, hasher)]
+            sets = [(len(s), xxhash.xxh128_digest(s.tobytes()), (s[:k] >> _TOP).astype(np.uint32).tobytes()) for s in shingle_sets(b["t"].tolist(), n, hasher)]
             yield pd.DataFrame({"id": b["id"], "n": [s[0] for s in sets], "digest": [s[1] for s in sets], "sketch": [s[2] for s in sets]})
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(sketch, "id long, n long, digest binary, sketch array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(sketch, "id long, n long, digest binary, sketch binary")
 
 
-def neighbours(n: int, similarity: float) -> int:
-    """How many of n values, in order, hold two neighbours that a similar set has as neighbours too.
+def unsure(run: int, similarity: float) -> float:
+    """Up to how many common values two sets may have no ``run`` of them in sequence.
 
-    Of two sets with i values in common and x, y own ones, i >= similarity * (i + x + y). Each
-    common value before the first two neighbours stands alone, which takes an own value of either
-    set; so they end at place 2 x + y + 2 at most, which is largest if all own values are in the
-    set of n."""
-    return math.floor(2 * (1 - similarity) * n + 1e-9) + 2
+    With i common values there are at most i * (1 - similarity) / similarity own ones of either
+    set, which cut the order into one part more; parts of run - 1 each hold the most."""
+    return (run - 1) / (1 - (run - 1) * (1 - similarity) / similarity)
+
+
+def runs(n: int, similarity: float) -> list[int]:
+    """The lengths of run under which a set of n values is listed: the longest that is sure
+    for large sets, and shorter ones where n is too small for it."""
+    longest = max(r for r in range(1, RUN + 1) if (r - 1) * (1 - similarity) < similarity - 1e-9)
+    return [r for r in range(longest, 0, -1) if r == longest or n * similarity <= unsure(r + 1, similarity) + 1e-9]
+
+
+def listed_values(n: int, run: int, similarity: float) -> int:
+    """How many of n values, in order, hold a run that a similar set has as a run too.
+
+    Before the first one, x own values of this set and y of the other part the common ones into
+    parts of run - 1 at most; so it ends at place run * (x + 1) + (run - 1) * y at most, which is
+    largest if all own values are in this set."""
+    return math.floor(run * (1 - similarity) * n + 1e-9) + run
 
 
 def listed(nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """``value``, ``node``: each node under the neighbours in the order of its sketch."""
+    """``value``, ``node``: each node under the runs of values in the order of its sketch."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for x in b["sketch"]:
-                np.add.at(total, np.asarray(x) & (COUNTERS - 1), 1)
+            total += np.bincount(np.frombuffer(b"".join(b["sketch"]), np.uint32) % COUNTERS, minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"slot": at, "n": total[at]})
 
@@ -96,111 +121,214 @@ def listed(nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             values = []
-            for x, n in zip(b["sketch"], b["n"]):
-                x = np.asarray(x)
-                x = x[np.lexsort((x, sent.value[x & (COUNTERS - 1)]))]
+            for data, n in zip(b["sketch"], b["n"]):
+                x = np.frombuffer(data, np.uint32)
+                x = x[np.lexsort((x, sent.value[x % COUNTERS]))].astype(np.uint64)
                 # beyond this size a similar set may be larger than a sketch
-                x = x[: neighbours(n, similarity) if n <= similarity * k else LISTED]
-                values.append(rolling(x.view(np.uint64), 2).view(np.int64))
+                whole = n <= similarity * k
+                values.append(np.concatenate([rolling(x[: listed_values(n, r, similarity) if whole else k], r) for r in runs(n, similarity)]).view(np.int64))
             if values:
                 yield pd.DataFrame({"value": np.concatenate(values), "node": np.repeat(b["node"].to_numpy(), [len(v) for v in values])})
 
     return nodes.mapInPandas(choose, "value long, node long")
 
 
-def _hubs(node: str, seed: int) -> list[Column]:
-    """The smallest node of each hash class, with map-side combining."""
-    own = F.pmod(F.xxhash64(F.col(node), F.lit(seed)), F.lit(HUBS))
-    return [F.min(F.when(own == j, F.col(node))).alias(f"h{j}") for j in range(HUBS)]
-
-
-def _present() -> Column:
-    return F.filter(F.array(*(F.col(f"h{j}") for j in range(HUBS))), lambda x: x.isNotNull())
-
-
-def _pairs(df: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of ``node`` and ``hub``."""
-    return df.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def estimated(pairs: DataFrame, nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """The pairs of fitting sizes whose similarity may be high enough by the sketch of their union."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    p = round(100 * similarity)
-    both = pairs.join(a, "a").join(b, "b").where((100 * F.col("na") >= p * F.col("nb")) & (100 * F.col("nb") >= p * F.col("na")))
-    floor = similarity - 6 * math.sqrt(similarity * (1 - similarity) / k)
-
-    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            likely = []
-            for x, y in zip(part["sa"], part["sb"]):
-                x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
-                union = np.union1d(x, y)[:k]
-                shared = np.intersect1d(x, y, assume_unique=True)
-                likely.append(np.searchsorted(shared, union[-1], side="right") >= floor * len(union))
-            yield part.loc[likely, ["a", "b"]]
-
-    return both.select("a", "b", "sa", "sb").mapInPandas(estimate, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, similarity: float) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    pairs = stored(pairs)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    first, second = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+def members(lists: DataFrame) -> DataFrame:
+    """``group``, ``node``, ``weight`` (1) and ``total``: the lists of several nodes, each set of members once."""
+    lists = lists.repartition("value")  # dealt once for the counts and for the members
+    h = F.xxhash64("node")
+    counted = lists.groupBy("value").agg(F.count(F.lit(1)).alias("total"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 8)).alias("y"))
+    own = ("total", "low", "high", "x", "y")
+    kept = counted.where("low < high").groupBy(*own).agg(F.min("value").alias("value"))
+    return lists.join(kept.select("value", "total"), "value").select(F.col("value").alias("group"), "node", F.lit(1).alias("weight"), "total")
+
+
+def overlaps(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i < j and how many values they share, for all pairs of n rows that share some.
+
+    ``values`` belong to ``row``, which is sorted. The holders of each value are its inverted list;
+    short lists count by shifts, long ones by products of row x value matrices."""
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(values)))
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    short = (size > 1) & (size <= HEAVY)
+    start, size, heavy = start[short], size[short], (start[size > HEAVY], size[size > HEAVY])
+    place, left = np.repeat(start, size) + _within(size), np.repeat(size, size) - _within(size)
+    for shift in range(1, int(size.max(initial=1))):
+        at = place[left > shift]
+        codes.append(row[at].astype(np.int64) * n + row[at + shift])
+        counts.append(np.ones(len(at), np.int64))
+    if len(heavy[0]):
+        holders = row[np.repeat(heavy[0], heavy[1]) + _within(heavy[1])]
+        column = np.repeat(np.arange(len(heavy[0])), heavy[1])
+        some, at = np.unique(holders, return_inverse=True)
+        shared = np.zeros((len(some), len(some)), np.float32)
+        for c in range(0, len(heavy[0]), 4096):
+            there = (column >= c) & (column < c + 4096)
+            m = np.zeros((len(some), min(4096, len(heavy[0]) - c)), np.float32)
+            m[at[there], column[there] - c] = 1
+            shared += m @ m.T
+        i, j = np.nonzero(np.triu(shared, 1))
+        codes.append(some[i].astype(np.int64) * n + some[j])
+        counts.append(shared[i, j].astype(np.int64))
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+    i, j = np.divmod(code, n) if n else (code, code)
+    return i[i < j], j[i < j], total[i < j]
+
+
+def _within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the given sizes."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def hanging(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that the pairs i, j connect it with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut so that no (``group``, ``block``), which come in sequence, is parted."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        same = (b["group"] == b["group"].iloc[-1]) & (b["block"] == b["block"].iloc[-1])
+        first = int(np.argmax(same.to_numpy()))
+        if first or (held and (held[-1]["group"].iloc[-1], held[-1]["block"].iloc[-1]) != (b["group"].iloc[0], b["block"].iloc[0])):
+            yield pd.concat([*held, b.iloc[:first]], ignore_index=True)
+            held = []
+        held.append(b.iloc[first:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def similar(compare: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task: rows of some groups -> ``a``, ``b``, a row of a group and the first it hangs together with.
+    ``compare`` gets the rows and their group's number and returns pairs of rows."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches):
+            changed = (b["group"].diff().ne(0) | b["block"].diff().ne(0)).to_numpy()
+            i, j = compare(b, np.cumsum(changed))
+            apart = (b["root"].to_numpy()[i] != b["root"].to_numpy()[j])
+            label, node = hanging(len(b), i[apart], j[apart]), b["node"].to_numpy()
+            other = label != np.arange(len(b))
+            yield pd.DataFrame({"a": node[other], "b": node[label[other]]})
+
+    return task
+
+
+def by_estimate(similarity: float, k: int = K):
+    """Pairs whose sketches overlap enough: by the share of the values up to the smaller of both
+    ends that both hold, six standard deviations below ``similarity`` at least; where both
+    sketches hold whole sets, ``similarity`` itself."""
+
+    def compare(b: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(x) // 4 for x in b["sketch"]], np.int64)
+        values, row = np.frombuffer(b"".join(b["sketch"]), np.uint32).astype(np.uint64), np.repeat(np.arange(len(b)), size)
+        i, j, shared = overlaps((group.astype(np.uint64)[row] << _TOP) | values, row, len(b))
+        n, begin = b["n"].to_numpy(), np.cumsum(size) - size
+        placed = (row.astype(np.uint64) << _TOP) | values
+        end = np.where(n > k, values[begin + size - 1], np.uint64(0xFFFFFFFF))
+        both = np.minimum(end[i], end[j])
+        union = sum(np.searchsorted(placed, (x.astype(np.uint64) << _TOP) | both, side="right") - begin[x] for x in (i, j)) - shared
+        whole = (n[i] <= k) & (n[j] <= k)
+        floor = np.where(whole, similarity, similarity - 6 * np.sqrt(similarity * (1 - similarity) / np.maximum(union, 1)))
+        likely = (shared >= floor * union - 1e-9) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        return i[likely], j[likely]
+
+    return similar(compare)
+
+
+def by_full_sets(n: int, similarity: float):
+    """Pairs of texts whose full sets of shingles are similar enough."""
     p = round(100 * similarity)
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher(_BASE)
-        for b in batches:
-            same = []
-            for x, y in zip(shingle_sets(b["ta"].tolist(), n, hasher), shingle_sets(b["tb"].tolist(), n, hasher)):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(shared > 0 and 100 * shared >= p * (len(x) + len(y) - shared))
-            yield b.loc[same, ["a", "b"]]
-
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long").distinct()
-
-
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
-    """``id``, ``n_shingles``, ``component_id`` (smallest identifier reachable) for every row."""
+    def compare(b: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sets = list(shingle_sets(b["t"].tolist(), n, WordHasher(_BASE)))
+        size = np.array([len(s) for s in sets], np.int64)
+        row = np.repeat(np.arange(len(b)), size)
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        i, j, shared = overlaps(group[row].astype(np.int64) << 32 | code, row, len(b))
+        same = 100 * shared >= p * (size[i] + size[j] - shared)
+        return i[same], j[same]
+
+    return similar(compare)
+
+
+def joined(members: DataFrame, data: DataFrame, task: Callable, capacity: int) -> DataFrame:
+    """``node``, ``root``: what ``task`` connects of the ``members`` (``group``, ``node``, ``weight``,
+    ``total`` weight of the group) with their ``data`` (``node``, ...).
+
+    Groups heavier than ``capacity`` are dealt to blocks by a hash of the node; about ``SHARED``
+    members come to every block, which connects the parts of a group of copies. Groups
+    that are then in several parts go on: blocks of members outside the largest part meet
+    each other and those of the largest part, whose members do not meet again."""
+
+    def links(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(data, "node").repartition("group", "block").sortWithinPartitions("group", "block", "node")
+        return stored(dealt.mapInPandas(task, "a long, b long").distinct())
+
+    def blocks(weight: str, most: int, seed: int):
+        n = F.ceil(F.col(weight) / F.lit(most)).cast("long")
+        return n, F.pmod(F.xxhash64("node", F.lit(seed)), n)
+
+    members = stored(members)
+    n, own = blocks("total", capacity, 0)
+    common = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("total") / F.col("weight") / SHARED))) == 0
+    large = members.where(F.col("total") > capacity)
+    rows = members.where(F.col("total") <= capacity).select("group", F.lit(0).cast("long").alias("block"), "node", F.col("node").alias("root"))
+    dealt = large.select("group", F.explode(F.when(common, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(own))).alias("block"), "node", F.col("node").alias("root"))
+    first = links(rows.unionByName(dealt))
+    roots = components(first)
+    placed = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("group", "root").agg(F.sum("weight").alias("part"))
+    parts = parts.groupBy("group").agg(F.sum("part").alias("all"), F.max(F.struct("part", "root")).alias("main")).where("main.part < all")
+    parts = parts.select("group", F.col("main.root").alias("main"), F.col("main.part").alias("inside"), (F.col("all") - F.col("main.part")).alias("outside"))
+    apart = stored(placed.join(parts, "group"))
+    if apart.isEmpty():
+        free(first, members, apart)
+        return roots
+    (outer, at), (inner, place) = blocks("outside", capacity // 2, 2), blocks("inside", capacity // 2, 3)
+    width = outer + inner
+    upto, start = (lambda a, b: F.sequence(a, b)), F.lit(0).cast("long")
+    meet_outer = F.transform(upto(start, outer - 1), lambda x: F.least(x, at) * width + F.greatest(x, at))
+    meet_inner = F.transform(upto(outer, width - 1), lambda x: at * width + x)
+    meets = F.when(F.col("root") == F.col("main"), F.transform(upto(start, outer - 1), lambda x: x * width + outer + place)).otherwise(F.concat(meet_outer, meet_inner))
+    second = links(apart.select("group", F.explode(meets).alias("block"), "node", "root"))
+    connected = components(second.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    free(first, second, members, apart)
+    return connected
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, k: int = K, most: tuple[int, int] = (MEMBERS, SHINGLES)) -> DataFrame:
+    """``id``, ``n_shingles``, ``component_id`` (smallest identifier reachable) and ``digest`` of the
+    set (null if it is empty) for every row. ``most``: what a task compares at once."""
     small_batches(docs.sparkSession)
     made = stored(sketches(docs, doc_id, text, n, k))
     valid = made.where("id is not null and n > 0")
     nodes = stored(valid.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    lists = listed(nodes, similarity, k)
-    hubs = lists.groupBy("value").agg(F.count(F.lit(1)).alias("members"), *_hubs("node", 0)).where("members > 1").select("value", _present().alias("hubs"))
-    shared = stored(lists.join(hubs, "value"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return stored(confirmed(estimated(pairs, nodes, similarity, k), docs, doc_id, text, n, similarity))
-
-    tested = stored(_pairs(shared.select("node", F.explode("hubs").alias("hub"))))
-    roots = components(linked(tested))
-    for complete in (False, True):
-        placed = shared.select("value", "node").join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-        apart = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
-        members = stored(placed.join(apart, "value", "left_semi"))
-        if members.isEmpty():
-            break
-        if complete:
-            others = members.select("value", F.col("node").alias("hub"), F.col("root").alias("other"))
-            meet = members.join(others, "value").where("root <> other and node < hub")
-        else:
-            by_root = members.groupBy("value", F.col("root").alias("other")).agg(F.count(F.lit(1)).alias("members"), *_hubs("node", 1)).select("value", "other", "members", _present().alias("hubs"))
-            largest = by_root.groupBy("value").agg(F.max_by("other", F.struct("members", "other")).alias("largest"))
-            outside = members.join(largest, "value").where("root <> largest").select("value", "node", "root")
-            meet = outside.join(by_root.select("value", "other", "hubs"), "value").where("root <> other").select("node", F.explode("hubs").alias("hub"))
-        new = stored(_pairs(meet).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(new)
-        fresh = linked(new)
-        if fresh.isEmpty():
-            continue
-        # what was connected so far counts as an edge to its root
-        roots = components(fresh.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    likely = joined(members(listed(nodes, similarity, k)), nodes.select("node", "n", "sketch"), by_estimate(similarity, k), most[0])
+    canopies = likely.select("node", F.col("root").alias("group")).join(nodes.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    canopies = stored(canopies.join(canopies.groupBy("group").agg(F.sum("weight").alias("total")), "group"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("t")).join(canopies.select("node"), "node", "left_semi")
+    texts = texts.groupBy("node", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t")).drop("h")  # repeated rows once
+    roots = joined(canopies, texts, by_full_sets(n, similarity), most[1])
+    free(canopies)
 
     named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
-    out = made.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(named, "digest", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = made.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), "digest")

@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,16 +76,46 @@ def family(seed, sizes, edits):
     return out
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_dedup_against_all_pairs(spark, make_docs, odd, n):
-    texts = [*odd[:-1], *family(n, (8, 40, 70, 150, 400), 12)]
+@pytest.mark.parametrize("n, most", [(2, (2048, 1 << 20)), (5, (2048, 1 << 20)), (2, (4, 300))])
+def test_near_dedup_against_all_pairs(spark, make_docs, odd, n, most, monkeypatch):
+    """Also with groups that are dealt to blocks, which share no more than one member in four."""
+    monkeypatch.setattr(near_dedup, "SHARED", 1 if most[0] == 4 else 32)
+    texts = [*odd[:-1], *family(n, (5, 8, 40, 70, 150, 400), 12)]
     random.Random(n).shuffle(texts)
-    got = {r.id: r for r in near_dedup.groups(make_docs(texts), n=n).collect()}
+    got = {r.id: r for r in near_dedup.groups(make_docs(texts), n=n, most=most).collect()}
     sizes, root = brute_components(texts, n)
     for i in range(len(texts)):
         assert (got[i].n_shingles, got[i].component_id) == (sizes[i], root[i]), texts[i]
 
 
+def test_overlaps_and_what_hangs_together():
+    rng = random.Random(2)
+    rows = [set(rng.sample(range(60), rng.randrange(1, 40))) | {0} for _ in range(80)]
+    values, row = np.array([v for r in rows for v in sorted(r)]), np.repeat(np.arange(80), [len(r) for r in rows])
+    i, j, shared = near_dedup.overlaps(values, row, 80)
+    assert {(a, b): c for a, b, c in zip(i.tolist(), j.tolist(), shared.tolist())} == {(a, b): len(rows[a] & rows[b]) for b in range(80) for a in range(b)}
+    assert near_dedup.hanging(7, np.array([5, 4, 1]), np.array([4, 2, 6])).tolist() == [0, 1, 2, 3, 2, 2, 1]
+    batches = [pd.DataFrame({"group": g, "block": 0}) for g in ([1, 1, 2], [2], [2, 3], [3], [4])]
+    assert [x["group"].tolist() for x in near_dedup.whole_groups(iter(batches))] == [[1, 1], [2, 2, 2], [3, 3], [4]]
+
+
+@pytest.mark.parametrize("similarity, i, own", [(0.8, 12, 3), (0.8, 5, 1), (0.8, 4, 1)])
+def test_similar_sets_are_listed_together(similarity, i, own):
+    """Every way to put own values between the common ones of two sets leaves a run that both list."""
+    for at in itertools.combinations_with_replacement(range(i + 1), own):
+        for side in itertools.product((0, 1), repeat=own):
+            sets = [[], []]
+            for k in range(i + 1):
+                for place, s in zip(at, side):
+                    if place == k:
+                        sets[s].append(f"{s} {len(sets[s])}")
+                if k < i:
+                    sets[0].append(k)
+                    sets[1].append(k)
+            keys = [{tuple(x[p : p + r]) for r in near_dedup.runs(len(x), similarity) for p in range(min(len(x), near_dedup.listed_values(len(x), r, similarity)) - r + 1)} for x in sets]
+            assert keys[0] & keys[1]
+
+
 def test_near_dedup_nulls_repeats_and_nothing(spark, make_docs):
     got = near_dedup.groups(make_docs(["a b c d e f"] * 4, ids=[None, 5, 5, 2])).collect()
     assert sorted((r.id is None, r.id or 0, r.component_id or 0) for r in got) == [(False, 2, 2), (False, 5, 2), (False, 5, 2), (True, 0, 0)]
