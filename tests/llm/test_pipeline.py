@@ -96,3 +96,18 @@ def test_stages(spark, tmp_path):
 
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got) == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in at[4])
+
+
+def test_near_copies_stay_once_without_and_with_repeated_identifiers(spark, make_docs, prose):
+    a, b, c = (prose(i, 40) for i in range(3))
+    docs = make_docs([a, a, a, b, b, None, c, c + " x"], ids=[5, 5, None, None, None, None, 7, 9])
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(5, a), (0, b), (0, ""), (7, c)])
+
+
+def test_stages_of_nothing(spark, make_docs):
+    docs = make_docs([])
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, "")
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == docs.columns)
