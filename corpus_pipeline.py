@@ -31,9 +31,21 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each group of near copies."""
-    gone = near_dedup.groups(docs).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """The document with the smallest identifier of each group of near copies, once if its row is
+    repeated. Rows without an identifier stay once for each set of shingles that no other row has."""
+    found = stored(near_dedup.groups(docs))
+    gone = found.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    repeated = found.groupBy("id").count().where("id is null or count > 1").select(F.col("id").alias("__id"))
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    once = again.where("doc_id is not null").dropDuplicates(["doc_id"])
+    named = found.where("id is not null").select(F.col("digest").alias("__digest")).distinct()
+    digests = near_dedup.with_digest(again.where("doc_id is null"), "__digest")
+    unnamed = digests.where("__digest is not null").join(named, "__digest", "left_anti").dropDuplicates(["__digest"])
+    unnamed = unnamed.unionByName(digests.where("__digest is null"))
+    return left.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(once).unionByName(unnamed.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
