@@ -1,8 +1,8 @@
 """License scan by diagonal voting, with DataFrame functions only.
 
-The hashes of all rolling word pairs of a document meet the pairs of a small, fixed
-set of template phrases in a broadcast join (the words themselves are compared on a
-hit). Each hit votes for the diagonal document position - template position.
+The hashes of all rolling word pairs of a document are held against those of a small, fixed
+set of template phrases; what is among them meets the pairs in a broadcast join (the words
+themselves are compared on a hit), so that no row holds more than its own pair. Each hit votes for the diagonal document position - template position.
 Votes are summed by diagonal, neighbouring diagonals are merged (words added or left
 out), and a merged span counts if enough of its template is there in a span of about
 its length: either a chain of diagonals with a quarter of the pairs each, or any run of
@@ -55,13 +55,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     """One row for each document: its words, the exact places of base phrases and the
     labels. ``coverage``: the share of a template's pairs that a merged span must
     have; ``shift``: how far apart neighbouring diagonals may lie."""
+    known = template_pairs(docs.sparkSession, templates)
+    hashes = [r.th for r in known.select("th").distinct().collect()]  # as many as the templates have pairs
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), scan_words(F.col(text)).alias("ws"))
-    # place 0 is the document's own row: it has no hash and stays without a template
-    grams = rows.select("doc_id", "key", "ws", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), _pairs(F.col("ws")))).alias("at", "h"))
-    p = F.col("at") - 1
-    hit = (F.col("h") == F.col("th")) & (F.get("ws", p) == F.col("tw1")) & (F.get("ws", p + 1) == F.col("tw2"))
-    hits = grams.join(F.broadcast(template_pairs(docs.sparkSession, templates)), hit, "left").where("at = 0 or tid is not null")
-    votes = hits.select("doc_id", "key", F.when(F.col("at") == 0, F.size("ws")).alias("n_words"), "tid", "label", "base", "m", "tpos", (p - F.col("tpos")).alias("diagonal"))
+    ws = F.col("ws")
+    pairs = F.transform(ws, lambda w, i: F.struct(i.alias("p"), F.xxhash64(w, F.get(ws, i + 1)).alias("h"), w.alias("w1"), F.get(ws, i + 1).alias("w2")))
+    # the document's own row has no hash and stays without a template
+    own = F.array(F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("p", "int"), ("h", "long"), ("w1", "string"), ("w2", "string")))))
+    grams = rows.select("doc_id", "key", F.size("ws").alias("size"), F.inline(F.concat(own, F.filter(pairs, lambda x: x["h"].isin(hashes)))))
+    hit = (F.col("h") == F.col("th")) & (F.col("w1") == F.col("tw1")) & (F.col("w2") == F.col("tw2"))
+    hits = grams.join(F.broadcast(known), hit, "left").where("p is null or tid is not null")
+    votes = hits.select("doc_id", "key", F.when(F.col("p").isNull(), F.col("size")).alias("n_words"), "tid", "label", "base", "m", "tpos", (F.col("p") - F.col("tpos")).alias("diagonal"))
 
     lines = votes.groupBy("doc_id", "key", "tid", "label", "base", "m", "diagonal").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set("tpos").alias("seen"))
     run = W.partitionBy("doc_id", "key", "tid").orderBy("diagonal").rangeBetween(0, 2 * shift)
