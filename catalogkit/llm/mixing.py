@@ -6,8 +6,10 @@ the rest of its target is a weighted sample without replacement: documents in
 descending order of u ** (1 / quality), u uniform by a hash of the identifier, taken
 until the target is reached. The document at the limit gives the words still missing.
 
-The order within a source is never sorted as one group: sizes are summed by ranges
-of the key, and only the range that holds the limit is sorted.
+The order within a source is never sorted as one group, and no source is one task: sizes are
+summed by ranges of the key, the range that holds the limit is cut into ranges again until
+it has few rows, and only these are sorted. Rows meet their source's limits by broadcast
+while sources are at most ``MANY``, else in a join salted by the identifier.
 
 Defined results: a null text has size 0 and is taken 0 times; sources sort by code
 point with null last; an empty table gives no rows; rows equal in identifier and size
@@ -20,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import words
+from catalogkit.llm.common import free, stored, words
 
 SEED = "mix"
+MANY, SALTS, PASSES = 50_000, 64, 12
 
 
 def quality(ws: Column) -> Column:
@@ -58,25 +61,46 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return s.select("source", "source_size", F.least((F.lit(cap) * F.col("source_size")).cast("double"), level * F.col("weight")).alias("target"))
 
 
-def limits(slim: DataFrame, doc_id: str = "doc_id", source: str = "source", ranges: int = 256, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def with_source(rows: DataFrame, by_source: DataFrame, doc_id: str, source: str, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of their source in ``by_source``, and no source in one task."""
+    same = F.col(source).eqNullSafe(F.col(key))
+    if by_source.limit(MANY + 1).count() <= MANY:
+        return rows.join(F.broadcast(by_source), same, how)
+    salted = by_source.withColumn("__s1", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__s2", F.pmod(F.xxhash64(doc_id, "__v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, same & (F.col("__s1") == F.col("__s2")), how).drop("__s1", "__s2")
+
+
+def limits(slim: DataFrame, doc_id: str = "doc_id", source: str = "source", ranges: int = 256, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, few: int = 20_000) -> DataFrame:
     """For each source: target, full passes, and the place in its order where the last,
     partial pass ends (``cut_v``, ``cut_id``, ``cut_size``, words ``left`` for it)."""
-    rows = slim.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), "__size", "__v", F.least(F.lit(ranges - 1), F.floor((1 - F.col("__v")) * ranges)).alias("range"))
-    by_range = rows.groupBy("source", "range").agg(F.sum("__size").alias("words"))
-    aims = targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
+    # the fifth root spreads keys of small quality; a larger one comes earlier
+    rows = slim.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), "__size", "__v", (1 - F.pow("__v", F.lit(0.2))).alias("g"))
+    aims = targets(rows.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, cap)
     aims = aims.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    aims = aims.withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size") + 0.5))
-    so_far = F.sum("words").over(W.partitionBy("source").orderBy("range")) - F.col("words")
-    at = by_range.withColumn("before", so_far).join(aims.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    at = at.where("before < rest and before + words >= rest").select("s", F.col("range").alias("r"), "before", "rest")
-    edge = rows.where("__size > 0").join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    aims = stored(aims.withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size") + 0.5)))
+    # the range of g that holds the limit (both bounds are in it), and the words before it
+    at = aims.where("rest > 0").select(F.col("source").alias("s"), "rest", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("n"))
+    within = F.col("g").between(F.col("low"), F.col("high"))
+    for _ in range(PASSES):
+        part = F.least(F.lit(ranges - 1), F.floor((F.col("g") - F.col("low")) / (F.col("high") - F.col("low")) * ranges))
+        inside = with_source(rows, at.where(F.col("n").isNull() | (F.col("n") > few)), "id", "source", "s").where(within)
+        by_range = inside.groupBy("s", "rest", "before", part.alias("part")).agg(F.sum("__size").alias("words"), F.count_if(F.col("__size") > 0).alias("rows"), F.min("g").alias("first"), F.max("g").alias("last"))
+        before = F.col("before") + F.sum("words").over(W.partitionBy("s").orderBy("part")) - F.col("words")
+        found = by_range.withColumn("before", before).where("before < rest and before + words >= rest")
+        nearer = found.select("s", "rest", F.col("first").alias("low"), F.col("last").alias("high"), "before", F.when(F.col("first") < F.col("last"), F.col("rows")).otherwise(0).alias("n"))
+        at, last = stored(nearer.unionByName(at.where(F.col("n") <= few))), at
+        free(last)
+        if at.where(F.col("n") > few).isEmpty():
+            break
+    edge = with_source(rows.where("__size > 0"), at, "id", "source", "s").where(within)
     edge = edge.groupBy("s", "before", "rest", "__v", "id", "__size").agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy("s").orderBy(F.col("__v").desc(), F.col("id").asc_nulls_last(), "__size")
     edge = edge.withColumn("upto", F.col("before") + F.sum(F.col("__size") * F.col("n")).over(order))
     edge = edge.where("upto >= rest and upto - __size * n < rest")
     cut = edge.select("s", F.col("__v").alias("cut_v"), F.col("id").alias("cut_id"), F.col("__size").alias("cut_size"), F.floor((F.col("rest") - F.col("upto") + F.col("__size") * F.col("n")) / F.col("n")).alias("left"))
     names = ("source", "source_size", "target", "passes", "rest", "cut_v", "cut_id", "cut_size", "left")
-    return aims.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(*(F.col(c).alias(f"__{c}") for c in names))
+    return stored(aims.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(*(F.col(c).alias(f"__{c}") for c in names)))
 
 
 def apply_limits(rows: DataFrame, ends: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -87,7 +111,7 @@ def apply_limits(rows: DataFrame, ends: DataFrame, doc_id: str = "doc_id", sourc
     later = F.when(F.col("__cut_id").isNull(), key.isNotNull()).otherwise(key < F.col("__cut_id"))
     same = key.eqNullSafe(F.col("__cut_id"))
     part = F.when((F.col("__rest") <= 0) | F.col("__cut_v").isNull(), 0).when((v > F.col("__cut_v")) | (tied & (later | (same & (n < F.col("__cut_size"))))), n).when(tied & same & (n == F.col("__cut_size")), F.col("__left")).otherwise(0)
-    joined = rows.join(ends, F.col(source).eqNullSafe(F.col("__source")))
+    joined = with_source(rows, ends, doc_id, source, "__source")
     return joined.withColumn("__partial", part.cast("long")).withColumn("__taken", (F.col("__passes") * n + F.col("__partial")).cast("long"))
 
 

@@ -47,6 +47,12 @@ def test_license_scan_adds_up_votes_of_thin_diagonals(spark, make_docs):
     assert abs(got[0].score - 13 / 15) < 1e-9 and abs(got[1].score - 12 / 15) < 1e-9
 
 
+def test_license_scan_of_a_very_long_text(spark, make_docs, prose):
+    text = " ".join([prose(1, 100_000), "all rights reserved", prose(2, 99_990), "cc by"])
+    (r,) = licenses.scan(make_docs([text])).collect()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (199_995, 2, 100_000, 199_993, "cc-by,reserved")
+
+
 def brute_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight, total, capped = {s: weights[i % 3] for i, s in enumerate(names)}, sum(sizes.values()), set()
@@ -60,7 +66,7 @@ def brute_targets(sizes, weights=(1, 2, 3), cap=3):
         capped |= over
 
 
-def test_mixing_targets_and_whole_epochs(spark, make_docs, prose):
+def test_mixing_targets_and_whole_epochs(spark, make_docs, prose, monkeypatch):
     sources = ["b"] * 30 + ["a"] * 5 + [None] * 8 + ["z"] * 2
     texts = [prose(i, 5 + i % 17) for i in range(43)] + [None, ""]
     docs = make_docs(texts, sources=sources)
@@ -74,7 +80,11 @@ def test_mixing_targets_and_whole_epochs(spark, make_docs, prose):
         assert r["__taken"] <= 3 * r["__size"] and abs(r["__target"] - want[r["source"]]) < 1e-6
         taken[r["source"]] = taken.get(r["source"], 0) + r["__taken"]
     assert len(got) == len(texts) and all(abs(taken[s] - want[s]) <= 0.5 for s in want)
-    again = mixing.apply_limits(rows, mixing.limits(rows, ranges=64)).collect()
+    for options in ({"ranges": 64}, {"ranges": 2, "few": 1}):
+        again = mixing.apply_limits(rows, mixing.limits(rows, **options)).collect()
+        assert sorted((r.doc_id, r["__taken"]) for r in again) == sorted((r.doc_id, r["__taken"]) for r in got)
+    monkeypatch.setattr(mixing, "MANY", 1)  # sources beyond this are not broadcast
+    again = mixing.apply_limits(rows, mixing.limits(rows)).collect()
     assert sorted((r.doc_id, r["__taken"]) for r in again) == sorted((r.doc_id, r["__taken"]) for r in got)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
