@@ -52,6 +52,11 @@ def free(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def small_batches(spark: SparkSession, most: int = 1_000) -> None:
     """Bound what Python workers hold at once: ``most`` rows a batch in this session, unless it
     asks for fewer."""
@@ -88,6 +93,12 @@ def chunks(texts: list[str], most_chars: int) -> Iterator[list[int]]:
         yield at
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by sorting (``np.unique`` hashes them, which takes longer)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
 

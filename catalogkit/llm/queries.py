@@ -47,10 +47,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality_rules.train(quality_rules.with_stats(docs, keep=(F.col("doc_id"),)), table(spark, sf_dir, "labels"))
-    stats = quality_rules.with_stats(docs, keep=(F.col("doc_id"),), forest=model[0])
-    return quality_rules.judge(stats, model).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "anomaly")
+    stats = stored(quality_rules.with_stats(table(spark, sf_dir, "documents"), keep=(F.col("doc_id"),)))  # texts are measured once
+    return quality_rules.judge(stats, quality_rules.train(stats, table(spark, sf_dir, "labels"))).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
 def tokenizer_path() -> str:
