@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import SPACE, small_batches, stored
+from catalogkit.llm.common import SPACE, distinct, small_batches, stored
 
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 PARTS = 4
@@ -106,7 +106,7 @@ def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [np.unique(text_keys(t or "", *how)[0]) for t in b["t"]]
+            own = [distinct(text_keys(t or "", *how)[0]) for t in b["t"]]
             if own:
                 yield pd.DataFrame({"key": np.concatenate(own), "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in own])})
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import chunks, free, small_batches, stored
+from catalogkit.llm.common import chunks, distinct, free, small_batches, stored
 from catalogkit.llm.components import components
 from catalogkit.llm.substring_dedup import WordHasher, rolling, split_words
 
@@ -62,7 +62,7 @@ def shingle_sets(texts: list[str | None], n: int, hasher: WordHasher) -> Iterato
         shingles = rolling(words, n)
         for a, b in zip(begin[:-1], begin[1:]):
             if b - a >= n:
-                yield np.unique(shingles[a : b - n + 1])
+                yield distinct(shingles[a : b - n + 1])
             else:
                 yield rolling(words[a:b], b - a) if b > a else shingles[:0]
 

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogkit.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from catalogkit.llm.common import SPACE, stored, table
+from catalogkit.llm.common import SPACE, small_side, stored, table
 from catalogkit.llm.queries import tokenizer_path
 
 
 def keep_by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the isolation forest let pass."""
     labels = table(spark, sf_dir, "labels")
-    model = quality_rules.train(quality_rules.with_stats(docs, keep=(F.col("doc_id"),)), labels)
+    ids = small_side(stored(labels.where("quality in (0, 1)").select(F.col("doc_id").alias("__id")).distinct()), 1_000_000)
+    labelled = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")  # nothing else is measured for the model
+    model = quality_rules.train(quality_rules.with_stats(labelled, keep=(F.col("doc_id"),)), labels)
     stats = quality_rules.with_stats(docs, keep=tuple(F.col(c).alias(f"col_{c}") for c in docs.columns), forest=model[0])
     return quality_rules.judge(stats, model).where("kept").select(*(F.col(f"col_{c}").alias(c) for c in docs.columns))
 

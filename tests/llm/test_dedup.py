@@ -150,14 +150,14 @@ def brute_substrings(ids, texts, window=13):
     return out
 
 
-@pytest.mark.parametrize("max_bits", [1 << 30, 1 << 10])
-def test_substring_dedup_against_brute_force(spark, make_docs, odd, prose, max_bits):
+@pytest.mark.parametrize("chunk, bucket", [(1 << 22, 1 << 22), (2000, 100)])
+def test_substring_dedup_against_brute_force(spark, make_docs, odd, prose, chunk, bucket):
     rng = random.Random(6)
     shared = [prose(100 + i, n) for i, n in enumerate((12, 13, 14, 20, 60))]
     texts = [" ".join([prose(i, rng.randrange(0, 40)), rng.choice(shared), prose(900 + i, rng.randrange(0, 30)), rng.choice(shared)]) for i in range(40)]
     texts += [*odd, texts[3], "a " * 30, "a " * 14, prose(1, 5) + "\x1f" + prose(2, 20)]
     ids = rng.sample(range(100), len(texts) - 1) + [None]
-    got = {r.doc_id: tuple(r)[1:4] for r in substring_dedup.deduplicate(make_docs(texts, ids=ids), max_bits=max_bits).collect()}
+    got = {r.doc_id: tuple(r)[1:4] for r in substring_dedup.deduplicate(make_docs(texts, ids=ids), chunk=chunk, bucket=bucket).collect()}
     for i, want in zip(ids, brute_substrings(ids, texts)):
         assert got[i] == want
 
@@ -166,6 +166,8 @@ def test_substring_dedup_repeated_rows_and_nothing(spark, make_docs, prose):
     got = substring_dedup.deduplicate(make_docs([prose(1, 30)] * 3, ids=[4, 4, 9])).collect()
     assert sorted((r.doc_id, r.n_removed, len(r.kept_text.split())) for r in got) == [(4, 0, 30), (4, 0, 30), (9, 30, 0)]
     assert substring_dedup.deduplicate(make_docs([])).count() == 0
+    got = substring_dedup.deduplicate(make_docs([prose(1, 30)] * 3 + [prose(1, 20) + " " + prose(2, 20)], ids=[None, None, (1 << 60) + 1, None]), keep=(F.col("taken"),)).orderBy("taken").collect()
+    assert [(r.doc_id, r.n_removed) for r in got] == [(None, 30), (None, 30), ((1 << 60) + 1, 0), (None, 20)]
 
 
 @pytest.mark.parametrize("max_sent", [10_000, 0])
