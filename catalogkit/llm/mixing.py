@@ -120,7 +120,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     full pass; the partial pass adds it again (the one at the limit cut to its first
     words, joined by one space)."""
     rows = measured(docs, doc_id, text)
-    ends = limits(rows, doc_id, source, **options)
+    slim = stored(rows.select(doc_id, source, "__size", "__v"))
+    ends = limits(slim, doc_id, source, **options)
+    free(slim)
     chosen = apply_limits(rows, ends, doc_id, source).where("__taken > 0")
     full = F.transform(F.sequence(F.lit(1), F.col("__passes").cast("int")), lambda _: F.col("__size"))
     runs = F.concat(F.when(F.col("__passes") > 0, full).otherwise(F.array().cast("array<bigint>")), F.when(F.col("__partial") > 0, F.array("__partial")).otherwise(F.array().cast("array<bigint>")))
