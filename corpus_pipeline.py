@@ -37,7 +37,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     repeated. Rows without an identifier stay once for each set of shingles that no other row has."""
     found = stored(near_dedup.groups(docs))
     gone = found.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    left = docs.join(small_side(gone, 2_000_000), F.col("doc_id") == F.col("__id"), "left_anti")
     repeated = found.groupBy("id").count().where("id is null or count > 1").select(F.col("id").alias("__id"))
     if repeated.isEmpty():
         return left
