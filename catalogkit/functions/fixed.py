@@ -56,6 +56,12 @@ SIZE_ICON = r"/(logo|logos|icons?)/(16|24|32|48|64|128|256)\.(svg|png|jpe?g|webp
 SIZE_TITLE = r"^(16|24|32|48|64|128|256)$"
 WORDMARK_NAME = r"(?:wordmark|wordmard)(?:\.(svg|png|jpe?g|webp))?$"
 WORDMARK_RATIO, BOUNDS_RATIO, CELL_THRESHOLD, HASH_DISTANCE = 2.2, 2.15, 12, 4
+FAR_APART = (1 << 31) - 1  # distance of hashes that cannot be compared
 
 SCORE_TITLES = ((90, "master"), (75, "expert"), (60, "skilled"), (40, "learner"))
 GROUP_MINIMUM, OPTION_COUNT, ROUND_SIZE = 4, 4, 20
+ITEM_TYPES = ("logo_to_brand", "brand_to_logo")
+TYPE_LABELS = {"logo_to_brand": "基础识别", "brand_to_logo": "反向记忆", "similar_logo_confusion": "相似混淆", "brand_clue_to_logo": "线索推理"}
+# Quality of a collected file by its source and a word in its name; the last number: without the word.
+FILE_SCORES = {"thesvg": ("wordmark", 45, 72), "vectorlogozone": ("icon", 76, 60), "gilbarbara": (None, 70, 70), "car-logos": (None, 75, 75)}
+OTHER_FILE_SCORE, ERROR_SAMPLES, LARGE_FILE = 60, 300, 512 * 1024

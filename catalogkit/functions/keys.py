@@ -246,6 +246,25 @@ def html_escaped(c: Column) -> Column:
     return c
 
 
+def json_script_escaped(c: Column) -> Column:
+    """JSON text that may stand inside a script element."""
+    for a, b in (("<", "\\u003c"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def type_label(kind: Column) -> Column:
+    return mapped(kind, fixed.TYPE_LABELS, fixed.TYPE_LABELS["logo_to_brand"])
+
+
+def file_score(source: Column, name: Column) -> Column:
+    """Quality of a collected file by its source and its name."""
+    out = F
+    for known, (word, with_word, without) in fixed.FILE_SCORES.items():
+        out = out.when(source == known, F.when(F.lower(name).contains(word), with_word).otherwise(without) if word else F.lit(without))
+    return out.otherwise(fixed.OTHER_FILE_SCORE)
+
+
 def banded(c: Column, bands: tuple, default: str) -> Column:
     out = F
     for least, name in bands:

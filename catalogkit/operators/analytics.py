@@ -94,3 +94,11 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 def top_k_by(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of each group, with their ``rank``."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def conversion_report(resources: DataFrame, group: str, status: Column, size: Column, matches: DataFrame, large: int = fixed.LARGE_FILE) -> DataFrame:
+    """Converted, failed and large files of each group, with the group's ``matched`` (0 without any)."""
+    counted = resources.groupBy(group).agg(
+        F.count_if(status == "converted").alias("converted"), F.count_if(status != "converted").alias("failed"), F.count_if((status == "converted") & (size > large)).alias("large_files")
+    )
+    return counted.join(matches.select(group, "matched"), group, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,13 +38,29 @@ def mark_copies(df: DataFrame, key: str, record: str, priority: Column, order: t
 
 
 def unique_ids(df: DataFrame, base: str, order: tuple[str, ...]) -> DataFrame:
-    """``unique_id``: the base, with ``_2``, ``_3``... from the second row on; a number that would
-    meet another base is moved behind all of that name."""
+    """``unique_id``: the base, with ``_2``, ``_3``... from the second row on, counted on while the
+    name is taken by a row before it.
+
+    Names can only meet within one stem (the base without its numbers at the end). Stems with one
+    base are numbered by rank; the others, few as they are, in sequence, each stem in one task."""
+    rows = df.withColumn("__stem", F.regexp_replace(base, r"(_\d+)+$", ""))
+    mixed = rows.groupBy(F.col("__stem").alias("__of")).agg((F.min(base) != F.max(base)).alias("__mixed"))
+    rows = rows.join(mixed, F.col("__stem").eqNullSafe(F.col("__of"))).drop("__of").withColumn("__mixed", F.coalesce("__mixed", F.lit(False)))
     n = F.row_number().over(W.partitionBy(base).orderBy(*order))
-    made = df.withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("_", base, n))).withColumn("__n", n)
-    taken = df.select(F.col(base).alias("__taken")).distinct()
-    clash = made.join(taken, (F.col("unique_id") == F.col("__taken")) & (F.col("__n") > 1), "left")
-    return clash.withColumn("unique_id", F.when(F.col("__taken").isNotNull(), F.concat_ws("_", "unique_id", F.lit("x"))).otherwise(F.col("unique_id"))).drop("__taken", "__n")
+    plain = rows.where(~F.col("__mixed")).withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("_", base, n)))
+
+    def number(b: pd.DataFrame) -> pd.DataFrame:
+        b, used, given = b.sort_values(list(order), kind="stable"), set(), []
+        for name in b[base]:
+            own, k = name, 2
+            while own in used:
+                own, k = f"{name}_{k}", k + 1
+            used.add(own)
+            given.append(own)
+        return b.assign(unique_id=given)
+
+    clashing = rows.where("__mixed").groupBy("__stem").applyInPandas(number, plain.schema)
+    return plain.unionByName(clashing).drop("__stem", "__mixed")
 
 
 def preferred(available: Column, order: tuple[str, ...] = fixed.PREFERENCE) -> Column:
@@ -52,14 +69,20 @@ def preferred(available: Column, order: tuple[str, ...] = fixed.PREFERENCE) -> C
 
 
 def average_hash(values: Column) -> Column:
-    """64 bits: whether a value is at least the mean; the first value is the lowest bit."""
+    """A bit for each value: whether it is at least the mean. 64 bits a number; the first value is
+    the lowest bit of the first one."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  what is bound is computed once
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(values)
-    return F.aggregate(F.transform(values, lambda x, i: F.when(x.cast("double") >= mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    bits = once(mean, lambda m: F.transform(values, lambda x: (x.cast("double") >= m).cast("long")))
+    word = lambda part: F.aggregate(F.transform(part, lambda x, i: F.call_function("shiftleft", x, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    words = once(bits, lambda b: F.transform(F.sequence(F.lit(0), F.ceil(F.size(b) / 64).cast("int") - 1), lambda k: word(F.slice(b, k * 64 + 1, 64))))
+    return F.when(F.size(values) > 0, words).otherwise(F.array().cast("array<bigint>"))
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two hashes."""
-    return F.bit_count(a.bitwiseXOR(b))
+    """Differing bits of two hashes; hashes of unequal length are as far apart as can be."""
+    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return F.when(F.size(a) == F.size(b), bits).otherwise(fixed.FAR_APART)
 
 
 def bounds_ratio(cells: Column, width: int, threshold: float = fixed.CELL_THRESHOLD) -> Column:
@@ -69,15 +92,17 @@ def bounds_ratio(cells: Column, width: int, threshold: float = fixed.CELL_THRESH
     return F.when(F.size(full) == 0, 0.0).otherwise((F.array_max(x) - F.array_min(x) + 1) / (F.array_max(y) - F.array_min(y) + 1))
 
 
-def banded_pairs(df: DataFrame, record: str, code: str, distance: int, bits: int = 64) -> DataFrame:
-    """Pairs (a < b) within ``distance`` bits. Two hashes that differ in at most ``distance`` bits
-    are equal in one of ``distance`` + 1 bands, so pairs come from equi joins on bands."""
+def banded_pairs(df: DataFrame, record: str, code: str, distance: int = fixed.HASH_DISTANCE, bits: int = 256) -> DataFrame:
+    """Pairs (a < b) within ``distance`` bits of hashes of ``bits`` bits. Two hashes that differ in at
+    most ``distance`` bits are equal in one of ``distance`` + 1 bands, so pairs come from equi joins
+    on bands, which should be wide: with 4 of 256 bits they have 51."""
     n = distance + 1
     cuts = [bits * k // n for k in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(code, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1 if cuts[k + 1] - cuts[k] < 64 else -1).cast("long")).alias("part")) for k in range(n)))
-    listed = df.select(F.col(record), F.col(code), F.explode(bands).alias("x")).select(record, code, "x.band", "x.part")
+    text = F.array_join(F.transform(code, lambda w: F.lpad(F.bin(w), 64, "0")), "")
+    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.substring("text", cuts[k] + 1, cuts[k + 1] - cuts[k]).alias("part")) for k in range(n)))
+    listed = df.select(F.col(record), F.col(code), text.alias("text")).select(record, code, F.length("text").alias("width"), F.explode(bands).alias("x")).select(record, code, "width", "x.band", "x.part")
     a, b = listed.withColumnsRenamed({record: "a", code: "ca"}), listed.withColumnsRenamed({record: "b", code: "cb"})
-    near = a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ca"), F.col("cb")) <= distance))
+    near = a.join(b, ["band", "part", "width"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ca"), F.col("cb")) <= distance))
     return near.groupBy("a", "b").agg(F.first(hamming(F.col("ca"), F.col("cb"))).alias("distance"))
 
 

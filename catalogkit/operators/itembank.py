@@ -69,18 +69,27 @@ def sample_items(items: DataFrame, n: int, seed: str, item: str = "item_id") ->
     return items.orderBy(hash_order(seed, F.col(item)), item).limit(n)
 
 
-def balanced_pick(items: DataFrame, n: int, seed: str, bucket: str = "category", item: str = "item_id") -> DataFrame:
-    """n items, round-robin over the buckets: ``turn`` is an item's turn in its bucket."""
-    w = W.partitionBy(bucket).orderBy(hash_order(seed, F.col(item)), item)
-    turns = items.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n)
-    return turns.orderBy("turn", hash_order(seed, F.col(bucket)), bucket).limit(n)
+def balanced_pick(items: DataFrame, n: int, seed: str, bucket: str = "category", item: str = "item_id", answer: str = "answer", taken: DataFrame | None = None) -> DataFrame:
+    """n items, round-robin over the buckets: ``turn`` is an item's turn in its bucket.
+
+    Each answer comes once, with the first of its items in the seeded order, and those of ``taken``
+    not at all. Where that gives fewer than n, items not picked yet fill up, whatever their answer;
+    their turn is null."""
+    pool = items if taken is None else items.join(taken.select(answer).distinct(), answer, "left_anti")
+    at = hash_order(seed, F.col(item))
+    once = pool.groupBy(answer).agg(F.min_by(F.struct(*items.columns), F.struct(at, item)).alias("r")).select("r.*")
+    turns = once.withColumn("turn", F.row_number().over(W.partitionBy(bucket).orderBy(at, item))).where(F.col("turn") <= n)
+    first = turns.orderBy("turn", hash_order(seed, F.col(bucket)), bucket).limit(n)
+    more = items.join(first.select(item), item, "left_anti").orderBy(at, item).limit(n)
+    both = first.unionByName(more.withColumn("turn", F.lit(None).cast("int")))
+    return both.orderBy(F.col("turn").asc_nulls_last(), F.when(F.col("turn").isNull(), at).otherwise(hash_order(seed, F.col(bucket))), bucket, item).limit(n)
 
 
 def mixed_pick(items: DataFrame, n: int, seed: str, first: str, second: str, entity: str = "answer") -> DataFrame:
     """ceil(n / 2) items of one type and the rest of the other, no entity twice, interleaved."""
     half = (n + 1) // 2
     a = balanced_pick(items.where(F.col("type") == first), half, seed)
-    b = balanced_pick(items.where(F.col("type") == second).join(a.select(entity), entity, "left_anti"), n - half, seed)
+    b = balanced_pick(items.where(F.col("type") == second), n - half, seed, taken=a)
     place = W.orderBy("turn", hash_order(seed, F.col("category")), "category")
     parts = [x.withColumn("place", F.row_number().over(place)).withColumn("type_no", F.lit(k)) for k, x in enumerate((a, b))]  # at most n rows
     return reduce(DataFrame.unionByName, parts)
@@ -105,6 +114,15 @@ def item_risks() -> Column:
     return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks)), lambda x: x.isNotNull())
 
 
+def item_checks(known: Column, name: Column, url: Column, prefix: str, suffix: str = ".jpg") -> list[tuple[str, Column]]:
+    """The rules of an item, in the order in which its errors are given."""
+    return [
+        ("invalid_type", F.col("type").isin(*fixed.ITEM_TYPES)), ("answer_missing", known), ("option_count_not_4", F.size("options") == fixed.OPTION_COUNT),
+        ("duplicate_options", F.size(F.array_distinct("options")) == F.size("options")), ("answer_not_in_options", F.array_contains("options", F.col("answer"))),
+        ("invalid_url", url.startswith(prefix) & url.endswith(suffix)), ("blank_name", F.trim(name) != ""),
+    ]
+
+
 def is_valid_item() -> Column:
     """Fit to be served: a known type, an answer among four different options or more."""
     return F.col("type").isin("logo_to_brand", "brand_to_logo") & F.col("answer").isNotNull() & (F.size("options") >= fixed.OPTION_COUNT) & F.array_contains("options", F.col("answer")) & (F.size(F.array_distinct("options")) == F.size("options"))

@@ -53,20 +53,31 @@ def exclusion_rules(source: Column, path: Column, title: Column, wordmark: Colum
     ]
 
 
-def allowed_ids(records: DataFrame, aliases: DataFrame, record: str = "record_id", title: str = "title", path: str = "path", most_sent: int = 100_000) -> DataFrame:
+def allowed_ids(records: DataFrame, aliases: DataFrame, record: str = "record_id", title: str = "title", path: str = "path", ident: Column | None = None, legacy: str | None = None, recommended: DataFrame | None = None) -> DataFrame:
     """Identifiers of records on the allow-list: the title or a path part equals an alias
-    (or an alias with a role word), or the identifier holds an alias of 4 letters or more.
+    (or an alias with a role word), or ``ident`` (the identifier, if not given) holds an alias of 4
+    letters or more, or the ``legacy`` identifier is among the ``id`` of ``recommended``.
 
     Exact parts meet in an equi join; containment meets aliases by their n-grams of 4."""
     named = aliases.select(F.col("alias")).where(F.length("alias") > 0).distinct()
     parts = F.transform(F.split(keys.clean_path(F.col(path)), "/"), lambda p: keys.norm_key(F.regexp_replace(p, fixed.IMAGE_SUFFIX, ""), keep_cjk=False))
     bare = F.flatten(F.transform(parts, lambda p: F.array(p, F.regexp_replace(p, "(icon|default|color)$", ""))))
     exact = records.select(record, F.explode(F.array_distinct(F.concat(F.array(keys.norm_key(F.col(title), keep_cjk=False)), bare))).alias("alias")).join(named, "alias", "left_semi").select(record)
-    ident = keys.norm_key(F.col(record).cast("string"), keep_cjk=False)
+    own = keys.norm_key((F.col(record) if ident is None else ident).cast("string"), keep_cjk=False)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("ident") - 3, F.lit(1))), lambda i: F.substr(F.col("ident"), i, F.lit(4)))
-    probed = records.select(record, ident.alias("ident")).select(record, "ident", F.explode(F.array_distinct(grams)).alias("gram"))
-    within = probed.join(named.where(F.length("alias") >= 4).withColumn("gram", F.substring("alias", 1, 4)), "gram").where(F.contains("ident", "alias")).select(record)
-    return exact.unionByName(within).distinct()
+    probed = records.select(record, own.alias("ident")).select(record, "ident", F.explode(F.array_distinct(grams)).alias("gram"))
+    found = exact.unionByName(probed.join(named.where(F.length("alias") >= 4).withColumn("gram", F.substring("alias", 1, 4)), "gram").where(F.contains("ident", "alias")).select(record))
+    if legacy and recommended is not None:
+        found = found.unionByName(records.join(recommended.select(F.col("id").alias("__legacy")), F.col(legacy) == F.col("__legacy"), "left_semi").select(record))
+    return found.distinct()
+
+
+def capped_errors(errors: DataFrame, order: tuple[str, ...], most: int = fixed.ERROR_SAMPLES) -> DataFrame:
+    """One row: ``error_count`` (all of them), ``valid``, and ``errors``, the first ``most`` in order."""
+    total = errors.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(None).cast(f"array<{errors.schema.simpleString()}>").alias("errors"))
+    sample = errors.orderBy(*order).limit(most).agg(F.array_sort(F.collect_list(F.struct(*errors.columns))).alias("errors")).select(F.lit(0).cast("long").alias("n"), "errors")
+    both = total.unionByName(sample).agg(F.max("n").alias("error_count"), F.first("errors", ignorenulls=True).alias("errors"))
+    return both.select("error_count", (F.col("error_count") == 0).alias("valid"), "errors")
 
 
 def faceted(df: DataFrame, facets: dict[str, object], words: str = "", over: tuple[str, ...] = (), order: tuple[str, ...] = (), page: int = 1, size: int = 120) -> DataFrame:

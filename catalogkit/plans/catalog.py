@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from catalogkit.functions import fixed, keys
 from catalogkit.operators import curate, resolve, rules
 from catalogkit.plans.registry import query, table
+from catalogkit.sources import files
 from catalogkit.plans.scalar import NORM
 
 SOURCES = ("svglogo", "thesvg", "vectorlogozone", "wikimedia", "gilbarbara", "car-logos", "website-icons")
@@ -74,14 +75,13 @@ ALLOWED = f"""
 a AS (SELECT unnest({[x.replace(' ', '') for x in ALIASES]!r}) alias),
 pp AS (SELECT record_id, title, regexp_replace(regexp_replace(unnest(string_split(lower(path), '/')), '(?i)\\.(svg|png|jpe?g|webp)$', ''), '[^a-z0-9]+', '', 'g') part FROM r),
 ok AS (SELECT DISTINCT record_id FROM pp, a WHERE part IN (alias, alias || 'icon', alias || 'default', alias || 'color') OR regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') = alias
+       UNION SELECT record_id FROM r WHERE legacy IN (SELECT concat(lower(p_type), '_', replace(p_name, ' ', '-')) FROM part WHERE p_partkey % 5 = 0)
        UNION SELECT record_id FROM r, a WHERE length(alias) >= 4 AND contains(regexp_replace(lower(concat(source, title)), '[^a-z0-9]+', '', 'g'), alias))"""
 
 
 def allowed(spark: SparkSession, d: str) -> DataFrame:
-    named = records(spark, d).withColumn("named", F.concat("source", "title"))
-    by_name = rules.allowed_ids(named.select("record_id", "title", "path"), aliases(spark))
-    inside = rules.allowed_ids(named.select(F.struct("record_id", "named").alias("k"), "title", "path").select(F.col("k.named").alias("record_id"), "title", "path"), aliases(spark))
-    return by_name.unionByName(named.join(inside.withColumnRenamed("record_id", "named"), "named", "left_semi").select("record_id")).distinct()
+    recommended = table(spark, d, "nation").select(F.concat(F.lit("brass_"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-"))).alias("id")).unionByName(table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat_ws("_", F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("id")))
+    return rules.allowed_ids(records(spark, d), aliases(spark), ident=F.concat("source", "title"), legacy="legacy", recommended=recommended)
 
 
 @query(f"WITH {RECORDS}, {ALLOWED} SELECT record_id FROM ok")
@@ -315,14 +315,66 @@ def q_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return resolve.first_wins([part.select(F.col("p_name").alias("candidate_id"), F.col("p_partkey").alias("record_id")), part.select(F.lower("p_name").alias("candidate_id"), F.col("p_partkey").alias("record_id"))], "candidate_id")
 
 
-HASHES = "h AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN CAST(x AS DOUBLE) >= m THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INT) ELSE 0 END)) code FROM (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) m FROM embeddings))"
+# 256 cells: a vector and its reverse, twice, where every odd vector is the one before it with its first value negated
+GRIDS = """e AS (SELECT vec_id, embedding x FROM embeddings), g0 AS (SELECT a.vec_id, CASE WHEN a.vec_id % 2 = 1 THEN list_prepend(-b.x[1], b.x[2:]) ELSE b.x END x FROM e a JOIN e b ON b.vec_id = a.vec_id - a.vec_id % 2),
+g AS (SELECT vec_id, list_transform(list_concat(list_concat(x, list_reverse(x)), list_concat(x, list_reverse(x))), lambda v: CAST(v AS DOUBLE)) x FROM g0),
+h AS (SELECT vec_id, list_transform(x, lambda v: v >= m) bits FROM (SELECT vec_id, x, list_sum(x) / len(x) m FROM g))"""
 
 
-@query(f"WITH {HASHES} SELECT vec_id, CAST(CASE WHEN code >= 9223372036854775808 THEN code - 18446744073709551616 ELSE code END AS BIGINT) code FROM h")
+def grids(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    base = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    changed = F.transform("y", lambda v, i: F.when((i == 0) & (F.col("vec_id") % 2 == 1), -v).otherwise(v))
+    of = e.join(base, F.col("b") == F.col("vec_id") - F.col("vec_id") % 2).select("vec_id", changed.alias("x"))
+    return of.select("vec_id", F.concat("x", F.reverse("x"), "x", F.reverse("x")).alias("grid"))
+
+
+def hashes(spark: SparkSession, d: str) -> DataFrame:
+    return grids(spark, d).select("vec_id", curate.average_hash(F.col("grid")).alias("code"))
+
+
+@query(f"WITH {GRIDS}, w AS (SELECT vec_id, unnest(range(0, 4)) k, bits FROM h), c AS (SELECT vec_id, k, list_sum(list_transform(bits[k * 64 + 1:k * 64 + 64], lambda b, i: CASE WHEN b THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INT) ELSE 0 END)) c FROM w) SELECT vec_id, string_agg(CASE WHEN c >= 9223372036854775808 THEN c - 18446744073709551616 ELSE c END, ',' ORDER BY k) code FROM c GROUP BY vec_id")
 def q_average_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", curate.average_hash(F.col("embedding")).alias("code"))
+    return hashes(spark, d).select("vec_id", F.array_join(F.transform("code", lambda w: w.cast("string")), ",").alias("code"))
+
 
+NEAR = f"{GRIDS}, hb AS MATERIALIZED (SELECT vec_id, CAST(array_to_string(list_transform(bits, lambda b: CASE WHEN b THEN '1' ELSE '0' END), '') AS BIT) code FROM h), n4 AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b, CAST(bit_count(xor(a.code, b.code)) AS INT) distance FROM hb a JOIN hb b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 4)"
 
-@query(f"WITH {HASHES} SELECT a.vec_id a, b.vec_id b, CAST(bit_count(xor(a.code, b.code)) AS INT) distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 18")
+
+@query(f"WITH {NEAR} SELECT * FROM n4")
 def q_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return curate.banded_pairs(q_average_hash(spark, d), "vec_id", "code", 18)
+    return curate.banded_pairs(hashes(spark, d), "vec_id", "code")
+
+
+@query(f"WITH {RECORDS} SELECT record_id, CASE WHEN source = 'thesvg' THEN CASE WHEN contains(lower(f), 'wordmark') THEN 45 ELSE 72 END WHEN source = 'vectorlogozone' THEN CASE WHEN contains(lower(f), 'icon') THEN 76 ELSE 60 END WHEN source = 'gilbarbara' THEN 70 WHEN source = 'car-logos' THEN 75 ELSE 60 END score FROM (SELECT record_id, source, CASE WHEN size % 5 = 0 THEN replace(path, '.svg', '-wordmark.svg') ELSE path END f FROM r)")
+def q_file_score(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("size") % 5 == 0, F.replace("path", F.lit(".svg"), F.lit("-wordmark.svg"))).otherwise(F.col("path"))
+    return records(spark, d).select("record_id", keys.file_score(F.col("source"), path).alias("score"))
+
+
+@query("WITH s AS (SELECT p_name k, p_partkey v FROM part WHERE p_size <= 25), n AS (SELECT p_name k, p_partkey v FROM part WHERE p_size > 20) SELECT k AS name, v AS record_id FROM s UNION ALL SELECT k, v FROM n WHERE k NOT IN (SELECT k FROM s)")
+def q_append_new(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("record_id"), "p_size")
+    return resolve.append_new(part.where("p_size <= 25"), part.where("p_size > 20"), "name").select("name", "record_id")
+
+
+@query("SELECT DISTINCT id FROM (SELECT doc_id id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id + 1 FROM labels WHERE toxic = 1 AND doc_id % 2 = 0)")
+def q_remapped_marks(spark: SparkSession, d: str) -> DataFrame:
+    marks = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    moved = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("old"), (F.col("doc_id") + 1).alias("new"))
+    return files.remapped_ids(marks, moved, "old", "new")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) / (p_partkey % 7 + 1) WHEN p_partkey % 3 = 1 THEN CAST(p_size AS DOUBLE) / 20 ELSE 0.0 END ratio FROM part""")
+def q_aspect_ratio(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    box = F.concat(F.lit('<svg viewBox="0 0 '), size, F.lit(" "), (k % 7 + 1).cast("string"), F.lit('">'))
+    svg = F.when(k % 3 == 0, box).when(k % 3 == 1, F.concat(F.lit('<svg width="'), size, F.lit('" height="20">'))).otherwise(F.lit("<svg>"))
+    return table(spark, d, "part").select("p_partkey", keys.aspect_ratio(svg).alias("ratio"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand WHEN p_size % 3 = 0 THEN p_type ELSE p_name END label, CASE WHEN p_size % 5 = 0 THEN p_type ELSE p_brand END claim FROM part")
+def q_label_fallback(spark: SparkSession, d: str) -> DataFrame:
+    labels = F.create_map(F.lit("zh-hans"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.lit("zh-cn"), F.lit(""), F.lit("zh"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")))
+    claims = F.create_map(F.lit("P154"), F.when(F.col("p_size") % 5 == 0, F.array("p_type")).otherwise(F.array(F.lit(""))), F.lit("P94"), F.array("p_brand", "p_name"))
+    return table(spark, d, "part").select("p_partkey", resolve.label_in(labels, ("zh-hans", "zh-cn", "zh"), F.col("p_name")).alias("label"), resolve.first_claim(claims, ("P154", "P94")).alias("claim"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogkit.functions import fixed, keys
 from catalogkit.operators import analytics, curate, links
-from catalogkit.plans.catalog import q_average_hash
+from catalogkit.plans.catalog import NEAR, hashes
 from catalogkit.plans.registry import query, table
 from catalogkit.streaming import answers
 
@@ -45,10 +45,30 @@ def q_link_discovery(spark: SparkSession, d: str) -> DataFrame:
     return links.page_anchors(table(spark, d, "pages"), "page_id", "url", "html")
 
 
-@query()
+ICONS = ("icon", "apple-touch-icon", "mask-icon", "manifest", "stylesheet")
+
+
+@query(rf"""WITH {ANCHORS}, r AS (SELECT *, {list(ICONS)!r}[CAST((page_id + pos) % 5 AS INT) + 1] rel FROM h)
+SELECT page_id, CAST(pos AS INT) pos, CASE rel WHEN 'manifest' THEN 'manifest-link' ELSE rel END kind, concat(root, href) icon_url, CASE WHEN rel IN ('icon', 'apple-touch-icon') THEN 16 * (pos % 4 + 1) ELSE 0 END size,
+CASE rel WHEN 'icon' THEN 50 WHEN 'apple-touch-icon' THEN 80 WHEN 'mask-icon' THEN 60 ELSE 10 END priority FROM r WHERE rel <> 'stylesheet'""")
 def q_icon_links(spark: SparkSession, d: str) -> DataFrame:
-    """Icons that the pages declare; the driver's pages declare hardly any."""
-    return links.icon_links(table(spark, d, "pages"), "page_id", "url", "html")
+    """Icons that pages declare; each anchor of the driver's pages stands as a link element."""
+    tags = table(spark, d, "pages").select("page_id", "url", F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*href=[^>]*>.*?</a>)"), 1).alias("tags"))
+    rel = lambda i: F.get(F.array(*map(F.lit, ICONS)), ((F.col("page_id") + i) % 5).cast("int"))
+    size = lambda i: (16 * (i % 4 + 1)).cast("string")
+    link = F.transform("tags", lambda t, i: F.concat(F.lit('<link rel="'), rel(i), F.lit('" sizes="'), size(i), F.lit("x"), size(i), F.lit('" href="'), links.attribute(t, "href"), F.lit('">')))
+    found = links.icon_links(tags.select("page_id", "url", F.array_join(link, "").alias("html")), "page_id", "url", "html")
+    return found.select("page_id", "pos", "kind", "icon_url", F.col("size").cast("long").alias("size"), "priority")
+
+
+@query(rf"""WITH {ANCHORS} SELECT page_id, CAST(pos AS INT) pos, 'manifest' kind, abs_url icon_url, 128 * (pos % 8 + 1) size, CASE WHEN 128 * (pos % 8 + 1) >= 512 THEN 100 ELSE 85 END priority FROM a""")
+def q_manifest_icons(spark: SparkSession, d: str) -> DataFrame:
+    """Icons of manifest documents made of the pages' anchors."""
+    hrefs = F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*href=[^>]*>.*?</a>)"), 1)
+    side = lambda i: (128 * (i % 8 + 1)).cast("string")
+    icons = F.transform(hrefs, lambda t, i: F.struct(links.attribute(t, "href").alias("src"), F.concat(side(i), F.lit("x"), side(i)).alias("sizes")))
+    found = links.manifest_icons(table(spark, d, "pages").select("page_id", "url", icons.alias("icons")), "page_id", "url")
+    return found.select("page_id", "pos", "kind", "icon_url", F.col("size").cast("long").alias("size"), "priority")
 
 
 @query(rf"""WITH {ANCHORS}, u AS (SELECT page_id, abs_url, min(pos) pos FROM a GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(abs_url) DESC, pos) "rank" FROM u) SELECT page_id, abs_url icon_url, "rank" FROM r WHERE "rank" <= 4""")
@@ -80,11 +100,13 @@ def q_fetch_status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", links.fetch_status(status, place, F.when(k % 13 == 0, 0).otherwise(10), kind, k % 17 == 0).alias("status"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEAR}, l AS (SELECT b, list(a) earlier FROM n4 GROUP BY b), o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) rn, earlier FROM hb LEFT JOIN l ON b = vec_id),
+s(rn, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.rn, CASE WHEN coalesce(list_has_any(kept, CAST(earlier AS BIGINT[])), FALSE) THEN kept ELSE list_append(kept, CAST(vec_id AS BIGINT)) END FROM s JOIN o ON o.rn = s.rn + 1)
+SELECT vec_id, list_contains((SELECT kept FROM s ORDER BY rn DESC LIMIT 1), CAST(vec_id AS BIGINT)) kept FROM hb""")
 def q_near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Records that a greedy pass over the hashes keeps (18 of 64 bits, which suits these random grids)."""
-    codes = kept(q_average_hash(spark, d))
-    pairs = kept(curate.banded_pairs(codes, "vec_id", "code", 18))
+    """Records that a greedy pass over the hashes keeps (4 of 256 bits)."""
+    codes = kept(hashes(spark, d))
+    pairs = kept(curate.banded_pairs(codes, "vec_id", "code"))
     return curate.greedy_near_copies(codes, pairs, "vec_id", F.col("vec_id"), F.lit(False), kept).select(F.col("id").alias("vec_id"), (F.col("state") == "kept").alias("kept"))
 
 

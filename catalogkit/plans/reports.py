@@ -229,14 +229,63 @@ def q_item_risk(spark: SparkSession, d: str) -> DataFrame:
     return named.select("item_id", F.array_join(itembank.item_risks(), ",").alias("risks"))
 
 
-@query(f"""WITH {RING}, e AS (SELECT item_id, CASE WHEN answer NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) THEN 'answer_known' END a, CASE WHEN category = 'PROMO' THEN 'category_open' END b FROM i) SELECT item_id, error FROM (SELECT item_id, unnest([a, b]) error FROM e) WHERE error IS NOT NULL""")
+# items with every kind of fault: options cut or repeated, unknown answers, other suffixes, blank names
+FAULTS = f"""{RING}, j AS (SELECT item_id, CASE WHEN answer % 17 = 0 THEN 'quiz' ELSE "type" END ty, answer, CASE WHEN answer % 7 = 0 THEN options[1:3] WHEN answer % 11 = 0 THEN list_append(options[1:3], options[1]) ELSE options END os, CASE WHEN answer % 13 = 0 THEN ' ' ELSE p_name END nm, p_size FROM i JOIN part ON p_partkey = answer),
+e AS (SELECT item_id, unnest([CASE WHEN ty NOT IN ('logo_to_brand', 'brand_to_logo') THEN 'invalid_type' END, CASE WHEN p_size >= 40 THEN 'answer_missing' END, CASE WHEN len(os) <> 4 THEN 'option_count_not_4' END, CASE WHEN len(list_distinct(os)) <> len(os) THEN 'duplicate_options' END,
+  CASE WHEN NOT list_contains(os, answer) THEN 'answer_not_in_options' END, CASE WHEN answer % 9 = 0 THEN 'invalid_url' END, CASE WHEN trim(nm) = '' THEN 'blank_name' END]) error FROM j), bad AS (SELECT * FROM e WHERE error IS NOT NULL)"""
+
+
+@query(f"WITH {FAULTS} SELECT * FROM bad")
 def q_validate_items(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "part").where("p_size < 40").select(F.col("p_partkey").alias("pk"))
-    items = bank(spark, d).join(known, F.col("answer") == F.col("pk"), "left")
-    checks = [("answer_known", F.col("pk").isNotNull()), ("type_known", F.col("type").isin("logo_to_brand", "brand_to_logo")), ("options_valid", itembank.is_valid_item()), ("category_open", F.col("category") != "PROMO")]
+    k = F.col("answer")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("pk"), "p_name", "p_size")
+    items = bank(spark, d).join(part, k == F.col("pk")).withColumn("type", F.when(k % 17 == 0, "quiz").otherwise(F.col("type")))
+    three = F.slice("options", 1, 3)
+    items = items.withColumn("options", F.when(k % 7 == 0, three).when(k % 11 == 0, F.concat(three, F.slice("options", 1, 1))).otherwise(F.col("options")))
+    url = F.concat(F.lit("https://assets.example.com/logos/"), k.cast("string"), F.when(k % 9 == 0, ".png").otherwise(".jpg"))
+    checks = itembank.item_checks(F.col("p_size") < 40, F.when(k % 13 == 0, " ").otherwise(F.col("p_name")), url, "https://assets.example.com/logos/")
     return items.select("item_id", F.explode(rules.failed_rules(checks)).alias("error"))
 
 
+@query(f"""WITH {FAULTS}, c300 AS (SELECT * FROM bad ORDER BY item_id, error LIMIT 300), gs AS (SELECT item_group, count(*) n FROM i GROUP BY 1)
+SELECT (SELECT count(*) FROM bad) error_count, (SELECT count(*) FROM bad) = 0 AS valid, (SELECT string_agg(concat(item_id, ':', error), '|' ORDER BY item_id, error) FROM c300) errors, (SELECT count(*) FROM i) items, (SELECT count(*) FROM gs) groups, (SELECT min(n) FROM gs) smallest_group""")
+def q_error_report(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the true number of errors, 300 of them, and statistics of the groups."""
+    report = rules.capped_errors(q_validate_items(spark, d), ("item_id", "error"))
+    stats = analytics.count_by(bank(spark, d), "item_group").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("groups"), F.min("n").alias("smallest_group"))
+    joined = report.withColumn("one", F.lit(1)).join(stats.withColumn("one", F.lit(1)), "one")  # a row each
+    return joined.select("error_count", "valid", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["item_id"], e["error"])), "|").alias("errors"), "items", "groups", "smallest_group")
+
+
+@query(f"""WITH {RING}, p0 AS (SELECT * FROM i WHERE answer % 211 = 0), o1 AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY md5(concat('s3#', item_id)), item_id) k FROM p0),
+t1 AS (SELECT item_id, category, row_number() OVER (PARTITION BY category ORDER BY md5(concat('s3#', item_id)), item_id) turn FROM o1 WHERE k = 1), a1 AS (SELECT item_id, turn FROM t1 ORDER BY turn, md5(concat('s3#', category)), category LIMIT 20)
+SELECT item_id, turn FROM (SELECT item_id, turn, 0 z, '' m FROM a1 UNION ALL SELECT item_id, NULL, 1, md5(concat('s3#', item_id)) FROM p0 WHERE item_id NOT IN (SELECT item_id FROM a1)) ORDER BY z, m, item_id LIMIT 20""")
+def q_balanced_refill(spark: SparkSession, d: str) -> DataFrame:
+    """A balanced pick from few answers, which their other items fill up."""
+    return itembank.balanced_pick(bank(spark, d).where("answer % 211 = 0"), fixed.ROUND_SIZE, "s3").select("item_id", F.col("turn").cast("long").alias("turn"))
+
+
+@query(f"WITH {RING} SELECT item_id, CASE WHEN \"type\" = 'brand_to_logo' THEN '反向记忆' ELSE '基础识别' END \"label\" FROM i")
+def q_type_label(spark: SparkSession, d: str) -> DataFrame:
+    return bank(spark, d).select("item_id", keys.type_label(F.col("type")).alias("label"))
+
+
+@query("""WITH r AS (SELECT o_orderpriority grp, o_orderstatus = 'F' OR o_orderstatus = 'O' conv, o_totalprice * 3 bytes, o_orderkey FROM orders), m AS (SELECT o_orderpriority grp, count(DISTINCT o_orderkey) matched FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND o_orderpriority < '4' GROUP BY 1)
+SELECT r.grp, count(*) FILTER (conv) converted, count(*) FILTER (NOT conv) failed, count(*) FILTER (conv AND bytes > 524288) large_files, coalesce(max(matched), 0) matched FROM r LEFT JOIN m ON r.grp = m.grp GROUP BY r.grp""")
+def q_conversion_report(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").withColumnRenamed("o_orderpriority", "grp")
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    matches = orders.where("grp < '4'").join(returned, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("grp").agg(F.count(F.lit(1)).alias("matched"))
+    status = F.when(F.col("o_orderstatus").isin("F", "O"), "converted").otherwise("download_failed")
+    return analytics.conversion_report(orders, "grp", status, F.col("o_totalprice") * 3, matches)
+
+
+@query("SELECT event_id, replace(replace(concat('{\"t\":\"<b>', event_type, chr(8232), '</b>\"}'), '<', '\\u003c'), chr(8232), '\\u2028') escaped FROM events")
+def q_json_escape(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('{"t":"<b>'), "event_type", F.lit('\u2028</b>"}'))
+    return table(spark, d, "events").select("event_id", keys.json_script_escaped(text).alias("escaped"))
+
+
 @query(f"WITH {RING} SELECT item_id, answer FROM i ORDER BY md5(concat('s1#', item_id)), item_id LIMIT 20")
 def q_sample_items(spark: SparkSession, d: str) -> DataFrame:
     return itembank.sample_items(bank(spark, d), fixed.ROUND_SIZE, "s1").select("item_id", "answer")
@@ -260,7 +309,7 @@ def q_mixed_pick(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat(p_brand, '#', p_partkey))) \"place\" FROM part) SELECT * FROM s")
 def q_stable_shuffle(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_brand").withColumn("h", itembank.hash_order(F.col("p_brand"), F.col("p_partkey")))
-    return analytics.top_k_by(part, "p_brand", 1 << 31 - 1, F.col("h")).select("p_partkey", "p_brand", F.col("rank").cast("long").alias("place"))
+    return analytics.top_k_by(part, "p_brand", (1 << 31) - 1, F.col("h")).select("p_partkey", "p_brand", F.col("rank").cast("long").alias("place"))
 
 
 @query()

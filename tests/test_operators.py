@@ -73,17 +73,43 @@ def test_copies_spare_the_protected_and_the_keyless(spark):
     assert {r.id: r.duplicate_of for r in got.collect()} == {1: 2, 2: None, 3: None, 4: None}
 
 
-def test_unique_ids_do_not_meet_natural_ones(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a_2"), (4, "a")], "o int, base string")
-    got = [r.unique_id for r in curate.unique_ids(df, "base", ("o",)).collect()]
-    assert len(set(got)) == 4 and {"a", "a_2", "a_3"} <= set(got)
+def sequential_ids(bases):
+    used, out = set(), []
+    for base in bases:
+        own, k = base, 2
+        while own in used:
+            own, k = f"{base}_{k}", k + 1
+        used.add(own)
+        out.append(own)
+    return out
+
+
+def test_unique_ids_equal_a_sequential_pass(spark):
+    rng = random.Random(5)
+    for bases in (["a", "a", "a_2", "a"], ["a", "a", "a_2", "a_2_x"], [rng.choice(["a", "a_2", "a_3", "a_2_2", "b", "b_x", "c_1"]) for _ in range(60)]):
+        df = spark.createDataFrame(list(enumerate(bases)), "o int, base string")
+        got = {r.o: r.unique_id for r in curate.unique_ids(df, "base", ("o",)).collect()}
+        assert [got[i] for i in range(len(bases))] == sequential_ids(bases)
+
+
+@pytest.mark.parametrize("n", [10, 64, 128, 200, 256])
+def test_average_hash_of_any_length(spark, n):
+    rng = random.Random(n)
+    rows = [(0, [0.0] * (n // 2) + [1.0] * (n - n // 2)), (1, [1.0] * (n // 2) + [0.0] * (n - n // 2)), (2, [rng.random() for _ in range(n)])]
+    got = {r.id: r.code for r in spark.createDataFrame(rows, "id int, x array<double>").select("id", curate.average_hash(F.col("x")).alias("code")).collect()}
+    for i, x in rows:
+        bits = sum(1 << k for k, v in enumerate(x) if v >= sum(x) / n)
+        assert [w % (1 << 64) for w in got[i]] == [bits >> 64 * k & (1 << 64) - 1 for k in range(-(-n // 64))]
+    two = spark.createDataFrame([([1, 2], [1]), ([1, 2], [0, 2])], "a array<bigint>, b array<bigint>")
+    assert [r.d for r in two.select(curate.hamming(F.col("a"), F.col("b")).alias("d")).collect()] == [(1 << 31) - 1, 1]
 
 
-def test_hashes_and_bands_against_all_pairs(spark):
+def test_bands_against_all_pairs(spark):
     rng = random.Random(2)
-    base = [rng.getrandbits(63) for _ in range(10)]
-    codes = [(i, base[i % 10] ^ sum(1 << rng.randrange(63) for _ in range(rng.randint(0, 3)))) for i in range(80)]
-    df = spark.createDataFrame(codes, "id int, code bigint")
+    base = [rng.getrandbits(256) for _ in range(10)]
+    codes = [(i, base[i % 10] ^ sum(1 << rng.randrange(256) for _ in range(rng.randint(0, 3)))) for i in range(80)]
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    df = spark.createDataFrame([(i, [signed(c >> 64 * k & (1 << 64) - 1) for k in range(4)]) for i, c in codes], "id int, code array<bigint>")
     got = {(r.a, r.b, r.distance) for r in curate.banded_pairs(df, "id", "code", 4).collect()}
     assert got == {(i, j, (x ^ y).bit_count()) for i, x in codes for j, y in codes if i < j and (x ^ y).bit_count() <= 4}
 
