@@ -166,3 +166,10 @@ def test_local_search_ends_only_where_no_step_is_left(seed):
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry_has_the_corpus_queries():
+    """The entry leaves them out quietly if they can't be imported; here they must be there."""
+    import __spark_entry__
+
+    assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
