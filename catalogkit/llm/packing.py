@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 from catalogkit.llm.common import small_batches, stored
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
+PLACE = ("sequence_id", "offset")
 
 
 @lru_cache(maxsize=2)
@@ -61,9 +62,10 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[Column, ...] = (), capacity: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
-    """``keep`` columns, then one row for each piece (and its token ids, if asked for)."""
+    """``keep`` columns, then one row for each piece (and its token ids, if asked for). A ``keep``
+    column named like a result (``pack``'s too) is replaced by it."""
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.col(text).alias("__text")).drop("ids", *StructType.fromDDL(PIECES).names, *PLACE)
     names = rows.columns[:-1]
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(PIECES + ", ids array<int>" * with_ids).fields])
 
@@ -193,10 +195,11 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
 
 
 def pack(rows: DataFrame, length: str = "length", capacity: int = 1024, per_group: int = 200_000) -> DataFrame:
-    """All columns of ``rows`` (pieces), then ``sequence_id`` and ``offset``."""
-    rows = stored(rows)
+    """All columns of ``rows`` (pieces), then ``sequence_id`` and ``offset`` (columns that had
+    these names are replaced)."""
+    rows = stored(rows.drop(*PLACE))
     groups = max(1, math.ceil(rows.count() / per_group))
-    dealt = rows.withColumn("__group", F.pmod(F.xxhash64(*(F.col(c) for c, t in rows.dtypes if not t.startswith("array"))), F.lit(groups)))
+    dealt = rows.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # by its place in the stored table, so that equal rows are spread
     schema = StructType(rows.schema.fields).add("sequence_id", "long").add("offset", "long")
 
     def one(b: pd.DataFrame) -> pd.DataFrame:
