@@ -5,9 +5,14 @@ average of its vectors, a softmax layer gives the class. Training is numpy
 stochastic gradient descent over a bounded, documented sample of labelled rows in
 one task; scoring runs over all rows in batches.
 
+Beside words and n-grams, each pair of adjacent words has one of two vectors: equal
+words or different ones. An average of word vectors cannot tell one word said over and
+over from a text about it; without these vectors such texts are missed.
+
 Defined results: a null or empty text has no features and gets the bias-only
 score; without labelled rows every score is 0.5. A document with several labels
-teaches each of them; a null label teaches nothing.
+teaches each of them; a null label teaches nothing. A ``keep`` column named ``score``
+is replaced by the result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(text: str | None, bits: int) -> Iterator[np.ndarray]:
-    """Bucket numbers of the words, of their adjacent pairs' shapes, and of the
-    character n-grams of a text, slice by slice."""
+    """Bucket numbers of the words, of adjacent pairs (equal or not), and of the character
+    n-grams of a text, slice by slice."""
     if not text:
         return
     shift = np.uint64(64 - bits)
@@ -117,7 +122,7 @@ def predict(docs: DataFrame, model: np.ndarray, text: str = "text", keep: tuple[
     small_batches(docs.sparkSession)
     bits = (len(model) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.col(text).alias("__text")).drop("score")
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("score double").fields])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

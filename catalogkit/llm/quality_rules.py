@@ -63,11 +63,12 @@ def text_stats(text: str | None) -> tuple:
 
 def with_stats(docs: DataFrame, text: str = "text", keep: tuple[Column, ...] = (), forest: tuple | None = None) -> DataFrame:
     """``keep`` columns of every row, then the statistics of its whole text; with a forest
-    also ``anomaly``, in the same pass."""
+    also ``anomaly``, in the same pass. A ``keep`` column named like one of these, or like a
+    verdict, is replaced."""
     small_batches(docs.sparkSession)
     sent = None if forest is None else docs.sparkSession.sparkContext.broadcast(forest)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
     names = StructType.fromDDL(STATS).names
+    rows = docs.select(*keep, F.col(text).alias("__text")).drop(*names, "anomaly", "base_failed", "kept")
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(STATS + (", anomaly double" if sent else "")).fields])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
