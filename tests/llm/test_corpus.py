@@ -129,6 +129,16 @@ def test_packing_round_trip(spark, make_docs, odd, prose):
     assert packing.pack(packing.pieces(make_docs([]), tokenizer_path(), keep=(F.col("doc_id"),))).count() == 0
 
 
+def test_packing_replaces_clashing_columns_and_spreads_equal_rows(spark, make_docs):
+    docs = make_docs(["same text"] * 40).selectExpr("1L doc_id", "text", "'x' piece", "'x' offset", "'x' length", "'x' ids", "taken")
+    made = packing.pieces(docs, tokenizer_path(), keep=tuple(F.col(c) for c in docs.columns))
+    assert made.columns == ["doc_id", "text", "taken", "piece", "start", "length", "ids_crc32"]
+    got = packing.pack(made.withColumn("offset", F.lit("x")).drop("taken"), per_group=10)
+    assert got.columns[-2:] == ["sequence_id", "offset"]
+    groups = [r["count"] for r in got.groupBy(F.col("sequence_id") % 4).count().collect()]
+    assert sum(groups) == 40 and 1 < len(groups) <= 4
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_local_search_keeps_all_pieces_and_never_adds_bins(seed):
     rng = np.random.default_rng(seed)

@@ -111,3 +111,11 @@ def test_stages_of_nothing(spark, make_docs):
     for name, stage in corpus_pipeline.STAGES[1:]:
         out = stage(spark, docs, "")
         assert out.count() == 0 and (name == "best_fit_packing" or out.columns == docs.columns)
+
+
+def test_pipeline_over_an_empty_table_and_after_a_stage_that_keeps_nothing(spark, make_docs, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, docs in {"empty": make_docs([]), "short": make_docs(["too short", None])}.items():
+        docs.select(columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == 0
