@@ -4,8 +4,8 @@ A line is parsed by its number of tokens and its ``depth`` leading tokens (a tok
 a digit counts as a variable field, unless most of the line's tokens have one). Below such a leaf, a line has its full template and
 generalised ones: the other tokens are cut into four parts, of which two are kept and
 two become variable fields, so that lines with one template agree in at least half of
-their tokens. Templates are counted over all documents by key, with map-side combining;
-no leaf is ever gathered. A line is dropped if a template of it recurs in ``min_docs``
+their tokens. Templates are counted over all documents by key (128 bits of a hash of the
+template), with map-side combining; no leaf is ever gathered. A line is dropped if a template of it recurs in ``min_docs``
 documents or more and this is not the first of them (the smallest identifier), so that
 one copy of every line stays.
 
@@ -24,7 +24,8 @@ identifier and text get equal results; null identifiers come last.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import SPACE, distinct, small_batches, stored
+from catalogkit.llm.common import SPACE, small_batches, stored
 
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 PARTS = 4
@@ -50,69 +51,85 @@ def parsed(line: bytes) -> list[bytes]:
     return tokens
 
 
-def template_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
+def template_keys(line: bytes, depth: int, min_tokens: int) -> list[bytes]:
     """The keys of a line's templates: full, then with two of four parts."""
     tokens = parsed(line)
     n, rest = len(tokens), len(tokens) - depth
     if n < min_tokens:
         return []
-    keys = [xxhash.xxh64_intdigest(b"full " + b" ".join(tokens))]
+    keys = [xxhash.xxh3_128_digest(b"full " + b" ".join(tokens))]
     if rest >= PARTS:
         bound = [depth + rest * k // PARTS for k in range(PARTS + 1)]
         part = [b" ".join(tokens[bound[k] : bound[k + 1]]) for k in range(PARTS)]
         leaf = b"%d %s" % (n, b" ".join(tokens[:depth]))
-        keys += [xxhash.xxh64_intdigest(b"%d %s / %s / %s" % (i * PARTS + j, leaf, part[i], part[j])) for i in range(PARTS) for j in range(i + 1, PARTS)]
+        keys += [xxhash.xxh3_128_digest(b"%d %s / %s / %s" % (i * PARTS + j, leaf, part[i], part[j])) for i in range(PARTS) for j in range(i + 1, PARTS)]
     return keys
 
 
-def wide_keys(line: bytes, depth: int, min_tokens: int) -> list[int]:
+def wide_keys(line: bytes, depth: int, min_tokens: int) -> list[bytes]:
     """Further keys: lines of fewer than ``min_tokens`` tokens in full, short lines and leading
     tokens with one token left out, longer lines with three of four parts left out."""
     tokens = parsed(line)
     n, rest = len(tokens), len(tokens) - depth
     if n < min_tokens:
-        return [xxhash.xxh64_intdigest(b"full " + b" ".join(tokens))] if n else []
+        return [xxhash.xxh3_128_digest(b"full " + b" ".join(tokens))] if n else []
     some = range(n if rest < PARTS else depth) if n > 1 else ()
-    keys = [xxhash.xxh64_intdigest(b"out %d %d %s / %s" % (k, n, b" ".join(tokens[:k]), b" ".join(tokens[k + 1 :]))) for k in some]
+    keys = [xxhash.xxh3_128_digest(b"out %d %d %s / %s" % (k, n, b" ".join(tokens[:k]), b" ".join(tokens[k + 1 :]))) for k in some]
     if rest >= PARTS:
         bound = [depth + rest * k // PARTS for k in range(PARTS + 1)]
-        keys += [xxhash.xxh64_intdigest(b"part %d %d %s / %s" % (k, n, b" ".join(tokens[:depth]), b" ".join(tokens[bound[k] : bound[k + 1]]))) for k in range(PARTS)]
+        keys += [xxhash.xxh3_128_digest(b"part %d %d %s / %s" % (k, n, b" ".join(tokens[:depth]), b" ".join(tokens[bound[k] : bound[k + 1]]))) for k in range(PARTS)]
     return keys
 
 
-def text_keys(text: str, depth: int, min_tokens: int, wide: bool = False, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all lines of a text, and the number of the line of each. With ``exact`` the
-    lowest bit tells the keys of whole lines, fields included, from those of templates."""
+def text_keys(text: str, depth: int, min_tokens: int, wide: bool = False, exact: bool = False) -> tuple[list[bytes], list[int]]:
+    """Keys of all lines of a text, and the number of the line of each. With ``exact`` a byte
+    tells the keys of whole lines, fields included, from those of templates."""
     keys, at = [], []
     for i, line in enumerate(text.encode("utf-8", "replace").split(b"\n")):
         own = template_keys(line, depth, min_tokens)
         if wide:
             own += wide_keys(line, depth, min_tokens)
         if exact:
-            own = [k & ~1 for k in own]
+            own = [k[:8] + b"\0" + k[9:] for k in own]
             tokens = line.split()
             if tokens and len(tokens) >= min_tokens:
-                own.append(xxhash.xxh64_intdigest(b"line " + b" ".join(tokens)) | 1)
+                k = xxhash.xxh3_128_digest(b"line " + b" ".join(tokens))
+                own.append(k[:8] + b"\1" + k[9:])
         keys += own
         at += [i] * len(own)
-    return np.array(keys, np.uint64).view(np.int64), np.array(at, np.int64)
+    return keys, at
+
+
+def as_longs(keys: Iterable[bytes]) -> np.ndarray:
+    """Both halves of each key, in a row each."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T)
+
+
+def find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key among known ones, which are sorted; -1 for those not there."""
+    low, high = (np.searchsorted(known[0], keys[0], side) for side in ("left", "right"))
+    at = np.full(len(low), -1)
+    for step in range((high - low).max(initial=0)):
+        here = np.minimum(low + step, len(known[0]) - 1)
+        at = np.where((low + step < high) & (known[1][here] == keys[1]), here, at)
+    return at
 
 
 def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min_docs: int, min_tokens: int, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
-    """``key``, ``first``: templates in ``min_docs`` documents or more (whole lines in
+    """``k0``, ``k1`` (halves of the key), ``first``: templates in ``min_docs`` documents or more (whole lines in
     ``exact_docs``), and the first one."""
     how = (depth, min_tokens, wide, exact_docs is not None)
-    least = F.lit(min_docs) if exact_docs is None else F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, exact_docs).otherwise(min_docs)
+    least = F.lit(min_docs) if exact_docs is None else F.when(F.col("k1").bitwiseAND(F.lit(255)) == 1, exact_docs).otherwise(min_docs)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [distinct(text_keys(t or "", *how)[0]) for t in b["t"]]
-            if own:
-                yield pd.DataFrame({"key": np.concatenate(own), "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in own])})
+            own = [set(text_keys(t or "", *how)[0]) for t in b["t"]]
+            k0, k1 = as_longs(chain.from_iterable(own))
+            yield pd.DataFrame({"k0": k0, "k1": k1, "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in own])})
 
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("id"), F.col(text).alias("t"))
-    counted = rows.mapInPandas(parse, "key long, id long").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    return stored(counted.where(F.col("n") >= least).select("key", "first"))
+    counted = rows.mapInPandas(parse, "k0 long, k1 long, id long").groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return stored(counted.where(F.col("n") >= least).select("k0", "k1", "first"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, max_sent: int = 2_000_000, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
@@ -133,17 +150,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
         return b.assign(**{column: left}, n_lines=[len(x) for x in lines], n_dropped=[len(g) for g in gone])[schema.names]
 
     if recurring.count() <= max_sent:
-        known = recurring.toPandas().sort_values("key")
-        sent = docs.sparkSession.sparkContext.broadcast((known["key"].to_numpy(np.int64), known["first"].to_numpy(np.int64)))
+        known = recurring.toPandas().sort_values(["k0", "k1"])
+        sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(known.to_numpy(np.int64).T))
 
         def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            all_keys, first = sent.value
+            known, first = sent.value[:2], sent.value[2]
             for b in batches:
                 gone = []
                 for t, own in zip(b[column], b["__id"]):
                     keys, at = text_keys(t or "", *how)
-                    found = np.minimum(np.searchsorted(all_keys, keys), len(all_keys) - 1) if len(all_keys) else np.zeros(0, np.int64)
-                    gone.append(set(at[(all_keys[found] == keys) & (first[found] != own)].tolist()) if len(found) else set())
+                    found = find(known, as_longs(keys))
+                    gone.append({at[i] for i in np.flatnonzero(found >= 0) if first[found[i]] != own})
                 yield cut(b, gone)
 
         out = rows.mapInPandas(drop, schema)
@@ -153,11 +170,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
             for b in batches:
                 for t, own, h in zip(b["t"], b["id"], b["h"]):
                     keys, at = text_keys(t or "", *how)
-                    yield pd.DataFrame({"key": keys, "line": at, "id": own, "h": h})
+                    k0, k1 = as_longs(keys)
+                    yield pd.DataFrame({"k0": k0, "k1": k1, "line": np.array(at, np.int64), "id": own, "h": h})
 
         hashed = F.xxhash64(F.coalesce(F.col(column), F.lit("")))
-        lines = rows.select(F.col("__id").alias("id"), F.col(column).alias("t"), hashed.alias("h")).mapInPandas(parse, "key long, line long, id long, h long")
-        dropped = lines.join(recurring, "key").where("id <> first").groupBy("id", "h").agg(F.collect_set("line").alias("gone"))
+        lines = rows.select(F.col("__id").alias("id"), F.col(column).alias("t"), hashed.alias("h")).mapInPandas(parse, "k0 long, k1 long, line long, id long, h long")
+        dropped = lines.join(recurring, ["k0", "k1"]).where("id <> first").groupBy("id", "h").agg(F.collect_set("line").alias("gone"))
         joined = rows.withColumn("__h", hashed).join(dropped, (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left").select(*schema.names[:-2], "gone")
 
         def drop_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -201,3 +201,11 @@ def test_line_dedup_whole_lines_in_two_documents_and_plain_word_fields(spark, ma
     assert got[0].text == texts[0] and got[5].text == texts[5] and got[6].text == "only 1 here"
     assert all(got[i].text == texts[i].split("\n")[0] for i in range(1, 5))
     assert all(r.n_dropped == 0 for r in line_dedup.deduplicate(docs, max_sent=max_sent).collect())
+
+
+def test_template_keys_are_compared_in_full():
+    known = np.array([[1, 5, 5, 5, 9], [7, 1, 2, 3, 0]])
+    keys = np.array([[5, 5, 5, 1, 0, 9, 10, 9], [3, 1, 4, 7, 0, 0, 0, 1]])
+    assert line_dedup.find(known, keys).tolist() == [3, 1, -1, 0, -1, 4, -1, -1]
+    assert line_dedup.find(known[:, :0], keys).tolist() == [-1] * 8
+    assert line_dedup.as_longs([]).shape == (2, 0)
