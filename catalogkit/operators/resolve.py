@@ -50,8 +50,9 @@ def key_pairs(entities: DataFrame, records: DataFrame, entity: str = "entity_id"
 def containment_pairs(entities: DataFrame, records: DataFrame, entity: str, record: str, least: int = 4) -> DataFrame:
     """Pairs of different tables whose keys (column ``key``) are equal or hold one another.
 
-    Keys shorter than ``least`` match by equality only. Longer ones are blocked: the
-    shorter key's first ``least`` letters must be among the n-grams of the longer one."""
+    Keys shorter than ``least`` match by equality only. Longer ones are blocked: of the n-grams
+    of the shorter key, the one that the fewest longer keys have must be among theirs, so that
+    a word that many keys share makes no block unless a key has no other."""
     a = entities.select(F.col(entity), F.col("key").alias("ka")).where("ka <> ''")
     b = records.select(F.col(record), F.col("key").alias("kb")).where("kb <> ''")
 
@@ -59,12 +60,14 @@ def containment_pairs(entities: DataFrame, records: DataFrame, entity: str, reco
         every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - (least - 1), F.lit(1))), lambda i: F.substr(F.col(k), i, F.lit(least)))
         return df.where(F.length(k) >= least).withColumn("g", F.explode(F.array_distinct(every)))
 
-    def head(df: DataFrame, k: str) -> DataFrame:
-        return df.where(F.length(k) >= least).withColumn("g", F.substring(k, 1, least))
+    def rarest(df: DataFrame, by: str, k: str, others: DataFrame) -> DataFrame:
+        known = others.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        return grams(df, k).join(known, "g").groupBy(by, k).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
 
     equal = a.join(b, F.col("ka") == F.col("kb")).select(entity, record)
-    inside = grams(b, "kb").join(head(a, "ka"), "g").where(F.contains("kb", "ka")).select(entity, record)
-    around = grams(a, "ka").join(head(b, "kb"), "g").where(F.contains("ka", "kb")).select(entity, record)
+    grams_a, grams_b = grams(a, "ka"), grams(b, "kb")
+    inside = grams_b.join(rarest(a, entity, "ka", grams_b), "g").where(F.contains("kb", "ka")).select(entity, record)
+    around = grams_a.join(rarest(b, record, "kb", grams_a), "g").where(F.contains("ka", "kb")).select(entity, record)
     return equal.unionByName(inside).unionByName(around).distinct()
 
 

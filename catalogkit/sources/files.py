@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,14 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df.select(*(F.nullif(F.trim(F.col(f.name)), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema))
 
 
+def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at ``path`` as a stream: a folder, a pattern, or one file (which a stream
+    takes as a pattern only)."""
+    path = path.rstrip("/")
+    pattern = path if re.search(r"[*?\[\]{}\\]", path) else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "error") -> None:
     """The given columns in order; missing ones are blank."""
     df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode(mode).option("header", True).csv(path)

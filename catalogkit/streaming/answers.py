@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogkit.sources.files import stream_parquet
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Event files as a stream; a folder or one file. The time is read as UTC."""
-    path = path.rstrip("/")
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream_parquet(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_stats(events: DataFrame, at: str, by: str, correct: str, latency: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -39,11 +39,14 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
 
 def merge_into(path: str, key: str, at: str, upsert: Callable[[DataFrame, DataFrame, str, str], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps the latest row of each key in a versioned table:
-    a batch writes ``path/v=<batch>`` from the version before, so that a retry writes the same."""
+    a batch writes ``path/v=<batch>`` from the version before, so that a retry writes the same.
+    The version before stays for that, and for readers; older ones are deleted."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = batch.limit(0) if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}")
         upsert(before, batch, key, at).write.mode("overwrite").parquet(f"{path}/v={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return merge

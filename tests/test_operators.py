@@ -38,6 +38,9 @@ def test_containment_against_all_pairs(spark):
     got = resolve.containment_pairs(spark.createDataFrame(a, "x int, key string"), spark.createDataFrame(b, "y int, key string"), "x", "y")
     want = {(i, j) for i, s in a for j, t in b if s == t or (len(s) >= 4 and s in t) or (len(t) >= 4 and t in s)}
     assert {tuple(r) for r in got.collect()} == want
+    common = [(1, "northbank"), (2, "bank"), (3, "bankzq")], [(i, f"bank{i:04d}") for i in range(50)] + [(77, "oldnorthbankzq"), (None, "bankzq")]
+    got = resolve.containment_pairs(spark.createDataFrame(common[0], "x int, key string"), spark.createDataFrame(common[1], "y int, key string"), "x", "y")
+    assert {tuple(r) for r in got.collect()} == {(2, i) for i in range(50)} | {(1, 77), (2, 77), (3, 77), (2, None), (3, None)}
 
 
 def test_search_score(spark):

@@ -63,6 +63,19 @@ def test_stream_equals_batch_and_merge(spark, tmp_path):
     merge = answers.merge_into(str(tmp_path / "m"), "g", "ts", upsert_latest)
     answers.read_events(spark, str(src)).writeStream.foreachBatch(merge).option("checkpointLocation", str(tmp_path / "mc")).trigger(availableNow=True).start().awaitTermination()
     assert {r.g: r.id for r in spark.read.parquet(str(tmp_path / "m" / "v=0")).collect()} == {0: 99, 1: 97, 2: 98}
+    for no in (1, 2):
+        merge(spark.sql(f"SELECT 200L + {no} id, timestamp '2030-01-0{no} 00:00:00' ts, {no}L g, true ok, 0L v").select("id", "ts", "g", "ok", "v"), no)
+    assert {r.g: r.id for r in spark.read.parquet(str(tmp_path / "m" / "v=2")).collect()} == {0: 99, 1: 201, 2: 202}
+    assert sorted(x.name for x in (tmp_path / "m").iterdir()) == ["v=1", "v=2"]
+
+
+def test_stream_of_a_folder_a_file_and_a_pattern(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "t"))
+    file = next((tmp_path / "t").glob("*.parquet"))
+    for path in (tmp_path / "t", file, tmp_path / "t" / "part-*"):
+        got = files.stream_parquet(spark, str(path))
+        made = answers.run_to_table(got.groupBy().count(), str(tmp_path / "o" / path.name.replace("*", "_")), str(tmp_path / "c" / path.name.replace("*", "_")))
+        assert made.first()["count"] == spark.read.parquet(str(path)).count()
 
 
 def test_sessions(spark, tmp_path):
