@@ -7,6 +7,9 @@ that row's content lies. The state is then read as a table. Where a digest was s
 more than once, full texts are compared: rows are grouped by the text itself, with
 map-side combining, so that a digest shared by different texts is told apart.
 
+A digest that more than a thousandth of all rows have is hot; there are fewer than a
+thousand, so they are broadcast, and their rows are dealt out one by one in joins.
+
 The stream runs over what is there (``availableNow``); started again over the same
 checkpoint it takes in new files only.
 
@@ -22,8 +25,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import ascii_lower, shared_dir
+from catalogkit.llm.common import ascii_lower, shared_dir, stored
+from catalogkit.sources.files import stream_parquet
 
+#: A digest is hot if it has more than this share (1 / MOST_HOT) of all rows.
+MOST_HOT = 1_000
 #: State on disk; the logs of changes go to the checkpoint, and no disk is reserved ahead.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -64,28 +70,31 @@ def keyed_state(stream: DataFrame, checkpoint: str, doc_id: str = "doc_id", text
     return spark.read.format("statestore").option("path", checkpoint).load()
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path``, a folder or one file (which a stream takes as a pattern only)."""
-    path = path.rstrip("/")
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
-
-
 def deduplicate(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text", checkpoint: str | None = None, digest=sha256) -> DataFrame:
     """Every row of the Parquet table at ``path``: ``doc_id``, ``digest``, ``keep_id``,
     ``group_size`` and ``locator``, the file of the row that stays."""
-    held = keyed_state(read_stream(spark, path), checkpoint or shared_dir(spark), doc_id, text, digest)
-    held = held.select("key.digest", held["value"][held.schema["value"].dataType.names[0]].alias("kept"), held["value"][held.schema["value"].dataType.names[1]].alias("group_size"))
-    held = held.select("digest", F.col("kept.id").alias("keep_id"), "group_size", F.col("kept.file").alias("locator"))
+    held = keyed_state(stream_parquet(spark, path), checkpoint or shared_dir(spark), doc_id, text, digest)
+    kept, n = (held["value"][name] for name in held.schema["value"].dataType.names[:2])
+    held = stored(held.select("key.digest", F.struct(kept["id"].alias("keep_id"), n.alias("group_size"), kept["file"].alias("locator")).alias("group")))
     rows = spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     rows = rows.withColumn("__norm", normalised(F.col("__text"))).withColumn("digest", digest(F.col("__norm")))
 
-    often = held.where("group_size > 1").select("digest")
-    hits = rows.select("digest", "__norm", "doc_id").join(often, "digest", "left_semi")
+    # rows of a hot digest get its group by broadcast, and a key of their own in the joins by digest
+    total = held.agg(F.sum("group.group_size")).first()[0] or 0
+    hot = held.where(F.col("group.group_size") > max(1, total / MOST_HOT)).select(F.col("digest").alias("__hot"), F.col("group").alias("__group"))
+    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("__hot"), "left")
+    rows = rows.withColumn("__key", F.when(F.col("__hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("row "), F.monotonically_increasing_id())))
+
+    often = held.where("group.group_size > 1").select(F.col("digest").alias("__often"))
+    hits = rows.join(often, F.col("__key") == F.col("__often"), "left").where("__often is not null or __hot is not null")
     texts = hits.groupBy("digest", "__norm").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    mixed = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
-    plain = rows.select("doc_id", "digest")
+    mixed = stored(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
+
+    plain = rows.select("doc_id", "digest", "__key", "__group").join(held.withColumnRenamed("digest", "__key"), "__key", "left")
+    plain = plain.select("doc_id", "digest", F.coalesce("__group", "group").alias("group")).select("doc_id", "digest", "group.*")
     if mixed.isEmpty():
-        return plain.join(held, "digest").select("doc_id", "digest", "keep_id", "group_size", "locator")
+        return plain
     # some digest stands for several texts: there the text decides
-    apart = rows.join(mixed, "digest", "left_semi").join(texts.select(F.col("__norm").alias("__other"), F.col("id").alias("keep_id"), F.col("n").alias("group_size")), F.col("__norm") == F.col("__other"))
-    return plain.join(mixed, "digest", "left_anti").join(held, "digest").select("doc_id", "digest", "keep_id", "group_size", "locator").unionByName(apart.select("doc_id", "digest", "keep_id", "group_size", F.lit(None).cast("string").alias("locator")))
+    others = texts.join(mixed, "digest").select(F.col("__norm").alias("__other"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    apart = rows.join(mixed, "digest", "left_semi").join(others, F.col("__norm") == F.col("__other"))
+    return plain.join(mixed, "digest", "left_anti").unionByName(apart.select("doc_id", "digest", "keep_id", "group_size", F.lit(None).cast("string").alias("locator")))

@@ -45,6 +45,19 @@ def test_exact_dedup_nulls_repeats_and_nothing(spark, make_docs):
     assert exact_dedup.deduplicate(spark, saved(make_docs([]).limit(0).repartition(1))).count() == 0
 
 
+def test_exact_dedup_hot_and_rare_texts_agree(spark, make_docs, monkeypatch):
+    """Groups are the same whether their digest counts as hot (sent to all) or not."""
+    texts = [["Hot", "warm", "WARM", "cold"][min(i % 7, 3)] + str(i if i % 7 > 3 else "") for i in range(60)]
+    table = saved(make_docs(texts))
+    found = []
+    for most in (1_000, 4, 1):
+        monkeypatch.setattr(exact_dedup, "MOST_HOT", most)
+        found.append(sorted(tuple(r)[:4] for r in exact_dedup.deduplicate(spark, table).collect()))
+    assert len(found[0]) == 60 and found[0] == found[1] == found[2]
+    sizes = {i: sum(lower(t) == lower(x) for x in texts) for i, t in enumerate(texts)}
+    assert all(r[3] == sizes[r[0]] for r in found[0])
+
+
 def brute_components(texts, n, similarity=80):
     sets = []
     for t in texts:
