@@ -85,12 +85,13 @@ def deduplicate(spark: SparkSession, path: str, doc_id: str = "doc_id", text: st
     rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("__hot"), "left")
     rows = rows.withColumn("__key", F.when(F.col("__hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("row "), F.monotonically_increasing_id())))
 
+    # both joins shuffle at every size: what they meet grows with the input
     often = held.where("group.group_size > 1").select(F.col("digest").alias("__often"))
-    hits = rows.join(often, F.col("__key") == F.col("__often"), "left").where("__often is not null or __hot is not null")
+    hits = rows.join(often.hint("merge"), F.col("__key") == F.col("__often"), "left").where("__often is not null or __hot is not null")
     texts = hits.groupBy("digest", "__norm").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     mixed = stored(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
 
-    plain = rows.select("doc_id", "digest", "__key", "__group").join(held.withColumnRenamed("digest", "__key"), "__key", "left")
+    plain = rows.select("doc_id", "digest", "__key", "__group").join(held.withColumnRenamed("digest", "__key").hint("merge"), "__key", "left")
     plain = plain.select("doc_id", "digest", F.coalesce("__group", "group").alias("group")).select("doc_id", "digest", "group.*")
     if mixed.isEmpty():
         return plain
