@@ -57,12 +57,14 @@ def small_side(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def small_batches(spark: SparkSession, most: int = 1_000) -> None:
-    """Bound what Python workers hold at once: ``most`` rows a batch in this session, unless it
-    asks for fewer."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= most:
-        spark.conf.set(name, str(most))
+def small_batches(spark: SparkSession, most: int = 1_000, most_bytes: int = 32 << 20) -> None:
+    """Bound what Python workers hold at once: ``most`` rows and about ``most_bytes`` bytes a batch (one
+    row at least) in this session, unless it asks for less. Spark reads both settings when a plan runs,
+    so they stay set."""
+    for name, bound in (("maxRecordsPerBatch", most), ("maxBytesPerBatch", most_bytes)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).removesuffix("b").removesuffix("B")) <= bound:
+            spark.conf.set(name, str(bound))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.llm import exact_dedup, langid, licenses, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, substring_dedup
-from catalogkit.llm.common import id_remainder, stored, table
+from catalogkit.llm import collocations, exact_dedup, fim, langid, licenses, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, substring_dedup, token_files
+from catalogkit.llm.common import id_remainder, shared_dir, stored, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(stats, quality_rules.train(stats, table(spark, sf_dir, "labels"))).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"), digest(fim.restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_files.with_crc32(token_files.read(spark, path))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -83,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_files": op12_token_files,
+    "op13_collocations": op13_collocations,
 }
 EXACT_DEDUP = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents)
@@ -106,4 +125,4 @@ r AS (SELECT DISTINCT g.doc_id, g.i + o j FROM g JOIN f ON g.k = f.k AND f.m < g
 x AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) j FROM d),
 t AS (SELECT x.doc_id, count(r.j) n, string_agg(word, ' ' ORDER BY x.j) FILTER (r.j IS NULL) kept FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.j = r.j GROUP BY x.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id"""
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op3_exact_dedup": EXACT_DEDUP, "op4_line_dedup": line_dedup.oracle(), "op5_minhash_near_dedup": NEAR_DEDUP, "op9_substring_dedup": SUBSTRINGS, "op10_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op3_exact_dedup": EXACT_DEDUP, "op4_line_dedup": line_dedup.oracle(), "op5_minhash_near_dedup": NEAR_DEDUP, "op9_substring_dedup": SUBSTRINGS, "op10_source_mixing": mixing.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op13_collocations": collocations.ORACLE}
