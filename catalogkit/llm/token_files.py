@@ -15,10 +15,12 @@ Columns of ``docs`` other than id and text are not written.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,58 +32,80 @@ from pyspark.sql.types import StructType
 from catalogkit.llm.common import small_batches, small_side
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# fixed values: how the tokenizer parts a text; marks that never join a letter or digit before them
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = ".,;:!?"
 MOST_KNOWN = 20_000_000  # characters of the words whose ids a Python worker remembers
 
 
 def splits_at_space(path: str) -> bool:
-    """Whether the tokenizer turns white space to blanks and drops them, so that the ids of a text are
-    those of its words, one after the other."""
+    """Whether the tokenizer makes white space blanks, lower-cases, and takes parts by ``PARTS``, so that the ids of a text
+    are those of its words, one after the other."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    norm, first = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-    blanks = any(n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in norm.get("normalizers", []))
-    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"\s" not in first["pattern"].get("Regex", r"\s").replace(r"[^\s", "")
-    return blanks and bool(dropped) and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    norm, first = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    same = [n.get("type") for n in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": r"\s+"} and norm[1]["content"] == " "
+    parted = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"] == {"Regex": PARTS}
+    return bool(same and parted) and not any(t["lstrip"] or t["rstrip"] or not t["content"].startswith("<") or re.search(r"[\s.,;:!?]", t["content"]) for t in spec["added_tokens"])
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """A function texts -> (number of ids of each text, all ids).
 
-    A tokenizer that splits at white space is asked once for each word; a worker forgets the words
-    when they have many characters in all."""
+    A tokenizer that splits at white space is asked once for each word; marks at the end of a word that ends in
+    an ASCII letter or digit are a part of their own, and are asked apart. A worker forgets the words when they have many
+    characters in all."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
     whole.no_truncation()
-    encode = lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    encode = lambda texts: [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    joined = lambda ids: np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
     if not splits_at_space(path):
 
         def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ids = encode(texts)
-            return np.array([len(x) for x in ids], np.int64), np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)])
+            return np.array([len(x) for x in ids], np.int64), joined(ids)
 
         return plain
-    number: dict[str, int] = {}
-    state = {"chars": 0, "starts": np.zeros(1, np.int64), "ids": np.zeros(0, np.int32)}
+    number: dict[str, int] = {}  # word -> its entry and, 32 bits below, that of the marks at its end
+    entry: dict[str, int] = {}
+    state: dict = {}
+
+    def forget() -> None:
+        number.clear()
+        entry.clear()
+        entry[""] = 0
+        state.update(chars=0, starts=np.zeros(2, np.int64), ids=np.zeros(0, np.int32))
+
+    def learn(words: set[str]) -> None:
+        parts = []
+        for w in words:
+            base = w.rstrip(MARKS)
+            parts.append((base, w[len(base) :]) if base.isascii() and base[-1:].isalnum() else (w, ""))
+        new = list({x for pair in parts for x in pair}.difference(entry))
+        ids = encode(new)
+        entry.update(zip(new, range(len(entry), len(entry) + len(new))))
+        ends = state["starts"][-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)
+        state.update(chars=state["chars"] + sum(map(len, words)), starts=np.concatenate([state["starts"], ends]), ids=np.concatenate([state["ids"], joined(ids)]))
+        number.update((w, entry[base] << 32 | entry[marks]) for w, (base, marks) in zip(words, parts))
 
     def by_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [WORD.findall(t) for t in texts]
-        if state["chars"] > MOST_KNOWN:
-            number.clear()
-            state.update(chars=0, starts=np.zeros(1, np.int64), ids=np.zeros(0, np.int32))
-        new = list({w for ws in found for w in ws}.difference(number))
-        if new:
-            ids = encode(new)
-            number.update(zip(new, range(len(number), len(number) + len(new))))
-            ends = state["starts"][-1] + np.cumsum([len(x) for x in ids])
-            state.update(chars=state["chars"] + sum(map(len, new)), starts=np.concatenate([state["starts"], ends]), ids=np.concatenate([state["ids"], *(np.array(x, np.int32) for x in ids)]))
-        at = np.fromiter((number[w] for ws in found for w in ws), np.int64, sum(map(len, found)))
+        if not state or state["chars"] > MOST_KNOWN:
+            forget()
+        found = [WORD.findall(t.lower() if t.isascii() and "<" not in t else t) for t in texts]
+        if new := set(chain.from_iterable(found)).difference(number):
+            learn(new)
+        lengths = list(map(len, found))
+        both = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, sum(lengths))
+        at = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1).ravel()
         starts = state["starts"]
         n = starts[at + 1] - starts[at]
-        into = np.cumsum(n) - n  # where the ids of each word go
+        into = np.cumsum(n) - n  # where the ids of each entry go
         ids = state["ids"][np.repeat(starts[at] - into, n) + np.arange(int(n.sum()))]
-        upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, found)])]
+        upto = np.concatenate([[0], np.cumsum(n)])[2 * np.cumsum([0, *lengths])]
         return np.diff(upto), ids
 
     return by_words

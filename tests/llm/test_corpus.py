@@ -174,7 +174,7 @@ def test_local_search_ends_only_where_no_step_is_left(seed):
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
