@@ -93,3 +93,12 @@ def faceted(df: DataFrame, facets: dict[str, object], words: str = "", over: tup
 def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
     """Required columns that a table lacks; looks at its schema only."""
     return [c for c in required if c not in df.columns]
+
+
+def column_report(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """One row for each required column: whether the table has it, its rows, and how many of them leave it blank (all, if it
+    is missing). One pass over the table."""
+    blank = lambda c: F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "") if c in df.columns else F.count(F.lit(1))
+    counted = df.agg(F.count(F.lit(1)).alias("__n"), *(blank(c).alias(f"__{i}") for i, c in enumerate(required)))
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("present"), F.col("__n").alias("n"), F.col(f"__{i}").alias("blank")) for i, c in enumerate(required)))
+    return counted.select(F.inline(rows))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +9,10 @@ from catalogkit.functions import fixed, keys
 from catalogkit.operators import analytics, curate, links
 from catalogkit.plans.catalog import NEAR, hashes
 from catalogkit.plans.registry import query, table
+from catalogkit.sources.shared import kept, shared_path
 from catalogkit.streaming import answers
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one in local runs without it."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        root = tempfile.mkdtemp(prefix="catalogkit-")
-    return f"{root.rstrip('/')}/{sc.applicationId}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 ANCHORS = r"""
 t AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)(<a\s[^>]*href=[^>]*>.*?</a>)', 1)) tag, generate_subscripts(regexp_extract_all(html, '(?is)(<a\s[^>]*href=[^>]*>.*?</a>)', 1), 1) - 1 pos FROM pages),
 h AS (SELECT *, regexp_extract(tag, '(?i)\shref\s*=\s*["'']([^"'']*)["'']', 1) href, trim(regexp_replace(regexp_replace(tag, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) txt, regexp_extract(url, '^(https?://[^/?#]*)', 1) root FROM t),

@@ -7,7 +7,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from catalogkit.functions import keys
 
@@ -31,8 +31,8 @@ def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "error") -> None:
-    """The given columns in order; missing ones are blank."""
-    df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode(mode).option("header", True).csv(path)
+    """The given columns in order; missing ones are blank. Quotes are doubled, as ``read_csv`` takes them."""
+    df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def read_json_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -50,6 +50,43 @@ def write_json(df: DataFrame, path: str, by: str | None = None, mode: str = "err
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+CORRUPT = "corrupt_record"
+
+
+def write_sources(df: DataFrame, path: str, source: str, form: str = "json", mode: str = "error") -> None:
+    """One table for all sources, a folder for each (``source=<name>``); ``form`` is json, csv or parquet. Rows are
+    dealt evenly over tasks, not by source, so that a large source is no hot task."""
+    writer = df.write.mode(mode).partitionBy(source)
+    (writer.option("header", True).option("escape", '"') if form == "csv" else writer).format(form).save(path)
+
+
+def merged_schema(schemas: list[StructType]) -> StructType:
+    """All columns of all schemas in the order they come; a column of two types is an error, but whole numbers widen."""
+    widths = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3}
+    found: dict[str, StructField] = {}
+    for field in (f for s in schemas for f in s):
+        old = found.get(field.name)
+        a, b = (x.dataType.simpleString() if x else None for x in (old, field))
+        if old is None or (a in widths and b in widths and widths[a] < widths[b]):
+            found[field.name] = StructField(field.name, field.dataType, True)
+        elif a != b and not (a in widths and b in widths):
+            raise ValueError(f"{field.name} is {a} and {b}")
+    return StructType(list(found.values()))
+
+
+def read_sources(spark: SparkSession, path: str, schemas: list[StructType], source: str, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records of a JSON table that ``write_sources`` wrote, and the lines set aside (``source``, ``corrupt_record``): those
+    that are no record of the schema. The columns are those of all ``schemas``; one that a source lacks is null. With
+    ``only`` some sources, the files of the others are not read."""
+    schema = merged_schema(schemas)
+    lines = spark.read.schema(StructType([StructField("value", StringType()), StructField(source, StringType())])).text(path)
+    lines = lines.where(F.col(source).isin(only)) if only is not None else lines
+    whole = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    parsed = lines.select(source, F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"), "value")
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    return parsed.where(~bad).select(*(f"r.{f.name}" for f in schema), source), parsed.where(bad).select(source, F.col("value").alias(CORRUPT))
+
+
 SEARCH_RESPONSE = (
     "fetched_at timestamp, brand_id string, query string, http_status bigint, search_status string, "
     "results array<struct<brandId: string, claimed: boolean, domain: string, name: string, icon: string, _score: double, qualityScore: double, verified: boolean>>"
@@ -87,9 +124,27 @@ def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def folder_size(files: DataFrame) -> DataFrame:
+    """Number and size of the files directly in each folder."""
     return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"))
 
 
+def folder_rollup(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """For each folder the files directly in it and below it, at any depth: ``folder``, ``depth`` (of the folder, the
+    top one 0), ``own_files``, ``own_size``, ``files``, ``size``.
+
+    Files are first added up by their own folder, within tasks; only these sums go up to all the folders above, where they
+    are added up within tasks again, so that the top folder is no hot key. A file without a slash lies in the
+    top folder, which is the empty path; slashes at the start and doubled ones do not count. Files of null path are left out, null sizes are 0."""
+    parts = F.filter(F.split(F.col(path), "/+"), lambda p: p != "")
+    own = files.where(F.col(path).isNotNull()).select(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("in"), F.coalesce(F.col(size), F.lit(0)).alias("__size"))
+    own = own.groupBy("in").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("size"))
+    above = F.explode(F.sequence(F.lit(0), F.size("in")))
+    lifted = own.select("in", "n", "size", above.alias("depth"))
+    here = F.col("depth") == F.size("in")
+    total = lifted.groupBy(F.slice("in", 1, F.col("depth")).alias("at"), "depth").agg(F.sum(F.when(here, F.col("n")).otherwise(0)).alias("own_files"), F.sum(F.when(here, F.col("size")).otherwise(0)).alias("own_size"), F.sum("n").alias("files"), F.sum("size").alias("size"))
+    return total.select(F.array_join("at", "/").alias("folder"), "depth", "own_files", "own_size", "files", "size")
+
+
 def expanded_variants(items: DataFrame, fields: dict[str, bool], rest: tuple[str, ...]) -> DataFrame:
     """Rows (``rest`` columns, ``variant``, ``file``, ``wordmark``) from map columns variant -> file;
     a field given as plain string counts as the variant ``default``."""

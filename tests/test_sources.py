@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from catalogkit.operators.resolve import upsert_latest
 from catalogkit.sources import files
 from catalogkit.streaming import answers
 
@@ -43,6 +42,8 @@ def test_inventory_and_orphans(spark, tmp_path):
     got = files.inventory(spark, str(tmp_path))
     assert {(r.name, r.format, r.size) for r in got.collect()} == {("a.SVG", "svg", 2), ("b.png", "png", 1)}
     assert {r["size"] for r in files.folder_size(got).collect()} == {1, 2}
+    local = got.withColumn("path", F.substring_index("path", str(tmp_path), -1))
+    assert {(r.folder, r.depth, r.own_files, r.own_size, r.files, r["size"]) for r in files.folder_rollup(local).collect()} == {("", 0, 1, 1, 2, 3), ("d", 1, 1, 2, 1, 2)}
     assert [r.name for r in files.orphans(got, spark.createDataFrame([("b.png",)], "name string"), "name").collect()] == ["a.SVG"]
 
 
@@ -60,13 +61,9 @@ def test_stream_equals_batch_and_merge(spark, tmp_path):
     got = answers.run_to_table(stats, str(tmp_path / "t"), str(tmp_path / "c"))
     want = rows.groupBy(F.date_trunc("day", "ts").alias("window_start"), "g").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("correct"), F.sum("v").alias("latency"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    merge = answers.merge_into(str(tmp_path / "m"), "g", "ts", upsert_latest)
-    answers.read_events(spark, str(src)).writeStream.foreachBatch(merge).option("checkpointLocation", str(tmp_path / "mc")).trigger(availableNow=True).start().awaitTermination()
-    assert {r.g: r.id for r in spark.read.parquet(str(tmp_path / "m" / "v=0")).collect()} == {0: 99, 1: 97, 2: 98}
-    for no in (1, 2):
-        merge(spark.sql(f"SELECT 200L + {no} id, timestamp '2030-01-0{no} 00:00:00' ts, {no}L g, true ok, 0L v").select("id", "ts", "g", "ok", "v"), no)
-    assert {r.g: r.id for r in spark.read.parquet(str(tmp_path / "m" / "v=2")).collect()} == {0: 99, 1: 201, 2: 202}
-    assert sorted(x.name for x in (tmp_path / "m").iterdir()) == ["v=1", "v=2"]
+    (tmp_path / "src2").mkdir()
+    again = answers.run_to_table(stats, str(tmp_path / "t"), str(tmp_path / "c"))
+    assert again.count() == want.count()
 
 
 def test_stream_of_a_folder_a_file_and_a_pattern(spark, tmp_path):
@@ -83,3 +80,49 @@ def test_sessions(spark, tmp_path):
     spark.sql("SELECT 1 u, timestamp_seconds(t) ts, true ok FROM VALUES (0), (600), (9000) x(t)").write.parquet(str(src))
     s = answers.sessions(answers.read_events(spark, str(src)), "u", "ts", "ok")
     assert sorted(r.total for r in answers.run_to_table(s, str(tmp_path / "t"), str(tmp_path / "c")).collect()) == [1, 2]
+
+
+def test_folder_rollup_equals_a_recursive_sum(spark):
+    paths = ["a/b/c/f1", "a/b/f2", "/a//b/f3", "g", None, "a/x/y/z/f4", "a/b/c/f5"]
+    rows = [(p, None if k == 1 else 10**k) for k, p in enumerate(paths)]
+    want: dict = {}
+    for p, size in rows:
+        if p is None:
+            continue
+        parts = [x for x in p.split("/") if x]
+        for depth in range(len(parts)):
+            own, n = depth == len(parts) - 1, want.setdefault("/".join(parts[:depth]), [depth, 0, 0, 0, 0])
+            for at, v in enumerate((own, own * (size or 0), 1, size or 0), 1):
+                n[at] += v
+    got = files.folder_rollup(spark.createDataFrame(rows, "path string, size long"))
+    assert {r[0]: list(r[1:]) for r in got.collect()} == want
+    assert files.folder_rollup(spark.createDataFrame([], "path string, size long")).count() == 0
+
+
+def test_sources_are_pruned_merged_and_bad_lines_set_aside(spark, tmp_path):
+    path = str(tmp_path / "t")
+    lines = [("a", '{"id": 1, "n": 5, "x": "q"}'), ("a", '{"id": 2,'), ("b", '{"id": 3, "y": true}'), ("b", '{"id": "no number"}'), ("c", "nothing")]
+    files.write_sources(spark.createDataFrame(lines, "source string, value string"), path, "source", "text")
+    one = spark.createDataFrame([], "id long, n int, x string").schema
+    other = spark.createDataFrame([], "id int, y boolean").schema
+    good, bad = files.read_sources(spark, path, [one, other], "source")
+    assert sorted(map(tuple, good.collect())) == [(1, 5, "q", None, "a"), (3, None, None, True, "b")]
+    assert sorted((r.source, r.corrupt_record) for r in bad.collect()) == [("a", '{"id": 2,'), ("b", '{"id": "no number"}'), ("c", "nothing")] and bad.count() == 3
+    only, _ = files.read_sources(spark, path, [one, other], "source", ["b"])
+    plan = only._jdf.queryExecution().executedPlan()
+    assert only.count() == 1 and "PartitionFilters: [" in plan.toString() and "source" in plan.toString().split("PartitionFilters: [")[1].split("]")[0]
+    scan = plan.collectLeaves().apply(0)
+    only._jdf.queryExecution().toRdd().count()
+    assert scan.metrics().apply("numFiles").value() == 2
+    import pytest
+
+    with pytest.raises(ValueError):
+        files.merged_schema([one, spark.createDataFrame([], "id string").schema])
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [(1, 'say "hi", \n there', " a "), (2, None, "x"), (3, "back\\slash", '"'), (4, "é", "")]
+    df = spark.createDataFrame(rows, "id int, notes string, name string")
+    files.write_csv(df, str(tmp_path / "o"), ["id", "notes", "name"])
+    got = files.read_csv(spark, str(tmp_path / "o"), df.schema)
+    assert sorted(map(tuple, got.collect())) == [(1, 'say "hi", \n there', "a"), (2, None, "x"), (3, "back\\slash", '"'), (4, "é", None)]
