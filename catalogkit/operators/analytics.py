@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,20 +82,49 @@ def sessions(answers: DataFrame, session: str, fields: tuple[str, ...], correct:
     return out.withColumn("accuracy", percent(F.col("score"), F.col("total")))
 
 
-def running_score(answers: DataFrame, session: str, order: str, correct: str = "correct") -> DataFrame:
-    """Score so far and progress in percent, answer by answer."""
-    w = W.partitionBy(session).orderBy(order)
-    total = F.count(F.lit(1)).over(W.partitionBy(session))
-    return answers.withColumn("n", F.row_number().over(w)).withColumn("score", F.sum(F.col(correct).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("progress", keys.half_up(F.col("n") / total * 100))
+def running_sums(df: DataFrame, by: str, order: str, sums: dict[str, Column], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All columns, then ``n`` (the row's number in its group), ``total`` (rows of the group) and for each name of ``sums``
+    the sum up to the row; ``order`` tells the rows of a group apart.
+
+    Rows are dealt by ranges of group and order, so that a long group is spread over tasks. Sums run within each range; what
+    the ranges of the group before hold is added (one row for each group and range). ``keep`` stores
+    the dealt table, so that ranges stay what they are."""
+    dealt = keep(df.withColumns({f"__{name}": value for name, value in sums.items()}).repartitionByRange(by, order).withColumn("__range", F.spark_partition_id()))
+    within, before = W.partitionBy(by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    parts = dealt.groupBy(by, "__range").agg(F.count(F.lit(1)).alias("__m"), *(F.sum(f"__{name}").alias(f"__{name}") for name in sums))
+    upto = {"__m": "__n0", **{f"__{name}": f"__{name}0" for name in sums}}
+    parts = parts.select(F.col(by).alias("__by"), F.col("__range").alias("__at"), F.sum("__m").over(W.partitionBy(by)).alias("total"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(to) for c, to in upto.items()))
+    local = dealt.withColumn("n", F.count(F.lit(1)).over(within)).withColumns({name: F.coalesce(F.sum(f"__{name}").over(within), F.lit(0)) for name in sums})
+    joined = local.join(parts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__at")))
+    joined = joined.withColumns({"n": F.col("n") + F.col("__n0"), **{name: F.col(name) + F.col(f"__{name}0") for name in sums}})
+    return joined.select(*(c for c in df.columns if c not in ("n", "total", *sums)), "n", "total", *sums)
+
+
+def running_score(answers: DataFrame, session: str, order: str, keep: Callable[[DataFrame], DataFrame], correct: str = "correct") -> DataFrame:
+    """Score so far and progress in percent, answer by answer; a session may be of any length."""
+    summed = running_sums(answers, session, order, {"score": F.col(correct).cast("long")}, keep)
+    return summed.withColumn("progress", keys.half_up(F.col("n") / F.col("total") * 100)).drop("total")
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def top_k_by(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
-    """The first k rows of each group, with their ``rank``."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+def top_k_by(df: DataFrame, by: str, k: int, *order: Column, parts: int = 64) -> DataFrame:
+    """The first k rows of each group, with their ``rank``.
+
+    Of few rows each task picks its first k of a group before the shuffle (Spark's group limit). Beyond its threshold
+    the rows of a group are dealt to ``parts`` by a hash of the whole row, which pick first."""
+    first = lambda rows, *of: rows.withColumn("rank", F.row_number().over(W.partitionBy(*of).orderBy(*order))).where(F.col("rank") <= k)
+    if k <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return first(df, by)
+    part = F.pmod(F.xxhash64(*(c for c in df.columns if not df.schema[c].dataType.typeName() == "map")), F.lit(parts))
+    return first(first(df.withColumn("__part", part), by, "__part").drop("rank", "__part"), by)
+
+
+def ranked_by(df: DataFrame, by: str, order: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows of each group with their ``rank``; a long group is spread over tasks."""
+    return running_sums(df, by, order, {}, keep).drop("total").withColumnRenamed("n", "rank")
 
 
 def conversion_report(resources: DataFrame, group: str, status: Column, size: Column, matches: DataFrame, large: int = fixed.LARGE_FILE) -> DataFrame:

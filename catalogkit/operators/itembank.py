@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from catalogkit.functions import fixed
 
@@ -31,6 +35,36 @@ def lcg_permutation(n: Column, seed: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["p"])
 
 
+def lcg_draws(n: int, seed: int) -> np.ndarray:
+    """The swaps of a shuffle of n by the same generator: the partner of n - 1, n - 2, ..., 1.
+
+    The m-th state is a**m * seed + c * (1 + a + ... + a**(m - 1)), so all come at once, from running products and
+    sums modulo 2**32."""
+    steps = max(n - 1, 0)
+    powers = np.cumprod(np.full(steps, 1664525, np.uint32), dtype=np.uint32)
+    sums = np.cumsum(np.concatenate([np.ones(min(steps, 1), np.uint32), powers[:-1]]), dtype=np.uint32)
+    states = powers * np.uint32(seed or 123456789) + sums * np.uint32(1013904223)
+    return (states % np.arange(n, 1, -1, dtype=np.uint32)).astype(np.int64) if steps else np.zeros(0, np.int64)
+
+
+def lcg_shuffle(df: DataFrame, by: str, key: str, seed: Column) -> DataFrame:
+    """Every row with its ``place`` (from 1) in its group, whose rows in order of ``key`` are shuffled as
+    ``lcg_permutation`` does; ``seed`` is that of the group's first row. Rows of one key keep any order.
+
+    The swaps depend on one another, so that a group is one task, which holds its keys and places, and takes time in
+    proportion to them."""
+    schema = StructType([*df.schema.fields, StructField("place", LongType())])
+
+    def shuffle(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(key, kind="stable")
+        order = list(range(len(b)))
+        for i, j in zip(range(len(b) - 1, 0, -1), lcg_draws(len(b), int(b["__seed"].iloc[0])).tolist()):
+            order[i], order[j] = order[j], order[i]
+        return b.iloc[order].drop(columns="__seed").assign(place=np.arange(1, len(b) + 1))
+
+    return df.withColumn("__seed", seed.cast("long")).groupBy(by).applyInPandas(shuffle, schema)
+
+
 def distractors(entities: DataFrame, entity: str, tiers: tuple[str | None, ...], need: int = fixed.OPTION_COUNT - 1, seed: str = "ring") -> DataFrame:
     """``need`` other entities for each: from its group, then its category, then all.
 
@@ -114,12 +148,18 @@ def item_risks() -> Column:
     return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks)), lambda x: x.isNotNull())
 
 
-def item_checks(known: Column, name: Column, url: Column, prefix: str, suffix: str = ".jpg") -> list[tuple[str, Column]]:
-    """The rules of an item, in the order in which its errors are given."""
+def item_images(image: Callable[[Column], Column]) -> Column:
+    """The images that an item shows: those of all options if one picks an image for a name, else that of the answer."""
+    return F.when(F.col("type") == "brand_to_logo", F.transform("options", image)).otherwise(F.array(image(F.col("answer"))))
+
+
+def item_checks(known: Column, name: Column, urls: Column, prefix: str, suffix: str = ".jpg") -> list[tuple[str, Column]]:
+    """The rules of an item, in the order in which its errors are given. ``urls``: an array of all images that the item
+    shows, the question's or those of its options; a missing one is an error."""
     return [
         ("invalid_type", F.col("type").isin(*fixed.ITEM_TYPES)), ("answer_missing", known), ("option_count_not_4", F.size("options") == fixed.OPTION_COUNT),
         ("duplicate_options", F.size(F.array_distinct("options")) == F.size("options")), ("answer_not_in_options", F.array_contains("options", F.col("answer"))),
-        ("invalid_url", url.startswith(prefix) & url.endswith(suffix)), ("blank_name", F.trim(name) != ""),
+        ("invalid_url", F.forall(urls, lambda u: F.coalesce(u.startswith(prefix) & u.endswith(suffix), F.lit(False)))), ("blank_name", F.trim(name) != ""),
     ]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,35 +42,101 @@ def rank_matches(matches: DataFrame, entity: str = "entity_id", record: str = "r
     return out.withColumn("note", F.when(F.col("plain") == 0, "only_wordmark_candidate").otherwise("")).drop("plain")
 
 
-def key_pairs(entities: DataFrame, records: DataFrame, entity: str = "entity_id", record: str = "record_id", entity_keys: str = "keys", record_keys: str = "keys") -> DataFrame:
-    """Distinct pairs that share a key: both key arrays exploded, one equi join."""
-    a = entities.select(entity, F.explode(entity_keys).alias("k"))
-    b = records.select(record, F.explode(record_keys).alias("k"))
-    return a.join(b, "k").select(entity, record).distinct()
+FILTER_BITS = 24  # of the filter of keys: 2 MB, in rows of 4 KB
+HOT_KEYS = 1_000  # a key is hot with more than one of so many rows, so there are no more of them
+SALTS = 32
 
 
-def containment_pairs(entities: DataFrame, records: DataFrame, entity: str, record: str, least: int = 4) -> DataFrame:
-    """Pairs of different tables whose keys (column ``key``) are equal or hold one another.
+def possible(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not in column ``k`` of ``known``: a bit map of hashed keys, of fixed size,
+    goes to all tasks. Few others pass by chance."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bits = known.select(cell("k").alias("c")).groupBy(F.shiftright("c", 15).alias("__at")).agg(F.bitmap_construct_agg(F.col("c") % (1 << 15)).alias("__bits"))
+    asked = rows.withColumn("__c", cell(key)).withColumn("__bit", F.col("__c") % (1 << 15))
+    hit = asked.join(F.broadcast(bits), F.shiftright("__c", 15) == F.col("__at"))
+    octet = F.conv(F.hex(F.substring("__bits", F.shiftright("__bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return hit.where(F.call_function("shiftright", octet, (F.col("__bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
 
-    Keys shorter than ``least`` match by equality only. Longer ones are blocked: of the n-grams
-    of the shorter key, the one that the fewest longer keys have must be among theirs, so that
-    a word that many keys share makes no block unless a key has no other."""
-    a = entities.select(F.col(entity), F.col("key").alias("ka")).where("ka <> ''")
-    b = records.select(F.col(record), F.col("key").alias("kb")).where("kb <> ''")
 
-    def grams(df: DataFrame, k: str) -> DataFrame:
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - (least - 1), F.lit(1))), lambda i: F.substr(F.col(k), i, F.lit(least)))
-        return df.where(F.length(k) >= least).withColumn("g", F.explode(F.array_distinct(every)))
+def listed_keys(entities: DataFrame, records: DataFrame, entity: str, record: str, entity_keys: str, record_keys: str) -> tuple[DataFrame, DataFrame]:
+    """Both key arrays as rows (``k``, and ``salt``): only keys that the other side may have, and hot keys of the records dealt
+    to salts, for each of which the entity comes once."""
+    a = entities.select(entity, F.explode(F.array_distinct(entity_keys)).alias("k"))
+    b = possible(records.select(record, F.explode(F.array_distinct(record_keys)).alias("k")), "k", a)
+    counts = b.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    total = counts.agg(F.sum("m").alias("all"))
+    hot = counts.join(F.broadcast(total)).where((F.col("m") > 1) & (F.col("m") * HOT_KEYS > F.col("all"))).select(F.col("k").alias("__hot"))  # one row of the total
+    marked = lambda rows: rows.join(F.broadcast(hot), F.col("k") == F.col("__hot"), "left")
+    zero = F.lit(0)
+    salted = marked(b).withColumn("salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(record), F.lit(SALTS)).cast("int")).otherwise(zero)).drop("__hot")
+    spread = marked(a).withColumn("salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(zero, F.lit(SALTS - 1))).otherwise(F.array(zero)))).drop("__hot")
+    return spread, salted
 
-    def rarest(df: DataFrame, by: str, k: str, others: DataFrame) -> DataFrame:
-        known = others.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        return grams(df, k).join(known, "g").groupBy(by, k).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
 
-    equal = a.join(b, F.col("ka") == F.col("kb")).select(entity, record)
-    grams_a, grams_b = grams(a, "ka"), grams(b, "kb")
-    inside = grams_b.join(rarest(a, entity, "ka", grams_b), "g").where(F.contains("kb", "ka")).select(entity, record)
-    around = grams_a.join(rarest(b, record, "kb", grams_a), "g").where(F.contains("ka", "kb")).select(entity, record)
-    return equal.unionByName(inside).unionByName(around).distinct()
+def key_pairs(entities: DataFrame, records: DataFrame, entity: str = "entity_id", record: str = "record_id", entity_keys: str = "keys", record_keys: str = "keys") -> DataFrame:
+    """Distinct pairs that share a key: both key arrays exploded, one equi join of keys that may be on both sides, in which a hot key
+    of the records is spread over tasks."""
+    a, b = listed_keys(entities, records, entity, record, entity_keys, record_keys)
+    return a.join(b, ["k", "salt"]).select(entity, record).distinct()
+
+
+def with_a_key(records: DataFrame, entities: DataFrame, entity: str = "entity_id", record: str = "record_id", entity_keys: str = "keys", record_keys: str = "keys") -> DataFrame:
+    """The records of which some entity has a key, without the pairs."""
+    a, b = listed_keys(entities, records, entity, record, entity_keys, record_keys)
+    return b.join(a, ["k", "salt"], "left_semi").select(record).distinct()
+
+
+def held_patterns(b: pd.DataFrame) -> pd.DataFrame:
+    """Which short keys the long keys of a cell hold: one pass of an automaton of all short ones over each long one."""
+    words = ahocorasick.Automaton()
+    for short in b.loc[b["short"], "key"]:
+        words.add_word(short, short)
+    found = []
+    if len(words):
+        words.make_automaton()
+        for long in b.loc[~b["short"], "key"]:
+            found += [(short, long) for short in {w for _, w in words.iter(long)}]
+    return pd.DataFrame(found, columns=["s", "l"], dtype=object)
+
+
+def held_keys(shorts: DataFrame, longs: DataFrame, least: int, crowded: int, cell: int) -> DataFrame:
+    """``s``, ``l``: keys (column ``key``, distinct) of ``shorts`` of ``least`` characters or more that lie within longer keys of ``longs``.
+
+    A short key is looked for where its rarest n-gram of ``least`` characters is. Blocks of few pairs are joined; in those of more
+    than ``crowded`` pairs both sides are dealt to cells of about ``cell`` keys, in which an automaton finds all short keys at once, so
+    that a block costs its keys, not its pairs."""
+
+    def grams(df: DataFrame) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(1), F.length("key") - (least - 1)), lambda i: F.substr(F.col("key"), i, F.lit(least)))
+        return df.where(F.length("key") >= least).select("key", F.explode(F.array_distinct(every)).alias("g"))
+
+    there = grams(longs)
+    known = there.groupBy("g").agg(F.count(F.lit(1)).alias("nl"))
+    picked = grams(shorts).join(known, "g").groupBy(F.col("key").alias("s")).agg(F.min(F.struct("nl", "g")).alias("x")).select("s", "x.g", "x.nl")
+    blocks = picked.groupBy("g").agg(F.count(F.lit(1)).alias("ns"), F.first("nl").alias("nl"))
+    blocks = blocks.withColumn("crowded", F.col("ns") * F.col("nl") > crowded)
+    few, many = blocks.where(~F.col("crowded")).select("g"), blocks.where("crowded").select("g", F.ceil(F.col("ns") / cell).cast("int").alias("cs"), F.ceil(F.col("nl") / cell).cast("int").alias("cl"))
+    joined = picked.join(few, "g", "left_semi").select("s", "g").join(there.withColumnRenamed("key", "l"), "g").where((F.length("l") > F.length("s")) & F.contains("l", "s")).select("s", "l")
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = picked.join(many, "g").select(F.col("s").alias("key"), "g", place("s", "cs").alias("i"), F.col("cl").alias("n")).select("key", "g", "i", every("n").alias("j"), F.lit(True).alias("short"))
+    right = there.join(many, "g").select("key", "g", place("key", "cl").alias("j"), F.col("cs").alias("n")).select("key", "g", every("n").alias("i"), "j", F.lit(False).alias("short"))
+    found = left.unionByName(right).groupBy("g", "i", "j").applyInPandas(held_patterns, "s string, l string").where(F.length("l") > F.length("s"))
+    return joined.unionByName(found)
+
+
+def containment_pairs(entities: DataFrame, records: DataFrame, entity: str, record: str, least: int = 4, crowded: int = 1_000_000, cell: int = 20_000) -> DataFrame:
+    """Pairs of different tables whose keys (column ``key``) are equal or hold one another.
+
+    Keys shorter than ``least`` match by equality only. Keys are compared once, however many rows have them (see ``held_keys``);
+    rows meet by joins on keys in the end. Blank and null keys match nothing."""
+    a = entities.select(F.col(entity), F.col("key").alias("ka")).where("ka <> ''")
+    b = records.select(F.col(record), F.col("key").alias("kb")).where("kb <> ''")
+    left, right = a.select(F.col("ka").alias("key")).distinct(), b.select(F.col("kb").alias("key")).distinct()
+    inside = held_keys(left, right, least, crowded, cell).select(F.col("s").alias("ka"), F.col("l").alias("kb"))
+    around = held_keys(right, left, least, crowded, cell).select(F.col("l").alias("ka"), F.col("s").alias("kb"))
+    equal = left.join(right, "key").select(F.col("key").alias("ka"), F.col("key").alias("kb"))
+    return equal.unionByName(inside).unionByName(around).join(a, "ka").join(b, "kb").select(entity, record).distinct()
 
 
 def search_score(entity: Column, query: Column, label: Column, description: Column, result: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catalogkit.functions import fixed, keys
 from catalogkit.operators import curate, resolve, rules
 from catalogkit.plans.registry import query, table
-from catalogkit.sources import files
+from catalogkit.sources import files, shared
 from catalogkit.plans.scalar import NORM
 
 SOURCES = ("svglogo", "thesvg", "vectorlogozone", "wikimedia", "gilbarbara", "car-logos", "website-icons")
@@ -162,28 +162,33 @@ rk AS (SELECT DISTINCT record_id, unnest([{NORM.format('title')}, {NORM.format("
 hit AS (SELECT DISTINCT entity_id, record_id FROM ek JOIN rk USING (k) WHERE length(k) > 1)"""
 
 
-def shared(spark: SparkSession, d: str) -> DataFrame:
+def both_keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and records with their keys."""
     e = entities(spark, d).select("entity_id", keys.entity_keys(F.col("entity_id"), domain=F.concat(F.split_part("entity_id", F.lit(" "), F.lit(2)), F.lit(""))).alias("keys"))
     none = F.lit(None).cast("string")
-    r = records(spark, d).select("record_id", keys.record_keys(none, F.col("title"), F.col("path"), none).alias("keys"))
-    return resolve.key_pairs(e, r)
+    return e, records(spark, d).select("record_id", keys.record_keys(none, F.col("title"), F.col("path"), none).alias("keys"))
+
+
+def sharing(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.key_pairs(*both_keyed(spark, d))
 
 
 @query(SHARED + " SELECT entity_id, count(*) n, string_agg(DISTINCT source, ',' ORDER BY source) sources FROM hit JOIN r USING (record_id) GROUP BY entity_id")
 def q_key_match(spark: SparkSession, d: str) -> DataFrame:
-    hits = shared(spark, d).join(records(spark, d).select("record_id", "source"), "record_id")
+    hits = sharing(spark, d).join(records(spark, d).select("record_id", "source"), "record_id")
     return hits.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
 @query(SHARED + " SELECT record_id FROM r WHERE record_id IN (SELECT record_id FROM hit)")
 def q_key_match_semi(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).join(shared(spark, d).select("record_id"), "record_id", "left_semi").select("record_id")
+    e, r = both_keyed(spark, d)
+    return resolve.with_a_key(r, e)
 
 
 @query(SHARED + ", c AS (SELECT DISTINCT p_name entity_id, max(p_size) OVER (PARTITION BY p_name) top FROM part) SELECT c.entity_id, CASE WHEN h.entity_id IS NOT NULL THEN 'present' WHEN top >= 50 THEN 'collected' WHEN top >= 48 THEN 'error' ELSE 'missing' END status FROM c LEFT JOIN (SELECT DISTINCT entity_id FROM hit) h ON c.entity_id = h.entity_id")
 def q_match_status(spark: SparkSession, d: str) -> DataFrame:
     collected = table(spark, d, "part").groupBy(F.col("p_name").alias("entity_id")).agg(F.max("p_size").alias("top"))
-    present = shared(spark, d).select("entity_id").distinct().withColumn("present", F.lit(True))
+    present = sharing(spark, d).select("entity_id").distinct().withColumn("present", F.lit(True))
     status = rules.first_rule([("present", F.col("present")), ("collected", F.col("top") >= 50), ("error", F.col("top") >= 48), ("missing", F.lit(True))])
     return collected.join(present, "entity_id", "left").select("entity_id", status.alias("status"))
 
@@ -288,10 +293,18 @@ def q_canonical_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return curate.mark_copies(r, "title", "record_id", priority, ("record_id",), rules.is_protected(F.col("source"), F.col("wordmark"))).select("record_id", "duplicate_of")
 
 
-@query(f"WITH {RECORDS}, n AS (SELECT record_id, {ENTITY} base, row_number() OVER (PARTITION BY title ORDER BY record_id) rn FROM r) SELECT record_id, CASE WHEN rn = 1 THEN base ELSE concat(base, '_', rn) END unique_id FROM n")
+# titles repeat; some bases are other titles with a number, which clash, and some rows have no title
+BASES = f"""{RECORDS}, named AS (SELECT record_id, CASE WHEN size % 23 = 0 THEN NULL WHEN record_id % 5 = 0 THEN concat({ENTITY}, '_', size % 6) WHEN record_id % 17 = 0 THEN concat({ENTITY}, '_2_', size % 4) ELSE {ENTITY} END base FROM r)"""
+
+
+@query(f"""WITH RECURSIVE {BASES}, o AS MATERIALIZED (SELECT *, regexp_replace(base, '(_[0-9]+)+$', '') stem FROM named), q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY record_id) no FROM o WHERE base IS NOT NULL),
+s(stem, no, record_id, given, used) AS (SELECT stem, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM q GROUP BY stem UNION ALL
+SELECT stem, no, record_id, given, list_append(used, given) FROM (SELECT q.stem, q.no, q.record_id, s.used, list_filter(list_prepend(q.base, list_transform(range(2, len(s.used) + 3), lambda k: concat(q.base, '_', k))), lambda x: NOT list_contains(s.used, x))[1] given FROM s JOIN q ON q.stem = s.stem AND q.no = s.no + 1))
+SELECT record_id, given unique_id FROM s WHERE no > 0 UNION ALL SELECT record_id, NULL FROM named WHERE base IS NULL""")
 def q_unique_id(spark: SparkSession, d: str) -> DataFrame:
-    r = records(spark, d).select("record_id", F.replace("title", F.lit(" "), F.lit("_")).alias("base"))
-    return curate.unique_ids(r, "base", ("record_id",)).select("record_id", "unique_id")
+    title, size, k = F.replace("title", F.lit(" "), F.lit("_")), F.col("size"), F.col("record_id")
+    base = F.when(size % 23 == 0, F.lit(None)).when(k % 5 == 0, F.concat_ws("_", title, size % 6)).when(k % 17 == 0, F.concat(title, F.lit("_2_"), size % 4)).otherwise(title)
+    return curate.unique_ids(records(spark, d).select("record_id", base.alias("base")), "base", ("record_id",), shared.kept).select("record_id", "unique_id")
 
 
 @query("""WITH a AS (SELECT l_orderkey, list(DISTINCT ['logo_dark', 'icon_light', 'symbol_dark', 'other'][l_linenumber % 4 + 1]) vs FROM lineitem GROUP BY l_orderkey),
@@ -341,9 +354,12 @@ def q_average_hash(spark: SparkSession, d: str) -> DataFrame:
 NEAR = f"{GRIDS}, hb AS MATERIALIZED (SELECT vec_id, CAST(array_to_string(list_transform(bits, lambda b: CASE WHEN b THEN '1' ELSE '0' END), '') AS BIT) code FROM h), n4 AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b, CAST(bit_count(xor(a.code, b.code)) AS INT) distance FROM hb a JOIN hb b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 4)"
 
 
-@query(f"WITH {NEAR} SELECT * FROM n4")
+@query(f"WITH {NEAR}, k AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY code) class FROM hb) SELECT a, b, distance FROM n4 WHERE a IN (SELECT class FROM k) AND b IN (SELECT class FROM k) UNION ALL SELECT class, vec_id, 0 FROM k WHERE class <> vec_id")
 def q_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return curate.banded_pairs(hashes(spark, d), "vec_id", "code")
+    """Pairs of close hashes, each by its smallest record, and the other records of each hash with that one."""
+    h = shared.kept(hashes(spark, d))
+    copies = curate.hash_classes(h, "vec_id", "code").where("class <> vec_id").select(F.col("class").alias("a"), F.col("vec_id").alias("b"), F.lit(0).alias("distance"))
+    return curate.banded_pairs(h, "vec_id", "code").unionByName(copies)
 
 
 @query(f"WITH {RECORDS} SELECT record_id, CASE WHEN source = 'thesvg' THEN CASE WHEN contains(lower(f), 'wordmark') THEN 45 ELSE 72 END WHEN source = 'vectorlogozone' THEN CASE WHEN contains(lower(f), 'icon') THEN 76 ELSE 60 END WHEN source = 'gilbarbara' THEN 70 WHEN source = 'car-logos' THEN 75 ELSE 60 END score FROM (SELECT record_id, source, CASE WHEN size % 5 = 0 THEN replace(path, '.svg', '-wordmark.svg') ELSE path END f FROM r)")

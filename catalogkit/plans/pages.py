@@ -86,9 +86,8 @@ s(rn, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT
 SELECT vec_id, list_contains((SELECT kept FROM s ORDER BY rn DESC LIMIT 1), CAST(vec_id AS BIGINT)) kept FROM hb""")
 def q_near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Records that a greedy pass over the hashes keeps (4 of 256 bits)."""
-    codes = kept(hashes(spark, d))
-    pairs = kept(curate.banded_pairs(codes, "vec_id", "code"))
-    return curate.greedy_near_copies(codes, pairs, "vec_id", F.col("vec_id"), F.lit(False), kept).select(F.col("id").alias("vec_id"), (F.col("state") == "kept").alias("kept"))
+    found = curate.near_copies(hashes(spark, d), "vec_id", "code", F.col("vec_id"), F.lit(False), kept)
+    return found.select(F.col("id").alias("vec_id"), (F.col("state") == "kept").alias("kept"))
 
 
 @query("SELECT date_trunc('day', ts) window_start, event_type, count(*) total, count(*) FILTER (CAST(regexp_extract(props, '\"k\": ?(\\d+)', 1) AS INT) % 2 = 0) correct, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) latency FROM events GROUP BY ALL")

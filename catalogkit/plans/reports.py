@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from catalogkit.functions import fixed, keys
 from catalogkit.operators import analytics, itembank, resolve, rules
-from catalogkit.plans.catalog import RECORDS, entities, records, shared, SHARED
+from catalogkit.plans.catalog import RECORDS, entities, records, sharing, SHARED
 from catalogkit.plans.registry import query, table
 from catalogkit.sources import files
+from catalogkit.sources.shared import kept
 
 # events as answers: the user's answer of a type, in a category, right for even k, value as latency
 
@@ -140,7 +141,7 @@ def q_lifetime_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ANSWERS} SELECT event_id, row_number() OVER p n, CAST(sum(CAST(correct AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) score, CAST(floor(row_number() OVER p / count(*) OVER (PARTITION BY user_id) * 100 + 0.5) AS BIGINT) progress FROM w WINDOW p AS (PARTITION BY user_id ORDER BY event_id)")
 def q_running_score(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.running_score(answers(spark, d), "user_id", "event_id").select("event_id", F.col("n").cast("long").alias("n"), "score", "progress")
+    return analytics.running_score(answers(spark, d), "user_id", "event_id", kept).select("event_id", F.col("n").cast("long").alias("n"), "score", "progress")
 
 
 @query("SELECT count(*) total, count(*) FILTER (event_type = 'click') clicks, count(*) FILTER (event_type = 'view') AS views FROM events")
@@ -180,7 +181,7 @@ def q_validate_seed(spark: SparkSession, d: str) -> DataFrame:
 @query(SHARED + """, c AS (SELECT e.entity_id, count(record_id) n FROM (SELECT DISTINCT p_name entity_id FROM part WHERE p_size <= 25) e LEFT JOIN hit h ON e.entity_id = h.entity_id GROUP BY e.entity_id)
 SELECT count(*) total, count(*) FILTER (n > 0) matched, count(*) FILTER (n = 0) unmatched, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n = 0) = 0 AS valid FROM c""")
 def q_report(spark: SparkSession, d: str) -> DataFrame:
-    per = entities(spark, d).join(shared(spark, d).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")), "entity_id", "left")
+    per = entities(spark, d).join(sharing(spark, d).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")), "entity_id", "left")
     out = per.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") > 0).alias("matched"), F.count_if(F.col("n").isNull()).alias("unmatched"), F.sum("n").alias("rows"))
     return out.withColumn("valid", F.col("unmatched") == 0)
 
@@ -232,7 +233,7 @@ def q_item_risk(spark: SparkSession, d: str) -> DataFrame:
 # items with every kind of fault: options cut or repeated, unknown answers, other suffixes, blank names
 FAULTS = f"""{RING}, j AS (SELECT item_id, CASE WHEN answer % 17 = 0 THEN 'quiz' ELSE "type" END ty, answer, CASE WHEN answer % 7 = 0 THEN options[1:3] WHEN answer % 11 = 0 THEN list_append(options[1:3], options[1]) ELSE options END os, CASE WHEN answer % 13 = 0 THEN ' ' ELSE p_name END nm, p_size FROM i JOIN part ON p_partkey = answer),
 e AS (SELECT item_id, unnest([CASE WHEN ty NOT IN ('logo_to_brand', 'brand_to_logo') THEN 'invalid_type' END, CASE WHEN p_size >= 40 THEN 'answer_missing' END, CASE WHEN len(os) <> 4 THEN 'option_count_not_4' END, CASE WHEN len(list_distinct(os)) <> len(os) THEN 'duplicate_options' END,
-  CASE WHEN NOT list_contains(os, answer) THEN 'answer_not_in_options' END, CASE WHEN answer % 9 = 0 THEN 'invalid_url' END, CASE WHEN trim(nm) = '' THEN 'blank_name' END]) error FROM j), bad AS (SELECT * FROM e WHERE error IS NOT NULL)"""
+  CASE WHEN NOT list_contains(os, answer) THEN 'answer_not_in_options' END, CASE WHEN (ty = 'brand_to_logo' AND len(list_filter(os, lambda x: x % 9 = 0)) > 0) OR (ty <> 'brand_to_logo' AND answer % 9 = 0) THEN 'invalid_url' END, CASE WHEN trim(nm) = '' THEN 'blank_name' END]) error FROM j), bad AS (SELECT * FROM e WHERE error IS NOT NULL)"""
 
 
 @query(f"WITH {FAULTS} SELECT * FROM bad")
@@ -242,8 +243,8 @@ def q_validate_items(spark: SparkSession, d: str) -> DataFrame:
     items = bank(spark, d).join(part, k == F.col("pk")).withColumn("type", F.when(k % 17 == 0, "quiz").otherwise(F.col("type")))
     three = F.slice("options", 1, 3)
     items = items.withColumn("options", F.when(k % 7 == 0, three).when(k % 11 == 0, F.concat(three, F.slice("options", 1, 1))).otherwise(F.col("options")))
-    url = F.concat(F.lit("https://assets.example.com/logos/"), k.cast("string"), F.when(k % 9 == 0, ".png").otherwise(".jpg"))
-    checks = itembank.item_checks(F.col("p_size") < 40, F.when(k % 13 == 0, " ").otherwise(F.col("p_name")), url, "https://assets.example.com/logos/")
+    image = lambda o: F.concat(F.lit("https://assets.example.com/logos/"), o.cast("string"), F.when(o % 9 == 0, ".png").otherwise(".jpg"))
+    checks = itembank.item_checks(F.col("p_size") < 40, F.when(k % 13 == 0, " ").otherwise(F.col("p_name")), itembank.item_images(image), "https://assets.example.com/logos/")
     return items.select("item_id", F.explode(rules.failed_rules(checks)).alias("error"))
 
 
@@ -309,11 +310,16 @@ def q_mixed_pick(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat(p_brand, '#', p_partkey))) \"place\" FROM part) SELECT * FROM s")
 def q_stable_shuffle(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_brand").withColumn("h", itembank.hash_order(F.col("p_brand"), F.col("p_partkey")))
-    return analytics.top_k_by(part, "p_brand", (1 << 31) - 1, F.col("h")).select("p_partkey", "p_brand", F.col("rank").cast("long").alias("place"))
+    return analytics.ranked_by(part, "p_brand", "h", kept).select("p_partkey", "p_brand", F.col("rank").cast("long").alias("place"))
 
 
-@query()
+# the generator step by step, each step a swap of two list elements
+LCG = """WITH RECURSIVE g AS (SELECT p_brand, list(p_partkey ORDER BY p_partkey) parts FROM part GROUP BY p_brand),
+s(p_brand, i, st, parts) AS (SELECT p_brand, CAST(len(parts) AS BIGINT), CAST(length(p_brand) AS BIGINT), parts FROM g UNION ALL
+SELECT p_brand, i - 1, nx, list_transform(parts, lambda x, k: CASE WHEN k = i THEN parts[nx % i + 1] WHEN k = nx % i + 1 THEN parts[i] ELSE x END) FROM (SELECT *, (st * 1664525 + 1013904223) % 4294967296 nx FROM s WHERE i > 1))"""
+
+
+@query(LCG + """ SELECT p_brand, unnest(range(1, len(parts) + 1)) "place", unnest(parts) p_partkey FROM s WHERE i <= 1""")
 def q_lcg_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """The permutation of every brand's parts that the seeded generator gives."""
-    groups = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("parts"))
-    return groups.select("p_brand", F.transform(itembank.lcg_permutation(F.size("parts"), F.length("p_brand")), lambda i: F.get("parts", i)).alias("parts"))
+    """The order of every brand's parts that the seeded generator gives."""
+    return itembank.lcg_shuffle(table(spark, d, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", F.length("p_brand")).select("p_brand", "place", "p_partkey")

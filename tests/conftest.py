@@ -20,3 +20,10 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def keep():
+    from catalogkit.sources.shared import kept
+
+    return kept

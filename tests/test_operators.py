@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,12 +88,17 @@ def sequential_ids(bases):
     return out
 
 
-def test_unique_ids_equal_a_sequential_pass(spark):
+def test_unique_ids_equal_a_sequential_pass(spark, keep):
     rng = random.Random(5)
-    for bases in (["a", "a", "a_2", "a"], ["a", "a", "a_2", "a_2_x"], [rng.choice(["a", "a_2", "a_3", "a_2_2", "b", "b_x", "c_1"]) for _ in range(60)]):
-        df = spark.createDataFrame(list(enumerate(bases)), "o int, base string")
-        got = {r.o: r.unique_id for r in curate.unique_ids(df, "base", ("o",)).collect()}
+    hot = [rng.choice(["a"] * 8 + ["a_2", "a_3", "a_9", "a_9_2", "a_9_2", "a_40", "a_41", "a_02", "a_1", "b", "b_2"]) for _ in range(250)]
+    chain = [*(f"a_{k}" for k in range(9, 1, -1)), *["a"] * 9, *(f"a_{k}" for k in range(2, 15))]
+    for bases in (["a", "a", "a_2", "a"], ["a_2", "a", "a", "a_2"], ["a", "a", "a_2", "a_2_x"], [rng.choice(["a", "a_2", "a_3", "a_2_2", "b", "b_x", "c_1"]) for _ in range(60)], hot, chain):
+        rows = [(i, b) for i, b in enumerate(bases)] + [(1_000, None), (1_001, None)]
+        df = spark.createDataFrame(rows, "o int, base string")
+        got = {r.o: r.unique_id for r in curate.unique_ids(df, "base", ("o",), keep).collect()}
         assert [got[i] for i in range(len(bases))] == sequential_ids(bases)
+        assert len(got) == len(rows) and got[1_000] is None and got[1_001] is None
+    assert curate.unique_ids(spark.createDataFrame([], "o int, base string"), "base", ("o",), keep).count() == 0
 
 
 @pytest.mark.parametrize("n", [10, 64, 128, 200, 256])
@@ -114,7 +120,9 @@ def test_bands_against_all_pairs(spark):
     signed = lambda w: w - (1 << 64) if w >> 63 else w
     df = spark.createDataFrame([(i, [signed(c >> 64 * k & (1 << 64) - 1) for k in range(4)]) for i, c in codes], "id int, code array<bigint>")
     got = {(r.a, r.b, r.distance) for r in curate.banded_pairs(df, "id", "code", 4).collect()}
-    assert got == {(i, j, (x ^ y).bit_count()) for i, x in codes for j, y in codes if i < j and (x ^ y).bit_count() <= 4}
+    first = {x: i for i, x in reversed(codes)}  # equal hashes go by their smallest record
+    assert got == {(i, j, (x ^ y).bit_count()) for x, i in first.items() for y, j in first.items() if i < j and (x ^ y).bit_count() <= 4}
+    assert {r.id: r["class"] for r in curate.hash_classes(df, "id", "code").collect()} == {i: first[x] for i, x in codes}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -214,3 +222,107 @@ def test_labels_claims_columns_and_appends(spark):
     old, new = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string")
     once = resolve.append_new(old, new, "id")
     assert sorted(map(tuple, resolve.append_new(once, new, "id").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_long_groups_are_summed_over_several_ranges(spark, keep, request):
+    rng = random.Random(6)
+    rows = [(None if i % 7 == 0 else "hot" if i % 2 else f"u{i % 5}", i, rng.randrange(9)) for i in range(2_000)]
+    dealt = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # few rows would become one task
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    got = analytics.running_sums(spark.createDataFrame(rows, "u string, o int, v int"), "u", "o", {"s": F.col("v")}, lambda df: dealt.append(keep(df)) or dealt[-1]).collect()
+    n, s, size = {}, {}, {}
+    for u, _, _ in rows:
+        size[u] = size.get(u, 0) + 1
+    want = []
+    for u, o, v in rows:
+        n[u], s[u] = n.get(u, 0) + 1, s.get(u, 0) + v
+        want.append((u, o, v, n[u], size[u], s[u]))
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    assert dealt[0].where("u = 'hot'").select("__range").distinct().count() > 1
+
+
+def test_first_of_a_group_are_picked_before_the_shuffle(spark):
+    df = spark.range(3_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    got = analytics.top_k_by(df, "g", 5, F.col("v").desc())
+    assert sorted((r.g, r.v, r["rank"]) for r in got.collect()) == sorted((g, 2999 - (1 - g) - 2 * k, k + 1) for g in (0, 1) for k in range(5))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan[plan.index("WindowGroupLimit") :] and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+    many = analytics.top_k_by(df, "g", 1_200, F.col("v").desc(), parts=8)
+    assert many.where("g = 0").count() == 1_200 and many.agg(F.min("v")).first()[0] == 2999 - 2 * 1_199 - 1
+
+
+def test_lcg_shuffle_equals_the_generator_step_by_step(spark):
+    rows = [(g, i * 3, len(g)) for g, n in (("a", 1), ("bb", 2), ("ccc", 57), ("", 9)) for i in range(n)]
+    got: dict = {}
+    for r in itembank.lcg_shuffle(spark.createDataFrame(rows, "g string, k int, s int"), "g", "k", F.col("s")).collect():
+        got.setdefault(r.g, {})[r.place] = r.k
+    for g, n in (("a", 1), ("bb", 2), ("ccc", 57), ("", 9)):
+        assert [got[g][p] for p in range(1, n + 1)] == [3 * i for i in lcg(n, len(g))]
+    start = time.perf_counter()
+    big = itembank.lcg_shuffle(spark.range(100_000).withColumn("g", F.lit("x")), "g", "id", F.lit(7))
+    assert big.agg(F.sum("place")).first()[0] == 100_000 * 100_001 // 2 and time.perf_counter() - start < 20
+
+
+def test_near_copies_of_one_hash_are_classes(spark, keep):
+    rng = random.Random(8)
+    base = [rng.getrandbits(62) for _ in range(6)]
+    rows = []
+    for i in range(300):
+        code = base[rng.randrange(6)]
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 3, 6])):
+            code ^= 1 << rng.randrange(62)
+        rows.append((i, None if i % 41 == 0 else [code], rng.randrange(50), rng.random() < 0.1))
+    df = spark.createDataFrame(rows, "id int, code array<long>, o int, safe boolean")
+    near = lambda a, b: a is not None and b is not None and (a[0] ^ b[0]).bit_count() <= 4
+    kept, want = [], {}
+    for i, code, _, safe in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = "kept" if safe or not any(near(code, k) for k in kept) else "dropped"
+        if want[i] == "kept":
+            kept.append(code)
+    got = curate.near_copies(df, "id", "code", F.col("o"), F.col("safe"), keep, 4, 64)
+    assert {r.id: r.state for r in got.collect()} == want
+    first: dict = {}
+    for i, code, *_ in rows:
+        if code:
+            first.setdefault(code[0], i)
+    pairs = {(min(a, b), max(a, b)) for x, a in first.items() for y, b in first.items() if a != b and (x ^ y).bit_count() <= 4}
+    for hot in (1_000, 1):
+        assert {(r.a, r.b) for r in curate.banded_pairs(df, "id", "code", 4, 64, hot).collect()} == pairs
+
+
+def test_many_copies_of_one_hash_give_no_pairs(spark, keep):
+    df = spark.range(20_000).select("id", F.array(F.lit(5).cast("long"), F.lit(7).cast("long"), F.lit(0).cast("long"), F.lit(1).cast("long")).alias("code"))
+    assert curate.banded_pairs(df, "id", "code").count() == 0
+    assert curate.near_copies(df, "id", "code", F.col("id"), F.lit(False), keep).where("state = 'kept'").count() == 1
+    assert curate.hash_classes(df, "id", "code").groupBy("class").count().first()["count"] == 20_000
+
+
+def test_hot_keys_are_spread_and_unknown_keys_left_out(spark):
+    e = spark.createDataFrame([(i, [f"k{i}", "hot"] if i < 4 else [f"k{i}", f"k{i}"]) for i in range(20)], "e int, keys array<string>")
+    r = spark.createDataFrame([(i, ["hot", "x"] if i % 3 == 0 else [f"k{i % 25}", f"none{i}", None]) for i in range(600)], "r int, keys array<string>")
+    want = {(a.e, b.r) for a in e.collect() for b in r.collect() if set(a.keys) & set(b.keys)}
+    assert {tuple(x) for x in resolve.key_pairs(e, r, "e", "r").collect()} == want
+    assert {x.r for x in resolve.with_a_key(r, e, "e", "r").collect()} == {b for _, b in want}
+    a, b = resolve.listed_keys(e, r, "e", "r", "keys", "keys")
+    assert b.where("k = 'hot'").select("salt").distinct().count() > 16 and a.where("k = 'hot'").count() == 4 * resolve.SALTS
+    assert b.where("k like 'none%'").count() < 5
+    assert resolve.key_pairs(e.limit(0), r, "e", "r").count() == 0 and resolve.key_pairs(e, r.limit(0), "e", "r").count() == 0
+
+
+@pytest.mark.parametrize("crowded, cell", [(1_000_000, 20_000), (3, 4), (0, 1)])
+def test_containment_of_keys_that_share_all_grams(spark, crowded, cell):
+    rng = random.Random(9)
+    keys = ["", None, "abc", "abcd", "abab", "ababab", "babababab", *("ab" * n for n in range(2, 12)), *("".join(rng.choice("ab") for _ in range(rng.randrange(3, 14))) for _ in range(60))]
+    left = [(i, rng.choice(keys)) for i in range(70)]
+    right = [(i, rng.choice(keys)) for i in range(70)]
+    want = {(i, j) for i, x in left for j, y in right if x and y and (x == y or (len(x) >= 4 and x in y) or (len(y) >= 4 and y in x))}
+    got = resolve.containment_pairs(spark.createDataFrame(left, "e int, key string"), spark.createDataFrame(right, "r int, key string"), "e", "r", 4, crowded, cell)
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_images_of_all_options_are_checked(spark):
+    rows = [("brand_to_logo", "a", ["a", "b"]), ("brand_to_logo", "a", ["a", "bad"]), ("brand_to_logo", "a", ["a", None]), ("logo_to_brand", "a", ["a", "bad"]), ("logo_to_brand", "bad", ["a", "bad"])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, type string, answer string, options array<string>")
+    checks = dict(itembank.item_checks(F.lit(True), F.lit("x"), itembank.item_images(lambda o: F.concat(F.lit("https://x/"), o, F.when(o == "bad", ".png").otherwise(".jpg"))), "https://x/"))
+    assert {r.i: r.ok for r in df.select("i", checks["invalid_url"].alias("ok")).collect()} == {0: True, 1: False, 2: False, 3: True, 4: False}
