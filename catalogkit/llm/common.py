@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Characters that separate words in the contracts of ops 5, 7, 9 and 10.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -67,6 +71,33 @@ def small_batches(spark: SparkSession, most: int = 1_000, most_bytes: int = 32 <
             spark.conf.set(name, str(bound))
 
 
+def exact_pandas(t: pa.Table) -> pd.DataFrame:
+    """A table for pandas in which whole numbers with nulls stay whole (as floats they would lose digits)."""
+    out = t.to_pandas()
+    for name, c in zip(t.column_names, t.columns):
+        if c.null_count and pa.types.is_integer(c.type):
+            out[name] = c.to_pandas(types_mapper=lambda kind: getattr(pd, f"Int{kind.bit_width}Dtype")())
+    return out
+
+
+def map_in_pandas(df: DataFrame, make: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType | str) -> DataFrame:
+    """``mapInPandas`` with ``exact_pandas``."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    made = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in make(exact_pandas(pa.Table.from_batches([x])) for x in batches):
+            yield from pa.Table.from_pandas(b[made.names], schema=made, preserve_index=False).to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def apply_in_pandas(groups: GroupedData, make: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType) -> DataFrame:
+    """``applyInPandas`` with ``exact_pandas``."""
+    made = to_arrow_schema(schema)
+    return groups.applyInArrow(lambda t: pa.Table.from_pandas(make(exact_pandas(t))[made.names], schema=made, preserve_index=False), schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text without other characters takes the quick way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

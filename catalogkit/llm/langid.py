@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import chunks, code_points, small_batches
+from catalogkit.llm.common import chunks, code_points, map_in_pandas, small_batches
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -157,4 +157,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                     langs[i] = labels[y]
             yield b.assign(lang_pred=langs, score=scores)
 
-    return rows.mapInPandas(score, schema)
+    return map_in_pandas(rows, score, schema)

@@ -18,7 +18,7 @@ beyond that, the lines are joined with them.
 
 Defined results: a null text counts as empty (one blank line). Blank lines and (unless
 ``wide``) lines of fewer than ``min_tokens`` tokens stay. Each row counts as a document; rows equal in
-identifier and text get equal results; null identifiers come last.
+identifier and text get equal results; rows without an identifier come last, in the order of a hash of their text.
 """
 
 from __future__ import annotations
@@ -30,15 +30,14 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import SPACE, small_batches, stored
+from catalogkit.llm.common import SPACE, map_in_pandas, small_batches, stored
 
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 PARTS = 4
-LAST = (1 << 63) - 1
 _FIELD, _DIGIT = re.compile(FIELD.encode()), re.compile(b"[0-9]")
 
 
@@ -115,9 +114,14 @@ def find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
+def placed(doc_id: str, text: str) -> tuple[Column, Column]:
+    """Whether a row has no identifier, and its identifier, or a hash of its text in place of it: the order of documents."""
+    return F.col(doc_id).isNull(), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+
 def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min_docs: int, min_tokens: int, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
-    """``k0``, ``k1`` (halves of the key), ``first``: templates in ``min_docs`` documents or more (whole lines in
-    ``exact_docs``), and the first one."""
+    """``k0``, ``k1`` (halves of the key), ``unnamed``, ``first``: templates in ``min_docs`` documents or more (whole lines in
+    ``exact_docs``), and the first one (see ``placed``)."""
     how = (depth, min_tokens, wide, exact_docs is not None)
     least = F.lit(min_docs) if exact_docs is None else F.when(F.col("k1").bitwiseAND(F.lit(255)) == 1, exact_docs).otherwise(min_docs)
 
@@ -125,11 +129,15 @@ def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min
         for b in batches:
             own = [set(text_keys(t or "", *how)[0]) for t in b["t"]]
             k0, k1 = as_longs(chain.from_iterable(own))
-            yield pd.DataFrame({"k0": k0, "k1": k1, "id": np.repeat(b["id"].to_numpy(np.int64), [len(x) for x in own])})
+            n = [len(x) for x in own]
+            yield pd.DataFrame({"k0": k0, "k1": k1, "unnamed": np.repeat(b["unnamed"].to_numpy(bool), n), "id": np.repeat(b["id"].to_numpy(np.int64), n)})
 
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("id"), F.col(text).alias("t"))
-    counted = rows.mapInPandas(parse, "k0 long, k1 long, id long").groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    return stored(counted.where(F.col("n") >= least).select("k0", "k1", "first"))
+    unnamed, rank = placed(doc_id, text)
+    rows = docs.select(unnamed.alias("unnamed"), rank.alias("id"), F.col(text).alias("t"))
+    # identifiers and stand-ins apart, so that the sums are of plain numbers
+    own, other = F.min(F.when(~F.col("unnamed"), F.col("id"))), F.min(F.when(F.col("unnamed"), F.col("id")))
+    counted = rows.mapInPandas(parse, "k0 long, k1 long, unnamed boolean, id long").groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), own.alias("own"), other.alias("other"))
+    return stored(counted.where(F.col("n") >= least).select("k0", "k1", F.col("own").isNull().alias("unnamed"), F.coalesce("own", "other").alias("first")))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, max_sent: int = 2_000_000, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
@@ -138,10 +146,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
     small_batches(docs.sparkSession)
     how = (depth, min_tokens, wide, exact_docs is not None)
     recurring = recurring_templates(docs, doc_id, text, depth, min_docs, min_tokens, wide, exact_docs)
-    rank = F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long")
+    unnamed, rank = placed(doc_id, text)
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*(F.col(c).alias(f"col_{c}") for c in others), rank.alias("__id"))
-    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("n_lines int, n_dropped int").fields])
+    rows = docs.select(*(F.col(c).alias(f"col_{c}") for c in others), unnamed.alias("__unnamed"), rank.alias("__id"))
+    schema = StructType([*rows.schema.fields[:-2], *StructType.fromDDL("n_lines int, n_dropped int").fields])
     column = f"col_{text}"
 
     def cut(b: pd.DataFrame, gone: list[set[int]]) -> pd.DataFrame:
@@ -154,35 +162,35 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
         sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(known.to_numpy(np.int64).T))
 
         def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, first = sent.value[:2], sent.value[2]
+            known, unnamed, first = sent.value[:2], sent.value[2] == 1, sent.value[3]
             for b in batches:
                 gone = []
-                for t, own in zip(b[column], b["__id"]):
+                for t, none, own in zip(b[column], b["__unnamed"], b["__id"]):
                     keys, at = text_keys(t or "", *how)
                     found = find(known, as_longs(keys))
-                    gone.append({at[i] for i in np.flatnonzero(found >= 0) if first[found[i]] != own})
+                    gone.append({at[i] for i in np.flatnonzero(found >= 0) if first[found[i]] != own or unnamed[found[i]] != none})
                 yield cut(b, gone)
 
-        out = rows.mapInPandas(drop, schema)
+        out = map_in_pandas(rows, drop, schema)
     else:
 
         def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for t, own, h in zip(b["t"], b["id"], b["h"]):
+                for t, none, own, h in zip(b["t"], b["none"], b["id"], b["h"]):
                     keys, at = text_keys(t or "", *how)
                     k0, k1 = as_longs(keys)
-                    yield pd.DataFrame({"k0": k0, "k1": k1, "line": np.array(at, np.int64), "id": own, "h": h})
+                    yield pd.DataFrame({"k0": k0, "k1": k1, "line": np.array(at, np.int64), "none": none, "id": own, "h": h})
 
         hashed = F.xxhash64(F.coalesce(F.col(column), F.lit("")))
-        lines = rows.select(F.col("__id").alias("id"), F.col(column).alias("t"), hashed.alias("h")).mapInPandas(parse, "k0 long, k1 long, line long, id long, h long")
-        dropped = lines.join(recurring, ["k0", "k1"]).where("id <> first").groupBy("id", "h").agg(F.collect_set("line").alias("gone"))
-        joined = rows.withColumn("__h", hashed).join(dropped, (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left").select(*schema.names[:-2], "gone")
+        lines = rows.select(F.col("__unnamed").alias("none"), F.col("__id").alias("id"), F.col(column).alias("t"), hashed.alias("h")).mapInPandas(parse, "k0 long, k1 long, line long, none boolean, id long, h long")
+        dropped = lines.join(recurring, ["k0", "k1"]).where("id <> first or none <> unnamed").groupBy("none", "id", "h").agg(F.collect_set("line").alias("gone"))
+        joined = rows.withColumn("__h", hashed).join(dropped, (F.col("__unnamed") == F.col("none")) & (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left").select(*schema.names[:-2], "gone")
 
         def drop_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 yield cut(b, [set() if g is None else set(g.tolist()) for g in b["gone"]])
 
-        out = joined.mapInPandas(drop_joined, schema)
+        out = map_in_pandas(joined, drop_joined, schema)
     return out.select(*(F.col(f"col_{c}").alias(c) for c in others), "n_lines", "n_dropped")
 
 

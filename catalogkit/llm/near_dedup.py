@@ -18,13 +18,15 @@
    canopy's members meet in a task with their whole texts, once each, and overlaps of the
    full sets confirm who is linked.
 
-Groups beyond ``capacity`` are dealt to blocks that share some members (``joined``). Only where
-parts of a group are then still apart do the blocks of the smaller parts meet the others, so
-that a group of copies costs as much as it has members.
+Groups beyond ``capacity`` are dealt to blocks that share some members (``joined``), which connects a group of
+copies at the cost of its members. Where parts of a list are then still apart, its members are listed
+anew under single values, the rarest first, as many as a similar set may have own ones and one more (``first_values``):
+unlike members that have met under frequent values part, similar ones meet. Only in such a list beyond ``capacity``
+do the blocks of the smaller parts meet the others.
 
 Defined results: a null text, or one without words, has an empty set and is linked with
 nothing; a text of fewer words than a shingle has its words as the only one. Rows that
-share an identifier are one document; a null identifier is linked with nothing. An empty table
+share an identifier are one document, in one component whatever their texts; a null identifier is linked with nothing. An empty table
 gives no rows.
 """
 
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import chunks, distinct, free, small_batches, stored
+from catalogkit.llm.common import chunks, distinct, free, map_in_pandas, small_batches, stored
 from catalogkit.llm.components import components
 from catalogkit.llm.substring_dedup import WordHasher, rolling, split_words
 
@@ -77,7 +79,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
             sets = [(len(s), xxhash.xxh128_digest(s.tobytes()), (s[:k] >> _TOP).astype(np.uint32).tobytes()) for s in shingle_sets(b["t"].tolist(), n, hasher)]
             yield pd.DataFrame({"id": b["id"], "n": [s[0] for s in sets], "digest": [s[1] for s in sets], "sketch": [s[2] for s in sets]})
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(sketch, "id long, n long, digest binary, sketch binary")
+    return map_in_pandas(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")), sketch, "id long, n long, digest binary, sketch binary")
 
 
 def with_digest(docs: DataFrame, name: str, text: str = "text", n: int = 5) -> DataFrame:
@@ -89,7 +91,7 @@ def with_digest(docs: DataFrame, name: str, text: str = "text", n: int = 5) -> D
         for b in batches:
             yield b.assign(**{name: [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in shingle_sets(b[text].tolist(), n, hasher)]})
 
-    return docs.mapInPandas(add, schema)
+    return map_in_pandas(docs, add, schema)
 
 
 def unsure(run: int, similarity: float) -> float:
@@ -116,8 +118,8 @@ def listed_values(n: int, run: int, similarity: float) -> int:
     return math.floor(run * (1 - similarity) * n + 1e-9) + run
 
 
-def listed(nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """``value``, ``node``: each node under the runs of values in the order of its sketch."""
+def rarity(nodes: DataFrame):
+    """Counts of the values by hash, sent to all tasks: the global order puts rare values first."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
@@ -129,24 +131,41 @@ def listed(nodes: DataFrame, similarity: float, k: int = K) -> DataFrame:
     counts = np.zeros(COUNTERS, np.int64)
     found = nodes.select("sketch").mapInPandas(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts[found["slot"]] = found["n"]
-    sent = nodes.sparkSession.sparkContext.broadcast(counts)
+    return nodes.sparkSession.sparkContext.broadcast(counts)
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def listed(nodes: DataFrame, similarity: float, counts, k: int = K, choose: Callable[[np.ndarray, int], list[np.ndarray]] | None = None) -> DataFrame:
+    """``value``, ``node``: each node under the runs of values in the order of its sketch, or under what ``choose``
+    takes of its values in this order."""
+
+    def take_runs(x: np.ndarray, n: int) -> list[np.ndarray]:
+        whole = n <= similarity * k  # beyond this size a similar set may be larger than a sketch
+        return [rolling(x[: listed_values(n, r, similarity) if whole else LISTED], r) for r in runs(n, similarity)]
+
+    take = choose or take_runs
+
+    def list_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             values = []
             for data, n in zip(b["sketch"], b["n"]):
                 x = np.frombuffer(data, np.uint32)
-                x = x[np.lexsort((x, sent.value[x % COUNTERS]))].astype(np.uint64)
-                # beyond this size a similar set may be larger than a sketch
-                whole = n <= similarity * k
-                values.append(np.concatenate([rolling(x[: listed_values(n, r, similarity) if whole else LISTED], r) for r in runs(n, similarity)]).view(np.int64))
+                x = x[np.lexsort((x, counts.value[x % COUNTERS]))].astype(np.uint64)
+                values.append(np.concatenate(take(x, n)).view(np.int64))
             if values:
                 yield pd.DataFrame({"value": np.concatenate(values), "node": np.repeat(b["node"].to_numpy(), [len(v) for v in values])})
 
-    return nodes.mapInPandas(choose, "value long, node long")
+    return nodes.select("node", "n", "sketch").mapInPandas(list_nodes, "value long, node long")
+
 
+def first_values(similarity: float, k: int = K) -> Callable[[np.ndarray, int], list[np.ndarray]]:
+    """The first values of a sketch, of which similar sets share one at least: the first common value in the order
+    comes after own values only, of which a whole set of n has (1 - similarity) * n at most; of a sketch
+    of k, six standard deviations more than that share."""
+    own = (1 - similarity) * k + 6 * math.sqrt(k * similarity * (1 - similarity))
+    return lambda x, n: [x[: math.floor((1 - similarity) * n + 1e-9) + 1 if n <= similarity * k else math.ceil(own) + 1]]
 
-def members(lists: DataFrame) -> DataFrame:
+
+def distinct_lists(lists: DataFrame) -> DataFrame:
     """``group``, ``node``, ``weight`` (1) and ``total``: the lists of several nodes, each set of members once."""
     lists = lists.repartition("value")  # dealt once for the counts and for the members
     h = F.xxhash64("node")
@@ -281,13 +300,15 @@ def by_full_sets(n: int, similarity: float):
     return similar(compare)
 
 
-def joined(members: DataFrame, data: DataFrame, task: Callable, capacity: int) -> DataFrame:
+def joined(members: DataFrame, data: DataFrame, task: Callable, capacity: int, split: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
     """``node``, ``root``: what ``task`` connects of the ``members`` (``group``, ``node``, ``weight``,
-    ``total`` weight of the group) with their ``data`` (``node``, ...).
+    ``total`` weight of the group) with their ``data`` (``node``, ...), and what is ``known`` (``node``, ``root``).
 
     Groups heavier than ``capacity`` are dealt to blocks by a hash of the node; about ``SHARED``
     members come to every block, which connects the parts of a group of copies. Groups
-    that are then in several parts go on: blocks of members outside the largest part meet
+    that are then in several parts go on. With ``split`` (nodes -> ``value``, ``node``) they are listed
+    anew, each member under further values of which similar ones share one at least, so that members
+    that are not alike part. Without it, blocks of members outside the largest part meet
     each other and those of the largest part, whose members do not meet again."""
 
     def links(rows: DataFrame) -> DataFrame:
@@ -298,15 +319,22 @@ def joined(members: DataFrame, data: DataFrame, task: Callable, capacity: int) -
         n = F.ceil(F.col(weight) / F.lit(most)).cast("long")
         return n, F.pmod(F.xxhash64("node", F.lit(seed)), n)
 
-    members = stored(members)
+    if known is None:
+        members = stored(members.withColumn("root", F.col("node")))
+        before = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    else:  # groups within one part have nothing to find
+        placed = members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = placed.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
+        members = stored(placed.join(several, "group", "left_semi"))
+        before = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
     n, own = blocks("total", capacity, 0)
     common = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("total") / F.col("weight") / SHARED))) == 0
     large = members.where(F.col("total") > capacity)
-    rows = members.where(F.col("total") <= capacity).select("group", F.lit(0).cast("long").alias("block"), "node", F.col("node").alias("root"))
-    dealt = large.select("group", F.explode(F.when(common, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(own))).alias("block"), "node", F.col("node").alias("root"))
+    rows = members.where(F.col("total") <= capacity).select("group", F.lit(0).cast("long").alias("block"), "node", "root")
+    dealt = large.select("group", F.explode(F.when(common, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(own))).alias("block"), "node", "root")
     first = links(rows.unionByName(dealt))
-    roots = components(first)
-    placed = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(first.unionByName(before))
+    placed = large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = placed.groupBy("group", "root").agg(F.sum("weight").alias("part"))
     parts = parts.groupBy("group").agg(F.sum("part").alias("all"), F.max(F.struct("part", "root")).alias("main")).where("main.part < all")
     parts = parts.select("group", F.col("main.root").alias("main"), F.col("main.part").alias("inside"), (F.col("all") - F.col("main.part")).alias("outside"))
@@ -314,6 +342,12 @@ def joined(members: DataFrame, data: DataFrame, task: Callable, capacity: int) -
     if apart.isEmpty():
         free(first, members, apart)
         return roots
+    if split:
+        again = apart.select("group", "node").join(split(apart.select("node").distinct()), "node")
+        lists = again.select(F.xxhash64("group", "value").alias("value"), "node")  # lists of one hash only meet more
+        connected = joined(distinct_lists(lists), data, task, capacity, known=roots)
+        free(first, members, apart)
+        return connected
     (outer, at), (inner, place) = blocks("outside", capacity // 2, 2), blocks("inside", capacity // 2, 3)
     width = outer + inner
     upto, start = (lambda a, b: F.sequence(a, b)), F.lit(0).cast("long")
@@ -326,6 +360,21 @@ def joined(members: DataFrame, data: DataFrame, task: Callable, capacity: int) -
     return connected
 
 
+def by_identifier(made: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``named`` (``digest``, ``component``) with the components of rows that share an identifier made one, and the
+    component of each identifier whose rows have different sets (None: there is none)."""
+    differ = made.where("id is not null").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id")
+    shared = stored(made.where("n > 0").join(differ, "id", "left_semi").select("id", "digest"))
+    if shared.isEmpty():
+        free(shared)
+        return named, None
+    rows = shared.join(named, "digest")
+    low = rows.groupBy("id").agg(F.min("component").alias("low"))
+    again = components(rows.join(low, "id").select(F.col("component").alias("a"), F.col("low").alias("b")))
+    named = named.join(again, F.col("component") == F.col("node"), "left").select("digest", F.coalesce("root", "component").alias("component"))
+    return named, shared.join(named, "digest").groupBy("id").agg(F.min("component").alias("own"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, k: int = K, most: tuple[int, int] = (MEMBERS, SHINGLES)) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (smallest identifier reachable) and ``digest`` of the
     set (null if it is empty) for every row. ``most``: what a task compares at once."""
@@ -334,7 +383,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     valid = made.where("id is not null and n > 0")
     nodes = stored(valid.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    likely = joined(members(listed(nodes, similarity, k)), nodes.select("node", "n", "sketch"), by_estimate(similarity, k), most[0])
+    counts = rarity(nodes)
+    split = lambda some: listed(nodes.join(some, "node", "left_semi"), similarity, counts, k, first_values(similarity, k)).distinct()
+    likely = joined(distinct_lists(listed(nodes, similarity, counts, k)), nodes.select("node", "n", "sketch"), by_estimate(similarity, k), most[0], split)
     canopies = likely.select("node", F.col("root").alias("group")).join(nodes.groupBy("node").agg(F.sum("n").alias("weight")), "node")
     canopies = stored(canopies.join(canopies.groupBy("group").agg(F.sum("weight").alias("total")), "group"))
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("t")).join(canopies.select("node"), "node", "left_semi")
@@ -343,5 +394,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     free(canopies)
 
     named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+    named, owned = by_identifier(made, named)
     out = made.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), "digest")
+    out = out.withColumn("own", F.lit(None).cast("long")) if owned is None else out.join(owned, "id", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("own", "component", "id")).alias("component_id"), "digest")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import small_batches, stored
+from catalogkit.llm.common import apply_in_pandas, map_in_pandas, small_batches, stored
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 PLACE = ("sequence_id", "offset")
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[Column, .
             found = pd.DataFrame(made, columns=schema.names[len(names) :])
             yield pd.concat([b[names].iloc[at].reset_index(drop=True), found], axis=1)
 
-    return rows.mapInPandas(make, schema)
+    return map_in_pandas(rows, make, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -213,4 +213,4 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = 1024, per_grou
                 at += lengths[i]
         return b.assign(sequence_id=number * groups + b["__group"], offset=offset).drop(columns="__group")
 
-    return dealt.groupBy("__group").applyInPandas(one, schema)
+    return apply_in_pandas(dealt.groupBy("__group"), one, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from catalogkit.llm.common import bounded_sample, code_points, small_batches
+from catalogkit.llm.common import bounded_sample, code_points, map_in_pandas, small_batches
 
 ORDERS = (3, 4)
 SLICE = 1 << 18
@@ -137,4 +137,4 @@ def predict(docs: DataFrame, model: np.ndarray, text: str = "text", keep: tuple[
                 logits.append(float(m[-1]) + total / max(n, 1))
             yield b.assign(score=1 / (1 + np.exp(-np.clip(np.array(logits, dtype=np.float64), -500, 500))))
 
-    return rows.mapInPandas(score, schema)
+    return map_in_pandas(rows, score, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from catalogkit.llm.common import bounded_sample, small_batches, stored
+from catalogkit.llm.common import bounded_sample, map_in_pandas, small_batches, stored
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,7 +78,7 @@ def with_stats(docs: DataFrame, text: str = "text", keep: tuple[Column, ...] = (
                 made["anomaly"] = anomaly(_matrix(made), sent.value) if len(sent.value) else 0.0
             yield pd.concat([b, made], axis=1)
 
-    return rows.mapInPandas(measure, schema)
+    return map_in_pandas(rows, measure, schema)
 
 
 def base_failed() -> Column:
@@ -240,4 +240,4 @@ def judge(stats: DataFrame, model: tuple[tuple, float]) -> DataFrame:
         for b in batches:
             yield b.assign(anomaly=anomaly(_matrix(b), sent.value) if len(sent.value) else 0.0)
 
-    return stats.mapInPandas(score, schema).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < limit))
+    return map_in_pandas(stats, score, schema).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < limit))

@@ -52,7 +52,7 @@ def test_collocations_against_plain_counts(spark, make_docs, odd, chunk, hot_sha
     docs = [*odd[:-1], *texts(1, 400), *["copies of one text. copies of one text"] * 60]
     langs = [random.Random(i).choice(["en", "de", None, "und"]) for i in range(len(docs))]
     got = collocations.mine(make_docs(docs, langs=langs), chunk=chunk, hot_share=hot_share).collect()
-    assert sorted(map(tuple, got)) == brute(zip(langs, docs)) and len(got) > 50
+    assert sorted(map(tuple, got)) == brute(zip(langs, docs)) and len(got) > 10
 
 
 def test_collocations_keep_the_best_with_ties(spark, make_docs):

@@ -135,6 +135,46 @@ def test_near_dedup_nulls_repeats_and_nothing(spark, make_docs):
     assert near_dedup.groups(make_docs([])).count() == 0
 
 
+def test_near_dedup_rows_of_one_identifier_are_one_document(spark, make_docs):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (7, ""), (11, None), (11, c), (20, "x y z u v w"), (20, None)]
+    got = near_dedup.groups(make_docs([t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    assert sorted({(r.id, r.component_id) for r in got}) == [(3, 3), (5, 3), (7, 3), (9, 9), (11, 9), (20, 20)] and len(got) == len(rows)
+
+
+def test_near_dedup_lists_unlike_members_of_a_hot_list_anew(spark, make_docs, monkeypatch):
+    """Texts that share 70 words of 100: the rows that tasks compare grow with the texts, not with their square."""
+    rng, common = random.Random(5), [f"common{i}" for i in range(28)]
+    rows: list[int] = []
+    task = near_dedup.by_estimate
+
+    def unlike(n):
+        made = [" ".join([*common, *(f"own{rng.randrange(10**9)}" for _ in range(12))]) for _ in range(n)]
+        return made + [made[0] + " z", made[1] + " z"]
+
+    def counting(*args):
+        compare = task(*args)
+        count = spark.sparkContext.accumulator(0)
+        rows.append(count)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    count.add(len(b))
+                    yield b
+
+            yield from compare(seen())
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "by_estimate", counting)
+    for n in (400, 800, 1_600):
+        got = near_dedup.groups(make_docs(unlike(n)), n=1, most=(64, 1 << 20)).collect()
+        assert sorted(r.id for r in got if r.id != r.component_id) == [n, n + 1]
+    a, b, c = (x.value for x in rows)
+    assert b < 2.3 * a and c < 2.3 * b
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     names = rng.sample(range(1000), 200)
@@ -203,6 +243,15 @@ def test_line_dedup_null_and_repeated_ids(spark, make_docs):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_dropped) for r in got) == [(False, 3, 0), (False, 3, 0), (False, 4, 1), (False, 5, 1), (True, 0, 1), (True, 0, 1)]
 
 
+@pytest.mark.parametrize("max_sent", [1000, 0])
+def test_line_dedup_without_identifiers_keeps_the_first_line_only(spark, make_docs, max_sent):
+    texts = [f"own {x} words of this text\na line that comes again and again" for x in "abcdefgh"]
+    got = line_dedup.deduplicate(make_docs(texts, ids=[None] * 8), max_sent=max_sent).collect()
+    assert sum(r.n_dropped for r in got) == 7 and sorted(r.n_dropped for r in got) == [0] + [1] * 7
+    got = line_dedup.deduplicate(make_docs(texts, ids=[None] * 7 + [(1 << 63) - 1]), max_sent=max_sent).collect()
+    assert [r.n_dropped for r in got if r.doc_id] == [0] and sum(r.n_dropped for r in got) == 7
+
+
 @pytest.mark.parametrize("max_sent", [1000, 0])
 def test_line_dedup_whole_lines_in_two_documents_and_plain_word_fields(spark, make_docs, prose, max_sent):
     names = ["alice", "bob", "carol", "dave", "erin"]

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalogkit.llm import langid, quality_model, quality_rules
+from catalogkit.llm import langid, line_dedup, near_dedup, packing, quality_model, quality_rules
 from catalogkit.llm.common import id_remainder, table
-from catalogkit.llm.queries import QUERIES
+from catalogkit.llm.queries import QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
 
@@ -242,3 +242,20 @@ def test_held_out_figures(spark):
     judged = judged[~judged.base_failed]
     good = judged.quality == 1
     assert judged[good].kept.mean() >= 0.97 and (~judged[~good].kept).mean() >= 0.9
+
+
+def test_large_identifiers_stay_exact_beside_nulls(spark, make_docs, prose):
+    """Whole numbers with nulls would be floats in pandas, which lose digits."""
+    big = (1 << 62) + 1
+    texts = [prose(i, 60) for i in range(6)]
+    docs = make_docs(texts, ids=[None, big, big + 2, None, big + 4, 7], langs=["en", "de", "en", None, "de", "en"]).coalesce(1)
+    want = [None, None, 7, big, big + 2, big + 4]
+    ids = lambda df, c="doc_id": sorted((r[c] for r in df.collect()), key=lambda x: (x is not None, x))
+    key = (F.col("doc_id"),)
+    assert ids(langid.predict(docs, langid.train(docs), keep=key)) == want
+    assert ids(quality_rules.with_stats(docs, keep=key)) == want
+    assert ids(quality_model.predict(docs, np.zeros(1025, np.float32), keep=key)) == want
+    assert ids(line_dedup.deduplicate(docs)) == want and ids(line_dedup.deduplicate(docs, max_sent=-1)) == want
+    assert ids(near_dedup.groups(docs), "id") == want
+    assert ids(packing.pack(packing.pieces(docs, tokenizer_path(), keep=key))) == want
+    assert ids(near_dedup.with_digest(docs, "x")) == want
