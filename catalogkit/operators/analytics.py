@@ -27,17 +27,41 @@ def counts_side_by_side(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return counted.select(facet.alias("facet"), value.alias("value"), "n")
 
 
-def coverage(entities: DataFrame, candidates: DataFrame, entity: str, group: str, approved: Column) -> DataFrame:
-    """By group: entities, those with a candidate and with an approved one, missing ids, ratio."""
+def first_in_group(df: DataFrame, by: str, k: int, fields: tuple[str, ...], name: str) -> DataFrame:
+    """``by`` and ``name``: the first k rows of each group in order of ``fields``, as structs, or as plain values of one field. What
+    is gathered for a group is never more."""
+    value = F.struct(*fields) if len(fields) > 1 else F.col(fields[0])
+    first = top_k_by(df.select(by, *(c for c in fields if c != by)), by, k, *map(F.col, fields))
+    return first.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def with_first(df: DataFrame, lists: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with the group's list from ``first_in_group``; an empty one for groups without rows."""
+    named = lists.withColumnRenamed(by, "__by")
+    return df.join(named, F.col(by).eqNullSafe(F.col("__by")), "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType))).drop("__by")
+
+
+def coverage(entities: DataFrame, candidates: DataFrame, entity: str, group: str, approved: Column, most: int = fixed.ERROR_SAMPLES) -> DataFrame:
+    """By group: entities, those with a candidate and with an approved one, how many are missing and the first ``most`` of
+    these, ratio."""
     per = candidates.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.max(approved.cast("int")).alias("ok"))
     joined = entities.select(entity, group).join(per, entity, "left")
     out = joined.groupBy(group).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") > 0).alias("covered"), F.count_if(F.col("ok") == 1).alias("approved"),
-        F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col(entity)))).alias("missing"),
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") > 0).alias("covered"), F.count_if(F.col("ok") == 1).alias("approved"), F.count_if(F.col("n").isNull()).alias("missing_count"),
     )
+    out = with_first(out, first_in_group(joined.where("n is null"), group, most, (entity,), "missing"), group, "missing")
     return out.withColumn("ratio", F.floor(F.col("covered") / F.col("total") * 1000 + 0.5) / 1000).withColumn("playable", F.col("approved") >= fixed.GROUP_MINIMUM)
 
 
+def collection_report(entities: DataFrame, candidates: DataFrame, entity: str, error: Column, most: int = fixed.ERROR_SAMPLES) -> DataFrame:
+    """For each entity the number of its candidates and of their errors (``error``: a text, or null), and the first ``most`` errors."""
+    known = entities.select(entity).distinct()
+    told = candidates.select(entity, error.alias("error"))
+    counted = told.groupBy(entity).agg(F.count(F.lit(1)).alias("candidates"), F.count("error").alias("error_count"))
+    out = known.join(counted, entity, "left").select(entity, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "error_count")))
+    return with_first(out, first_in_group(told.where("error is not null"), entity, most, ("error",), "errors"), entity, "errors")
+
+
 def budget(df: DataFrame, size: str, limit: int, planned: int = 300) -> DataFrame:
     """Total and average size, what ``planned`` items would take, and whether a limit is passed."""
     out = df.agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("total"))
@@ -76,12 +100,17 @@ def insights(stats: DataFrame, by: str, least: int = 4, weak: int = 60, top: int
     return chosen.select(by, "total", "accuracy", (F.col(by) == F.col("best")).alias("is_best"), ((F.col(by) == F.col("low")) & (F.col("lowest") < weak)).alias("is_weakest"), (F.col(by) == F.col("fast")).alias("is_fastest"))
 
 
-def sessions(answers: DataFrame, session: str, fields: tuple[str, ...], correct: str = "correct") -> DataFrame:
-    """One row for each session: total, score, accuracy and the records in order."""
-    out = answers.groupBy(session).agg(F.count(F.lit(1)).alias("total"), F.count_if(correct).alias("score"), F.array_sort(F.collect_list(F.struct(*fields))).alias("records"))
+def session_totals(answers: DataFrame, session: str, correct: str = "correct") -> DataFrame:
+    """One row for each session: total, score and accuracy."""
+    out = answers.groupBy(session).agg(F.count(F.lit(1)).alias("total"), F.count_if(correct).alias("score"))
     return out.withColumn("accuracy", percent(F.col("score"), F.col("total")))
 
 
+def sessions(answers: DataFrame, session: str, fields: tuple[str, ...], correct: str = "correct", most: int = 1_000) -> DataFrame:
+    """One row for each session: total, score, accuracy and its first ``most`` records in order."""
+    return with_first(session_totals(answers, session, correct), first_in_group(answers, session, most, fields, "records"), session, "records")
+
+
 def running_sums(df: DataFrame, by: str, order: str, sums: dict[str, Column], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All columns, then ``n`` (the row's number in its group), ``total`` (rows of the group) and for each name of ``sums``
     the sum up to the row; ``order`` tells the rows of a group apart.

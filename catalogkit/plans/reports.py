@@ -87,7 +87,7 @@ def q_group_ready(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT l_partkey, count(*) n, bool_or(l_returnflag = 'R') ok FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey), j AS (SELECT p_partkey, p_brand, n, ok FROM part LEFT JOIN c ON p_partkey = l_partkey)
-SELECT p_brand, count(*) total, count(n) covered, count(*) FILTER (ok) approved, coalesce(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FILTER (n IS NULL), '') missing, floor(count(n) / count(*) * 1000 + 0.5) / 1000 ratio, count(*) FILTER (ok) >= 4 playable FROM j GROUP BY p_brand""")
+SELECT p_brand, count(*) total, count(n) covered, count(*) FILTER (ok) approved, count(*) FILTER (n IS NULL) missing_count, array_to_string((coalesce(list(p_partkey ORDER BY p_partkey) FILTER (n IS NULL), []))[1:300], ',') missing, floor(count(n) / count(*) * 1000 + 0.5) / 1000 ratio, count(*) FILTER (ok) >= 4 playable FROM j GROUP BY p_brand""")
 def q_group_coverage(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").where("l_quantity > 45").withColumnRenamed("l_partkey", "p_partkey")
     out = analytics.coverage(table(spark, d, "part"), lines, "p_partkey", "p_brand", F.col("l_returnflag") == "R")
@@ -127,7 +127,7 @@ def q_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
     return wrong.select("event_id", F.coalesce("p_name", F.concat(F.lit("#"), "k")).alias("answer_name"), keys.first_filled(F.col("grp"), F.lit(fixed.DEFAULT_GROUP)).alias("grp"))
 
 
-@query(f"WITH {ANSWERS} SELECT user_id, count(*) total, count(*) FILTER (correct) score, CAST(floor(count(*) FILTER (correct) / count(*) * 100 + 0.5) AS BIGINT) accuracy, string_agg(CAST(k AS VARCHAR), ',' ORDER BY event_id) records FROM w GROUP BY user_id")
+@query(f"WITH {ANSWERS} SELECT user_id, count(*) total, count(*) FILTER (correct) score, CAST(floor(count(*) FILTER (correct) / count(*) * 100 + 0.5) AS BIGINT) accuracy, array_to_string((list(k ORDER BY event_id))[1:1000], ',') records FROM w GROUP BY user_id")
 def q_session_result(spark: SparkSession, d: str) -> DataFrame:
     s = analytics.sessions(answers(spark, d), "user_id", ("event_id", "k"))
     return s.withColumn("records", F.array_join(F.transform("records", lambda r: r["k"].cast("string")), ","))
@@ -136,7 +136,7 @@ def q_session_result(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ANSWERS}, s AS (SELECT user_id, event_type, count(*) total, floor(count(*) FILTER (correct) / count(*) * 100 + 0.5) accuracy FROM w GROUP BY ALL) SELECT user_id, count(*) finished, CAST(max(accuracy) AS BIGINT) best_accuracy FROM s GROUP BY user_id")
 def q_lifetime_stats(spark: SparkSession, d: str) -> DataFrame:
     played = answers(spark, d).withColumn("session", F.struct("user_id", "event_type"))
-    return analytics.sessions(played, "session", ("event_id",)).groupBy("session.user_id").agg(F.count(F.lit(1)).alias("finished"), F.max("accuracy").alias("best_accuracy"))
+    return analytics.session_totals(played, "session").groupBy("session.user_id").agg(F.count(F.lit(1)).alias("finished"), F.max("accuracy").alias("best_accuracy"))
 
 
 @query(f"WITH {ANSWERS} SELECT event_id, row_number() OVER p n, CAST(sum(CAST(correct AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) score, CAST(floor(row_number() OVER p / count(*) OVER (PARTITION BY user_id) * 100 + 0.5) AS BIGINT) progress FROM w WINDOW p AS (PARTITION BY user_id ORDER BY event_id)")
@@ -149,11 +149,11 @@ def q_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views"))
 
 
-@query("SELECT c_custkey, count(o_orderkey) candidates, coalesce(string_agg(concat('order ', o_orderkey), '; ' ORDER BY concat('order ', o_orderkey)) FILTER (o_orderstatus = 'P'), '') errors FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, count(o_orderkey) candidates, count(*) FILTER (o_orderstatus = 'P') error_count, array_to_string((coalesce(list(concat('order ', o_orderkey) ORDER BY concat('order ', o_orderkey)) FILTER (o_orderstatus = 'P'), []))[1:300], '; ') errors FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def q_collect_report(spark: SparkSession, d: str) -> DataFrame:
-    joined = table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
     failed = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("order "), "o_orderkey"))
-    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("candidates"), F.array_join(F.array_sort(F.collect_list(failed)), "; ").alias("errors"))
+    return analytics.collection_report(table(spark, d, "customer"), orders, "c_custkey", failed).withColumn("errors", F.array_join("errors", "; "))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
@@ -258,12 +258,12 @@ def q_error_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("error_count", "valid", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["item_id"], e["error"])), "|").alias("errors"), "items", "groups", "smallest_group")
 
 
-@query(f"""WITH {RING}, p0 AS (SELECT * FROM i WHERE answer % 211 = 0), o1 AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY md5(concat('s3#', item_id)), item_id) k FROM p0),
+@query(f"""WITH {RING}, p0 AS (SELECT * REPLACE (category AS answer) FROM i), o1 AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY md5(concat('s3#', item_id)), item_id) k FROM p0),
 t1 AS (SELECT item_id, category, row_number() OVER (PARTITION BY category ORDER BY md5(concat('s3#', item_id)), item_id) turn FROM o1 WHERE k = 1), a1 AS (SELECT item_id, turn FROM t1 ORDER BY turn, md5(concat('s3#', category)), category LIMIT 20)
 SELECT item_id, turn FROM (SELECT item_id, turn, 0 z, '' m FROM a1 UNION ALL SELECT item_id, NULL, 1, md5(concat('s3#', item_id)) FROM p0 WHERE item_id NOT IN (SELECT item_id FROM a1)) ORDER BY z, m, item_id LIMIT 20""")
 def q_balanced_refill(spark: SparkSession, d: str) -> DataFrame:
-    """A balanced pick from few answers, which their other items fill up."""
-    return itembank.balanced_pick(bank(spark, d).where("answer % 211 = 0"), fixed.ROUND_SIZE, "s3").select("item_id", F.col("turn").cast("long").alias("turn"))
+    """A balanced pick where the answers are the few categories, which their other items fill up."""
+    return itembank.balanced_pick(bank(spark, d).withColumn("answer", F.col("category")), fixed.ROUND_SIZE, "s3").select("item_id", F.col("turn").cast("long").alias("turn"))
 
 
 @query(f"WITH {RING} SELECT item_id, CASE WHEN \"type\" = 'brand_to_logo' THEN '反向记忆' ELSE '基础识别' END \"label\" FROM i")
