@@ -121,18 +121,19 @@ class Bins:
                 own.setdefault(self.size[p], []).append(p)
         self.fill = [sum(self.size[p] for p in b) for b in bins]
         self.found: dict[int, set[int]] = {}  # length * (capacity + 1) + room -> bins
-        self.there = np.zeros((capacity + 1) ** 2, bool)
+        self.live = np.zeros(0, np.int64)  # the keys of ``found`` with bins, in order
 
     def show(self, b: int, on: bool) -> None:
         """Put an underfull bin into the tables, or take it out."""
         room = self.capacity - self.fill[b]
         for n in (0, *self.held[b]) if 0 < room < self.capacity else ():
             at = n * (self.capacity + 1) + room
-            if on:
-                self.found.setdefault(at, set()).add(b)
-            else:
-                self.found[at].discard(b)
-            self.there[at] = bool(self.found[at])
+            there = self.found.setdefault(at, set())
+            before = bool(there)
+            (there.add if on else there.discard)(b)
+            if before != bool(there):
+                place = int(np.searchsorted(self.live, at))
+                self.live = np.insert(self.live, place, at) if on else np.delete(self.live, place)
 
     def step(self, s: int) -> tuple[tuple[int, ...], int, int] | None:
         """The step from bin s (not in the tables) that raises the sum of squared fills most:
@@ -143,7 +144,7 @@ class Bins:
         sums = np.array(list(out))
         most[sums] = sums
         most = np.maximum.accumulate(most)
-        at = np.flatnonzero(self.there)
+        at = self.live
         back, room = np.divmod(at, self.capacity + 1)
         grown = most[back + room] - back  # for one length and room the largest sum gains most
         gain = np.where(grown > 0, grown * (self.capacity - room - self.fill[s] + grown), 0)

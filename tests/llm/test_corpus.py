@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -149,6 +150,12 @@ def test_local_search_keeps_all_pieces_and_never_adds_bins(seed):
     assert all(lengths[b].sum() <= 100 for b in better)
 
 
+def test_local_search_of_many_large_pieces_is_quick():
+    lengths = np.random.default_rng(1).integers(513, 1024, 20_000)
+    start = time.perf_counter()
+    assert len(packing.improve(packing.best_fit(lengths, 1024), lengths, 1024)) == 20_000 and time.perf_counter() - start < 10
+
+
 def test_local_search_empties_a_bin_by_exchanges():
     lengths = np.array([6, 4, 5, 3, 2, 7, 3])  # 30 in all: three bins of 10
     loose = [[0, 2 - 1], [2, 3], [5], [4, 6]]
