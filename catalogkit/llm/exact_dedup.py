@@ -76,7 +76,7 @@ def deduplicate(spark: SparkSession, path: str, doc_id: str = "doc_id", text: st
     held = keyed_state(stream_parquet(spark, path), checkpoint or shared_dir(spark), doc_id, text, digest)
     kept, n = (held["value"][name] for name in held.schema["value"].dataType.names[:2])
     held = stored(held.select("key.digest", F.struct(kept["id"].alias("keep_id"), n.alias("group_size"), kept["file"].alias("locator")).alias("group")))
-    rows = spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
+    rows = spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), F.col("_metadata.file_path").alias("__file"))
     rows = rows.withColumn("__norm", normalised(F.col("__text"))).withColumn("digest", digest(F.col("__norm")))
 
     # rows of a hot digest get its group by broadcast, and a key of their own in the joins by digest
@@ -88,7 +88,7 @@ def deduplicate(spark: SparkSession, path: str, doc_id: str = "doc_id", text: st
     # both joins shuffle at every size: what they meet grows with the input
     often = held.where("group.group_size > 1").select(F.col("digest").alias("__often"))
     hits = rows.join(often.hint("merge"), F.col("__key") == F.col("__often"), "left").where("__often is not null or __hot is not null")
-    texts = hits.groupBy("digest", "__norm").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    texts = hits.groupBy("digest", "__norm").agg(F.max(F.struct("doc_id", "__file")).alias("last"), F.count(F.lit(1)).alias("n"))
     mixed = stored(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
 
     plain = rows.select("doc_id", "digest", "__key", "__group").join(held.withColumnRenamed("digest", "__key").hint("merge"), "__key", "left")
@@ -96,6 +96,6 @@ def deduplicate(spark: SparkSession, path: str, doc_id: str = "doc_id", text: st
     if mixed.isEmpty():
         return plain
     # some digest stands for several texts: there the text decides
-    others = texts.join(mixed, "digest").select(F.col("__norm").alias("__other"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    others = texts.join(mixed, "digest").select(F.col("__norm").alias("__other"), F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("last.__file").alias("locator"))
     apart = rows.join(mixed, "digest", "left_semi").join(others, F.col("__norm") == F.col("__other"))
-    return plain.join(mixed, "digest", "left_anti").unionByName(apart.select("doc_id", "digest", "keep_id", "group_size", F.lit(None).cast("string").alias("locator")))
+    return plain.join(mixed, "digest", "left_anti").unionByName(apart.select("doc_id", "digest", "keep_id", "group_size", "locator"))

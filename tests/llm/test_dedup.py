@@ -27,14 +27,16 @@ def test_exact_dedup(spark, make_docs, odd, weak):
     """With a weak digest different texts collide, and the full texts tell them apart."""
     texts = [*odd, "É", "é", "K", "k", "K", "one"]
     digest = (lambda c: F.concat(F.lit("d"), F.length(c) % 2)) if weak else exact_dedup.sha256
-    got = {r.doc_id: r for r in exact_dedup.deduplicate(spark, saved(make_docs(texts)), digest=digest).collect()}
+    table = saved(make_docs(texts))
+    got = {r.doc_id: r for r in exact_dedup.deduplicate(spark, table, digest=digest).collect()}
+    files = {r.doc_id: r.file for r in spark.read.parquet(table).select("doc_id", F.col("_metadata.file_path").alias("file")).collect()}
     groups: dict[str, list[int]] = {}
     for i, t in enumerate(texts):
         groups.setdefault(lower(t), []).append(i)
     assert len(got) == len(texts)
     for same in groups.values():
         for i in same:
-            assert (got[i].keep_id, got[i].group_size) == (max(same), len(same))
+            assert (got[i].keep_id, got[i].group_size, got[i].locator) == (max(same), len(same), files[max(same)])
     if not weak:
         assert got[4].digest == hashlib.sha256(b"same text here").hexdigest()
 
