@@ -13,8 +13,9 @@ With ``wide``, lines of fewer than ``min_tokens`` tokens count in full, and more
 generalised (``wide_keys``); with ``exact_docs``, whole lines of ``min_tokens`` tokens or more
 recur in that many documents already. Without them the results are those of ``oracle``.
 
-The recurring templates are sent to the tasks while they are fewer than ``max_sent``;
-beyond that, the lines are joined with them.
+The recurring templates of the most documents are sent to the tasks, ``max_sent`` at most. Of the others a bit map of
+fixed size tells which keys of a line may be among them; only these keys are joined with them, none of which
+many documents hold.
 
 Defined results: a null text counts as empty (one blank line). Blank lines and (unless
 ``wide``) lines of fewer than ``min_tokens`` tokens stay. Each row counts as a document; rows equal in
@@ -34,10 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from catalogkit.llm.collocations import bit_map, is_set
 from catalogkit.llm.common import SPACE, map_in_pandas, small_batches, stored
 
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 PARTS = 4
+FILTER_BITS = 26  # 8 MB
 _FIELD, _DIGIT = re.compile(FIELD.encode()), re.compile(b"[0-9]")
 
 
@@ -120,7 +123,7 @@ def placed(doc_id: str, text: str) -> tuple[Column, Column]:
 
 
 def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min_docs: int, min_tokens: int, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
-    """``k0``, ``k1`` (halves of the key), ``unnamed``, ``first``: templates in ``min_docs`` documents or more (whole lines in
+    """``k0``, ``k1`` (halves of the key), ``unnamed``, ``first``, ``n`` (documents): templates in ``min_docs`` documents or more (whole lines in
     ``exact_docs``), and the first one (see ``placed``)."""
     how = (depth, min_tokens, wide, exact_docs is not None)
     least = F.lit(min_docs) if exact_docs is None else F.when(F.col("k1").bitwiseAND(F.lit(255)) == 1, exact_docs).otherwise(min_docs)
@@ -137,7 +140,19 @@ def recurring_templates(docs: DataFrame, doc_id: str, text: str, depth: int, min
     # identifiers and stand-ins apart, so that the sums are of plain numbers
     own, other = F.min(F.when(~F.col("unnamed"), F.col("id"))), F.min(F.when(F.col("unnamed"), F.col("id")))
     counted = rows.mapInPandas(parse, "k0 long, k1 long, unnamed boolean, id long").groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), own.alias("own"), other.alias("other"))
-    return stored(counted.where(F.col("n") >= least).select("k0", "k1", F.col("own").isNull().alias("unnamed"), F.coalesce("own", "other").alias("first")))
+    return stored(counted.where(F.col("n") >= least).select("k0", "k1", F.col("own").isNull().alias("unnamed"), F.coalesce("own", "other").alias("first"), "n"))
+
+
+def sent_from(recurring: DataFrame, max_sent: int) -> int:
+    """The least power of two so that ``max_sent`` templates or fewer are in so many documents."""
+    count = {r.p: r["count"] for r in recurring.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect()}
+    least, total = 1 << 62, 0
+    for p in sorted(count, reverse=True):
+        total += count[p]
+        if total > max_sent:
+            return least
+        least = 1 << p
+    return 1
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, max_sent: int = 2_000_000, wide: bool = False, exact_docs: int | None = None) -> DataFrame:
@@ -157,40 +172,42 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
         left = [t if not g else "\n".join(x for i, x in enumerate(ls) if i not in g) for t, ls, g in zip(b[column], lines, gone)]
         return b.assign(**{column: left}, n_lines=[len(x) for x in lines], n_dropped=[len(g) for g in gone])[schema.names]
 
-    if recurring.count() <= max_sent:
-        known = recurring.toPandas().sort_values(["k0", "k1"])
-        sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(known.to_numpy(np.int64).T))
+    least = sent_from(recurring, max_sent)
+    known = recurring.where(F.col("n") >= least).drop("n").toPandas().sort_values(["k0", "k1"])  # max_sent rows at most
+    sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(known.to_numpy(np.int64).T))
+    rest = recurring.where(F.col("n") < least)
+    few = rest.isEmpty()
+    if not few:
+        bits = docs.sparkSession.sparkContext.broadcast(bit_map(rest.select(F.col("k0").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("cell")), FILTER_BITS))
 
-        def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, unnamed, first = sent.value[:2], sent.value[2] == 1, sent.value[3]
-            for b in batches:
-                gone = []
-                for t, none, own in zip(b[column], b["__unnamed"], b["__id"]):
-                    keys, at = text_keys(t or "", *how)
-                    found = find(known, as_longs(keys))
-                    gone.append({at[i] for i in np.flatnonzero(found >= 0) if first[found[i]] != own or unnamed[found[i]] != none})
-                yield cut(b, gone)
-
-        out = map_in_pandas(rows, drop, schema)
-    else:
-
-        def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
+                made = []
                 for t, none, own, h in zip(b["t"], b["none"], b["id"], b["h"]):
                     keys, at = text_keys(t or "", *how)
                     k0, k1 = as_longs(keys)
-                    yield pd.DataFrame({"k0": k0, "k1": k1, "line": np.array(at, np.int64), "none": none, "id": own, "h": h})
+                    hit = is_set(bits.value, k0 & ((1 << FILTER_BITS) - 1))
+                    if hit.any():
+                        made.append(pd.DataFrame({"k0": k0[hit], "k1": k1[hit], "line": np.array(at, np.int64)[hit], "none": none, "id": own, "h": h}))
+                if made:
+                    yield pd.concat(made)
 
         hashed = F.xxhash64(F.coalesce(F.col(column), F.lit("")))
-        lines = rows.select(F.col("__unnamed").alias("none"), F.col("__id").alias("id"), F.col(column).alias("t"), hashed.alias("h")).mapInPandas(parse, "k0 long, k1 long, line long, none boolean, id long, h long")
-        dropped = lines.join(recurring, ["k0", "k1"]).where("id <> first or none <> unnamed").groupBy("none", "id", "h").agg(F.collect_set("line").alias("gone"))
-        joined = rows.withColumn("__h", hashed).join(dropped, (F.col("__unnamed") == F.col("none")) & (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left").select(*schema.names[:-2], "gone")
-
-        def drop_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield cut(b, [set() if g is None else set(g.tolist()) for g in b["gone"]])
+        lines = rows.select(F.col("__unnamed").alias("none"), F.col("__id").alias("id"), F.col(column).alias("t"), hashed.alias("h")).mapInPandas(likely, "k0 long, k1 long, line long, none boolean, id long, h long")
+        dropped = lines.join(rest, ["k0", "k1"]).where("id <> first or none <> unnamed").groupBy("none", "id", "h").agg(F.collect_set("line").alias("__gone"))
+        rows = rows.withColumn("__h", hashed).join(dropped, (F.col("__unnamed") == F.col("none")) & (F.col("__id") == F.col("id")) & (F.col("__h") == F.col("h")), "left").drop("none", "id", "h", "__h")
 
-        out = map_in_pandas(joined, drop_joined, schema)
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, unnamed, first = sent.value[:2], sent.value[2] == 1, sent.value[3]
+        for b in batches:
+            gone = []
+            for t, none, own, more in zip(b[column], b["__unnamed"], b["__id"], [None] * len(b) if few else b["__gone"]):
+                keys, at = text_keys(t or "", *how)
+                found = find(known, as_longs(keys))
+                gone.append({at[i] for i in np.flatnonzero(found >= 0) if first[found[i]] != own or unnamed[found[i]] != none} | (set() if more is None else set(more.tolist())))
+            yield cut(b, gone)
+
+    out = map_in_pandas(rows, drop, schema)
     return out.select(*(F.col(f"col_{c}").alias(c) for c in others), "n_lines", "n_dropped")
 
 

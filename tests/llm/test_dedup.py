@@ -267,6 +267,21 @@ def test_line_dedup_whole_lines_in_two_documents_and_plain_word_fields(spark, ma
     assert all(r.n_dropped == 0 for r in line_dedup.deduplicate(docs, max_sent=max_sent).collect())
 
 
+def test_line_dedup_sends_the_templates_of_most_documents(spark, make_docs, prose):
+    lines = [prose(700 + k, 9) for k in range(12)]
+    texts = ["\n".join([prose(800 + i, 11), *(x for k, x in enumerate(lines) if i % (k + 1) == 0)]) for i in range(120)]
+    docs = make_docs(texts)
+    found = line_dedup.recurring_templates(docs, "doc_id", "text", 3, 5, 3)
+    counts = sorted((r.n for r in found.collect()), reverse=True)
+    for most in (0, 10, 40, 10_000):
+        least = line_dedup.sent_from(found, most)
+        assert sum(n >= least for n in counts) <= most and (most < 10_000 or least == 1)
+    want = sorted(map(tuple, line_dedup.deduplicate(docs).collect()))
+    for most in (40, 0):
+        assert sorted(map(tuple, line_dedup.deduplicate(docs, max_sent=most).collect())) == want
+    assert sum(r[-1] for r in want) > 200
+
+
 def test_template_keys_are_compared_in_full():
     known = np.array([[1, 5, 5, 5, 9], [7, 1, 2, 3, 0]])
     keys = np.array([[5, 5, 5, 1, 0, 9, 10, 9], [3, 1, 4, 7, 0, 0, 0, 1]])
