@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogkit.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from catalogkit.llm.common import SPACE, small_side, stored, table
+from catalogkit.llm.common import SPACE, free, small_side, stored, table
 from catalogkit.llm.queries import tokenizer_path
 
 
@@ -77,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and reread by the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        free(before)  # the table of the stage before; the last one goes with the shared folder, as the result reads it
     return STAGES[-1][1](spark, docs, sf_dir)
