@@ -65,25 +65,25 @@ def lcg_shuffle(df: DataFrame, by: str, key: str, seed: Column) -> DataFrame:
     return df.withColumn("__seed", seed.cast("long")).groupBy(by).applyInPandas(shuffle, schema)
 
 
-def distractors(entities: DataFrame, entity: str, tiers: tuple[str | None, ...], need: int = fixed.OPTION_COUNT - 1, seed: str = "ring") -> DataFrame:
+def distractors(entities: DataFrame, entity: str, tiers: tuple[str | None, ...], need: int = fixed.OPTION_COUNT - 1, seed: str = "ring", digits: int = 3) -> DataFrame:
     """``need`` other entities for each: from its group, then its category, then all.
 
     In each tier the entities stand on a ring in hash order, and an answer sees only the
     next ``need`` after it: that is enough, as a later tier must replace at most those
-    already taken. Positions are found by ranges of the hash, so that a tier of all
-    entities is not sorted as one group; at most ``need`` rows a tier come for each entity."""
-    found = None
-    for no, by in enumerate(tiers):
-        ring = entities.select(F.col(entity), (F.col(by).cast("string") if by else F.lit("")).alias("g"), hash_order(seed, F.col(entity)).alias("h"))
-        ring = ring.withColumn("b", F.substring("h", 1, 2))
-        sizes = ring.groupBy("g", "b").agg(F.count(F.lit(1)).alias("m"))
-        before = sizes.select("g", "b", (F.sum("m").over(W.partitionBy("g").orderBy("b")) - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy("g")).alias("n"))
-        ring = ring.withColumn("r", F.row_number().over(W.partitionBy("g", "b").orderBy("h")) - 1).join(before, ["g", "b"])
-        ring = ring.select(entity, "g", "n", (F.col("before") + F.col("r")).alias("r"))
-        asked = ring.where("n > 1").select(F.col(entity).alias("answer"), "g", F.explode(F.sequence(F.lit(1), F.least(F.lit(need), F.col("n").cast("int") - 1))).alias("d"), "r", "n")
-        asked = asked.select("answer", "g", "d", ((F.col("r") + F.col("d")) % F.col("n")).alias("r"))
-        hit = asked.join(ring.select("g", "r", F.col(entity).alias("option")), ["g", "r"]).select("answer", "option", F.lit(no).alias("tier"), "d")
-        found = hit if found is None else found.unionByName(hit)
+    already taken. Positions are found by ranges of the hash (its first ``digits`` hexadecimal ones), so that a
+    tier of all entities is not sorted as one group; at most ``need`` rows a tier come for each entity. All
+    tiers go through one plan, each entity once for each."""
+    groups = F.array(*(F.struct(F.lit(no).alias("tier"), (F.col(by).cast("string") if by else F.lit("")).alias("g")) for no, by in enumerate(tiers)))
+    ring = entities.select(F.col(entity), hash_order(seed, F.col(entity)).alias("h"), F.explode(groups).alias("x")).select(entity, "h", "x.tier", "x.g").where("g is not null")
+    ring = ring.withColumn("b", F.substring("h", 1, digits))
+    sizes = ring.groupBy("tier", "g", "b").agg(F.count(F.lit(1)).alias("m"))
+    whole = W.partitionBy("tier", "g")
+    before = sizes.select("tier", "g", "b", (F.sum("m").over(whole.orderBy("b")) - F.col("m")).alias("before"), F.sum("m").over(whole).alias("n"))
+    ring = ring.withColumn("r", F.row_number().over(W.partitionBy("tier", "g", "b").orderBy("h")) - 1).join(before, ["tier", "g", "b"])
+    ring = ring.select(entity, "tier", "g", "n", (F.col("before") + F.col("r")).alias("r"))
+    asked = ring.where("n > 1").select(F.col(entity).alias("answer"), "tier", "g", F.explode(F.sequence(F.lit(1), F.least(F.lit(need), F.col("n").cast("int") - 1))).alias("d"), "r", "n")
+    asked = asked.select("answer", "tier", "g", "d", ((F.col("r") + F.col("d")) % F.col("n")).alias("r"))
+    found = asked.join(ring.select("tier", "g", "r", F.col(entity).alias("option")), ["tier", "g", "r"]).select("answer", "option", "tier", "d")
     first = found.groupBy("answer", "option").agg(F.min(F.struct("tier", "d")).alias("at")).select("answer", "option", "at.tier", "at.d")
     return first.withColumn("pick", F.row_number().over(W.partitionBy("answer").orderBy("tier", "d"))).where(F.col("pick") <= need)
 
