@@ -108,16 +108,17 @@ def oracle(templates: tuple = TEMPLATES, coverage: float = 0.75, shift: int = 2)
     d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '') w FROM documents),
     p AS (SELECT doc_id, unnest(range(0, len(w) - 1)) pos, w FROM d),
     g AS (SELECT doc_id, pos, w[pos + 1] a, w[pos + 2] b FROM p),
-    l AS (SELECT doc_id, tid, label, base, m, pos - tpos diagonal, count(DISTINCT tpos) votes, list(DISTINCT tpos) seen, min(pos) lo, max(pos) + 2 hi
-          FROM g JOIN tg USING (a, b) GROUP BY ALL HAVING 4 * count(DISTINCT tpos) >= m - 1),
-    n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) <= {shift} THEN 0 ELSE 1 END fresh FROM l),
-    s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) span FROM n),
-    c AS (SELECT doc_id, tid, span, any_value(label) label, any_value(base) base, any_value(m) m, len(list_distinct(flatten(list(seen)))) seen,
+    l0 AS (SELECT doc_id, tid, label, base, m, pos - tpos diagonal, count(DISTINCT tpos) votes, list(DISTINCT tpos) seen, min(pos) lo, max(pos) + 2 hi FROM g JOIN tg USING (a, b) GROUP BY ALL),
+    l1 AS (SELECT *, 4 * votes >= m - 1 core, len(list_distinct(flatten(list(seen) OVER (PARTITION BY doc_id, tid ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {2 * shift} FOLLOWING)))) / (m - 1) near FROM l0),
+    l AS (SELECT * FROM l1 WHERE core OR (NOT base AND near >= {coverage})),
+    n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid, core ORDER BY diagonal) <= {shift} THEN 0 ELSE 1 END fresh FROM l),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, tid, core ORDER BY diagonal) span FROM n),
+    c AS (SELECT doc_id, tid, core, span, any_value(label) label, any_value(base) base, any_value(m) m, len(list_distinct(flatten(list(seen)))) / (any_value(m) - 1) chain, max(near) near,
                  min(lo) s0, max(hi) s1, count(*) FILTER (base AND votes = m - 1) places,
-                 min(diagonal) FILTER (base AND votes = m - 1) f, max(diagonal) FILTER (base AND votes = m - 1) z FROM s GROUP BY doc_id, tid, span),
-    v AS (SELECT *, NOT base AND seen / (m - 1) >= {coverage} AND s1 - s0 <= m + {2 * shift} ok FROM c),
-    r AS (SELECT doc_id, sum(places) n_base, min(f) first_word, max(z) last_word, max(CASE WHEN places > 0 THEN 1.0 WHEN ok THEN seen / (m - 1) END) score,
-                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0 OR ok) labels FROM v GROUP BY doc_id)
+                 min(diagonal) FILTER (base AND votes = m - 1) f, max(diagonal) FILTER (base AND votes = m - 1) z FROM s GROUP BY doc_id, tid, core, span),
+    v AS (SELECT *, CASE WHEN core AND chain >= {coverage} AND s1 - s0 <= m + {2 * shift} AND chain > near THEN chain ELSE near END share FROM c),
+    r AS (SELECT doc_id, sum(places) n_base, min(f) first_word, max(z) last_word, max(CASE WHEN places > 0 THEN 1.0 WHEN NOT base AND share >= {coverage} THEN share END) score,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0 OR (NOT base AND share >= {coverage})) labels FROM v GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_base, 0) AS BIGINT) n_base, CAST(first_word AS BIGINT) first_word, CAST(last_word AS BIGINT) last_word,
            coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, CAST(coalesce(score, 0) AS DOUBLE) score
     FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""

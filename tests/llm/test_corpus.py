@@ -1,3 +1,4 @@
+import random
 import re
 import time
 import zlib
@@ -48,6 +49,26 @@ def test_license_scan_adds_up_votes_of_thin_diagonals(spark, make_docs):
     assert abs(got[0].score - 13 / 15) < 1e-9 and abs(got[1].score - 12 / 15) < 1e-9
 
 
+def test_license_scan_equals_its_sql_on_thin_diagonals(spark, make_docs):
+    duckdb = pytest.importorskip("duckdb")
+    rng, texts = random.Random(4), []
+    for _, _, phrase in licenses.TEMPLATES:
+        words = phrase.split()
+        for holes in (0, 1, 2, 3, 4, 6):
+            made = list(words)
+            for _ in range(holes):
+                made[rng.randrange(len(made)) : 0] = ["x"] * rng.randrange(1, 3)
+            texts.append(" ".join(["and", *made, *made[: rng.randrange(4)]]))
+            texts.append(" ".join(w for w in made if rng.random() > 0.1 * holes))
+    got = licenses.scan(make_docs(texts))
+    con = duckdb.connect()
+    con.register("documents", make_docs(texts).select("doc_id", "text").toPandas())
+    want = con.execute(licenses.oracle()).fetchall()
+    key = lambda r: (r[0], r[1], r[2], r[3], r[4], r[5], r[6], round(r[7], 9))
+    assert sorted(key(tuple(r)) for r in got.collect()) == sorted(map(key, want))
+    assert len({r[6] for r in want}) > 5
+
+
 def test_license_scan_of_a_very_long_text(spark, make_docs, prose):
     text = " ".join([prose(1, 100_000), "all rights reserved", prose(2, 99_990), "cc by"])
     (r,) = licenses.scan(make_docs([text])).collect()
