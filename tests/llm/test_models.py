@@ -259,3 +259,42 @@ def test_large_identifiers_stay_exact_beside_nulls(spark, make_docs, prose):
     assert ids(near_dedup.groups(docs), "id") == want
     assert ids(packing.pack(packing.pieces(docs, tokenizer_path(), keep=key))) == want
     assert ids(near_dedup.with_digest(docs, "x")) == want
+
+
+def plain_threshold(scores, total, max_false, gone):
+    """``scores``: (score, label) pairs; the step that rejects the largest share of bad rows less that of good ones."""
+    best, limit = 0.0, math.inf
+    for step in sorted({math.floor(s * quality_rules.STEPS) for s, _ in scores}, reverse=True):
+        caught = [y for s, y in scores if math.floor(s * quality_rules.STEPS) >= step]
+        if caught.count(1) + gone <= max_false * total[1]:
+            gain = caught.count(0) / total[0] - caught.count(1) / total[1]
+            if gain > best:
+                best, limit = gain, step / quality_rules.STEPS
+    return limit
+
+
+@pytest.mark.parametrize("max_false", [0.002, 0.05])
+def test_quality_thresholds_equal_plain_counts(spark, max_false):
+    stats = quality_rules.with_stats(table(spark, DATA, "documents"), keep=(F.col("doc_id"),)).cache()
+    labels = table(spark, DATA, "labels")
+    (outer, inner, _, limits), limit = quality_rules.train(stats, labels, max_false=max_false)
+    rows = stats.where(~quality_rules.base_failed()).join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id").toPandas()
+    x, y = quality_rules._matrix(rows), rows["quality"].tolist()
+    total = {v: y.count(v) for v in (0, 1)}
+    good = np.sort(x[rows["quality"].to_numpy() == 1], axis=0)
+    # the quantiles as ranks: the smallest value that so large a share of rows does not exceed
+    low, high = (good[max(0, math.ceil(q * len(good)) - 1)] for q in (max_false / 4, 1 - max_false / 4))
+    assert np.allclose(limits, [low - 0.1 * (high - low), high + 0.1 * (high - low)])
+    first = list(zip(quality_rules.isolation(quality_rules.excess(x, limits), outer).tolist(), y))
+    want = plain_threshold(first, total, max_false, 0)
+    kept = [s < want for s, _ in first]
+    gone = sum(v == 1 and math.floor(s * quality_rules.STEPS) >= want * quality_rules.STEPS for s, v in first) if want < math.inf else 0
+    second = [(s, v) for s, v, k in zip(quality_rules.isolation(x, inner).tolist(), y, kept) if k]
+    further = plain_threshold(second, total, max_false, gone)
+    if further == math.inf:
+        further = (max(math.floor(s * quality_rules.STEPS) for s, v in second if v == 1) + 1) / quality_rules.STEPS
+    assert limit == pytest.approx(further if want == math.inf else want)
+    if want < math.inf:
+        model = quality_rules.train(stats, labels, max_false=max_false)
+        assert model[0][2][1] == pytest.approx(want - further)
+    stats.unpersist()
