@@ -70,6 +70,7 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
             return np.array([len(x) for x in ids], np.int64), joined(ids)
 
         return plain
+    model = whole.model  # a word of ASCII letters is one part, which the model takes as it is once it is lower-cased
     number: dict[str, int] = {}  # word -> its entry and, 32 bits below, that of the marks at its end
     entry: dict[str, int] = {}
     state: dict = {}
@@ -85,8 +86,9 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
         for w in words:
             base = w.rstrip(MARKS)
             parts.append((base, w[len(base) :]) if base.isascii() and base[-1:].isalnum() else (w, ""))
-        new = list({x for pair in parts for x in pair}.difference(entry))
-        ids = encode(new)
+        new = {x for pair in parts for x in pair}.difference(entry)
+        plain, others = [x for x in new if x.isascii() and x.isalpha()], [x for x in new if not (x.isascii() and x.isalpha())]
+        ids, new = [[t.id for t in model.tokenize(x.lower())] for x in plain] + encode(others), plain + others
         entry.update(zip(new, range(len(entry), len(entry) + len(new))))
         ends = state["starts"][-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)
         state.update(chars=state["chars"] + sum(map(len, words)), starts=np.concatenate([state["starts"], ends]), ids=np.concatenate([state["ids"], joined(ids)]))
