@@ -35,7 +35,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # fixed values: how the tokenizer parts a text; marks that never join a letter or digit before them
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = ".,;:!?"
-MOST_KNOWN = 20_000_000  # characters of the words whose ids a Python worker remembers
+MOST_KNOWN = 10_000_000  # characters of the words whose ids a Python worker remembers
 
 
 def splits_at_space(path: str) -> bool:
