@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.operators import rules
+from catalogkit.operators import resolve, rules
 from catalogkit.plans.catalog import RECORDS, records
 from catalogkit.plans.registry import query, table
 from catalogkit.sources import files, shared
@@ -32,6 +32,25 @@ def q_source_tables(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", (F.coalesce("n", F.lit(0)) + corrupt).alias("n"), corrupt.alias("corrupt"), "ids", F.coalesce("assets", F.lit(0)).alias("assets"), "sizes")
 
 
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN concat('www.own', o_orderkey % 7, '.com') END own, count(l_orderkey) n,
+  max(CAST(l_quantity AS DOUBLE)) best, min_by(concat('own', l_suppkey % 7, '.com'), (l_linenumber, concat('own', l_suppkey % 7, '.com'))) FILTER (l_linenumber % 3 <> 1) top FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT CAST(o_orderkey AS VARCHAR) brand_id, n results, best, coalesce(own, top) resolved_domain, CASE WHEN own IS NOT NULL THEN 'seed' WHEN top IS NOT NULL THEN 'search' ELSE 'missing' END domain_source,
+CASE WHEN own IS NOT NULL AND top IS NOT NULL THEN replace(own, 'www.', '') = top END domain_matches_existing FROM r""")
+def q_search_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as search responses (their lines as results, some without a domain), written as JSON documents, read again and resolved."""
+    path = shared.shared_path(spark)
+    domain = F.when(F.col("l_linenumber") % 3 == 1, " ").otherwise(F.concat(F.lit("own"), F.col("l_suppkey") % 7, F.lit(".com")))
+    one = F.struct("l_linenumber", domain.alias("domain"), F.col("l_quantity").cast("double").alias("_score"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(one)).alias("results"))  # the few lines of an order
+    found = table(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    files.write_json(found.select(F.col("o_orderkey").cast("string").alias("brand_id"), F.lit(200).alias("http_status"), F.coalesce("results", F.array().cast(lines.schema["results"].dataType)).alias("results")), path)
+    read = files.read_search_responses(spark, path, lines=True)
+    k = F.col("brand_id").cast("long")
+    own = F.when(k % 4 == 0, F.concat(F.lit("www.own"), k % 7, F.lit(".com")))
+    resolved = resolve.resolve_domain(read, own, F.col("results"))
+    return resolved.select("brand_id", F.size("results").cast("long").alias("results"), F.array_max(F.transform("results", lambda r: r["_score"])).alias("best"), "resolved_domain", "domain_source", "domain_matches_existing")
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'said \"no\",' || chr(10) || o_orderstatus END notes FROM orders")
 def q_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Orders written as CSV with quotes and line breaks in a cell, and read again: blank cells are null."""

@@ -35,10 +35,11 @@ def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "error")
     df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def read_json_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A table of JSON records (an array a file, or a document); empty if there is no such path."""
+def read_json_table(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """A table of JSON records (an array a file, or a document; with ``lines`` one each line, which large files can be
+    split at); empty if there is no such path."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -93,8 +94,8 @@ SEARCH_RESPONSE = (
 )
 
 
-def read_search_responses(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_table(spark, path, SEARCH_RESPONSE)
+def read_search_responses(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return read_json_table(spark, path, SEARCH_RESPONSE, lines)
 
 
 def map_records(df: DataFrame, records: str, status: str = "status", accept: str = "matched", score: str = "confidence", least: int = 80) -> DataFrame:
