@@ -169,11 +169,10 @@ def equal_partitions(words: np.ndarray, weight: np.ndarray, least: int, shortest
     return found
 
 
-def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, least: int, lang: str, text: str, chunk: int = CHUNK, hot_share: int = HOT) -> DataFrame:
-    """Phrases of 2 to 4 words with at least ``least`` places: their codes (0 after the last) and ``f``."""
+def phrase_counts(docs: DataFrame, words: DataFrame, total: int, seed: int, least: int, lang: str, text: str, chunk: int = CHUNK, hot_share: int = HOT) -> DataFrame:
+    """Phrases of 2 to 4 words with at least ``least`` places: their codes (0 after the last) and ``f``. ``total``: all words."""
     spark = docs.sparkSession
     small_batches(spark)
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     own = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     coded = docs.select(F.transform(tokens(F.col(text)), lambda w: F.when(w == "\n", BREAK).when(w == "", EMPTY).otherwise(code(own, w, seed))).alias("codes"))
     frequent = spark.sparkContext.broadcast(bit_map(words.where(F.col("n") >= least).select(code(F.col("lang"), F.col("word"), seed).bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("cell")), WORD_BITS))
@@ -212,14 +211,14 @@ def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, least: int, lang
     return routed.groupBy("bucket").applyInArrow(sort, f"{', '.join(f'{c} long' for c in CODES)}, f long")
 
 
-def attached(rows: DataFrame, counts: DataFrame, at: str, columns: list[str], limit: int) -> DataFrame:
-    """``columns`` of the counts of the phrase in struct column ``at``. Counts over ``limit``, so few that they are
-    sent to all tasks, are looked up there; only the others are shuffled, so no phrase is a hot key."""
+def attached(rows: DataFrame, counts: DataFrame, at: str, columns: list[str], limit: int, salts: int = 32) -> DataFrame:
+    """``columns`` of the counts of the phrase in struct column ``at``. Rows that ask for a phrase of more than ``limit`` places, of
+    which there are so few that all tasks know them, are dealt to salts, so that no phrase is a hot key."""
     side = counts.select(F.struct(*CODES).alias("__at"), "f", *columns)
-    often, seldom = F.broadcast(side.where(F.col("f") > limit).drop("f")), side.where(F.col("f") <= limit).drop("f")
-    joined = rows.join(often, F.col(at) == F.col("__at"), "left")
-    here = joined.where(F.col("__at").isNotNull()).drop("__at")
-    return here.unionByName(joined.where(F.col("__at").isNull()).drop("__at", *columns).join(seldom, F.col(at) == F.col("__at")).drop("__at"))
+    often = F.broadcast(side.where(F.col("f") > limit).select(F.col("__at").alias("__often")))
+    salted = rows.join(often, F.col(at) == F.col("__often"), "left").withColumn("__salt", F.when(F.col("__often").isNotNull(), F.pmod(F.xxhash64(*CODES), F.lit(salts)).cast("int")).otherwise(0))
+    spread = side.withColumn("__own", F.explode(F.when(F.col("f") > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("f")
+    return salted.join(spread, (F.col(at) == F.col("__at")) & (F.col("__salt") == F.col("__own"))).drop("__at", "__own", "__salt", "__often")
 
 
 def first_by(df: DataFrame, by: str, k: int, order: list[Column], place=F.row_number, salts: int = 64) -> DataFrame:
@@ -237,7 +236,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
     words = stored(counted_words(docs, lang, text))
     seed = seed_without_collisions(words)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    phrases = stored(phrase_counts(docs, words, seed, least, lang, text, chunk, hot_share))
+    phrases = stored(phrase_counts(docs, words, total, seed, least, lang, text, chunk, hot_share))
     zero = F.lit(0).cast("long")
     named = words.where(F.col("n") >= least).withColumn("c1", code(F.col("lang"), F.col("word"), seed))
     single = named.select("c1", *(zero.alias(c) for c in CODES[1:]), F.col("n").alias("f"), "lang")
@@ -250,10 +249,10 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
 
     size = sum(((F.col(c) != 0).cast("int") for c in CODES[1:]), F.lit(1))
     rows = phrases.withColumn("k", size)
-    cut = F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("cut"), F.lit(k).alias("of"), part(1, i).alias("left"), part(i + 1, k).alias("right")) for k in range(2, DEPTH + 1) for i in range(1, k))), lambda x: x["of"] == F.col("k")))
-    cuts = rows.select(*CODES, F.col("f").alias("a"), cut.alias("x")).select(*CODES, "a", "x.cut", "x.left", "x.right")
-    left = attached(cuts, counts.withColumn("l", F.col("f")), "left", ["l", "lang"], limit)
-    both = attached(left, counts.withColumn("r", F.col("f")), "right", ["r"], limit)
+    sides = F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("cut"), F.lit(k).alias("of"), F.lit(side).alias("left"), p.alias("part")) for k in range(2, DEPTH + 1) for i in range(1, k) for side, p in ((True, part(1, i)), (False, part(i + 1, k))))), lambda x: x["of"] == F.col("k")))
+    asked = rows.select(*CODES, F.col("f").alias("a"), sides.alias("x")).select(*CODES, "a", "x.cut", "x.left", "x.part")
+    told = attached(asked, counts.withColumn("m", F.col("f")), "part", ["m", "lang"], limit)
+    both = told.groupBy(*CODES, "a", "cut").agg(F.max(F.when(F.col("left"), F.col("m"))).alias("l"), F.max(F.when(~F.col("left"), F.col("m"))).alias("r"), F.max("lang").alias("lang"))
     score = F.expr("CAST(a AS DECIMAL(20, 0)) * 2000000 div (l + r)")  # exact beyond 64 bits
     scored = both.withColumn("score", score).groupBy(*CODES, "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("x"), F.max("lang").alias("lang"))
     inner = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("of"), part(i, j).alias("p")) for k in range(3, DEPTH + 1) for i in range(1, k) for j in range(i + 1, k + 1) if j - i + 1 < k)), lambda x: x["of"] == F.col("k")))
