@@ -54,6 +54,18 @@ SITE_ICON = r"(^|/)(favicon|apple-touch-icon|mstile|android-chrome|browserconfig
 PUBLIC_ICON = r"/public/(icon|favicon|apple-touch-icon)\.(svg|png|jpe?g|webp)$"
 SIZE_ICON = r"/(logo|logos|icons?)/(16|24|32|48|64|128|256)\.(svg|png|jpe?g|webp)$"
 SIZE_TITLE = r"^(16|24|32|48|64|128|256)$"
+EXTENSION_FOLDER = "/extensions/"
+# icons of a cloud service, by source
+SERVICE_ICONS = {
+    "gilbarbara": r"/aws-[^/]+\.svg$",
+    "vectorlogozone": r"/amazon_aws[^/]+/amazon_aws[^/]+-icon\.svg$",
+    "thesvg": r"/public/icons/aws[-_][^/]+/",
+}
+# what a source's primary variant looks like; others are left out, with the reason
+PRIMARY_VARIANTS = {
+    "thesvg": (r"/public/icons/[^/]+/(default|color)\.svg$", "thesvg_non_brand_primary_variant"),
+    "vectorlogozone": (r"-icon\.svg$", "vectorlogozone_non_icon_variant"),
+}
 WORDMARK_NAME = r"(?:wordmark|wordmard)(?:\.(svg|png|jpe?g|webp))?$"
 WORDMARK_RATIO, BOUNDS_RATIO, CELL_THRESHOLD, HASH_DISTANCE = 2.2, 2.15, 12, 4
 FAR_APART = (1 << 31) - 1  # distance of hashes that cannot be compared

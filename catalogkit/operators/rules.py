@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def is_wordmark(path: Column, ratio: Column | None = None) -> Column:
 
 def is_service_icon(source: Column, path: Column) -> Column:
     raw = keys.clean_path(path)
-    return ((source == "gilbarbara") & raw.rlike(r"/aws-[^/]+\.svg$")) | ((source == "vectorlogozone") & raw.rlike(r"/amazon_aws[^/]+/amazon_aws[^/]+-icon\.svg$")) | ((source == "thesvg") & raw.rlike(r"/public/icons/aws[-_][^/]+/"))
+    return reduce(Column.__or__, ((source == name) & raw.rlike(pattern) for name, pattern in fixed.SERVICE_ICONS.items()))
 
 
 def is_protected(source: Column, wordmark: Column) -> Column:
@@ -45,10 +47,9 @@ def exclusion_rules(source: Column, path: Column, title: Column, wordmark: Colum
         ("not_popular_quiz_brand", ~F.coalesce(allowed, F.lit(False))),
         ("website_declared_icon_source", source == "website-icons"),
         ("site_internal_icon", raw.rlike(fixed.SITE_ICON)),
-        ("tool_extension_icon", raw.contains("/extensions/")),
+        ("tool_extension_icon", raw.contains(fixed.EXTENSION_FOLDER)),
         ("site_internal_icon", raw.rlike(fixed.PUBLIC_ICON)),
-        ("thesvg_non_brand_primary_variant", (source == "thesvg") & ~raw.rlike(r"/public/icons/[^/]+/(default|color)\.svg$")),
-        ("vectorlogozone_non_icon_variant", (source == "vectorlogozone") & ~raw.rlike(r"-icon\.svg$")),
+        *((reason, (source == name) & ~raw.rlike(pattern)) for name, (pattern, reason) in fixed.PRIMARY_VARIANTS.items()),
         ("generic_size_icon", raw.rlike(fixed.SIZE_ICON) | F.lower(title).rlike(fixed.SIZE_TITLE)),
     ]
 
