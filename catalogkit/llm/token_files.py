@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,10 +32,12 @@ from pyspark.sql.types import StructType
 
 from catalogkit.llm.common import small_batches, small_side
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # fixed values: how the tokenizer parts a text; marks that never join a letter or digit before them
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = ".,;:!?"
+# letters that lower-casing and composition treat one by one
+ACCENTED = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+LETTERS = re.compile(f"[A-Za-z{''.join(ACCENTED)}]+")
 MOST_KNOWN = 10_000_000  # characters of the words whose ids a Python worker remembers
 
 
@@ -50,14 +53,14 @@ def splits_at_space(path: str) -> bool:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+def encoder(path: str) -> Callable[[list[str] | pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function texts -> (number of ids of each text, all ids).
 
     A tokenizer that splits at white space is asked once for each word; marks at the end of a word that ends in
-    an ASCII letter or digit are a part of their own, and are asked apart. A worker forgets the words when they have many
+    a letter or digit are a part of their own, and are asked apart. A worker forgets the words when they have many
     characters in all."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
     whole.no_truncation()
@@ -65,12 +68,13 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     joined = lambda ids: np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
     if not splits_at_space(path):
 
-        def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = encode(texts)
+        def plain(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            ids = encode(texts if isinstance(texts, list) else texts.to_pylist())
             return np.array([len(x) for x in ids], np.int64), joined(ids)
 
         return plain
-    model = whole.model  # a word of ASCII letters is one part, which the model takes as it is once it is lower-cased
+    model = whole.model  # a word of these letters is one part, which the model takes once it is lower-cased and its bytes are characters
+    as_bytes = str.maketrans({c: "".join(x for x, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)) for c in ACCENTED})
     number: dict[str, int] = {}  # word -> its entry and, 32 bits below, that of the marks at its end
     entry: dict[str, int] = {}
     state: dict = {}
@@ -81,33 +85,39 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
         entry[""] = 0
         state.update(chars=0, starts=np.zeros(2, np.int64), ids=np.zeros(0, np.int32))
 
-    def learn(words: set[str]) -> None:
+    def learn(words: list[str]) -> None:
         parts = []
         for w in words:
             base = w.rstrip(MARKS)
-            parts.append((base, w[len(base) :]) if base.isascii() and base[-1:].isalnum() else (w, ""))
-        new = {x for pair in parts for x in pair}.difference(entry)
-        plain, others = [x for x in new if x.isascii() and x.isalpha()], [x for x in new if not (x.isascii() and x.isalpha())]
-        ids, new = [[t.id for t in model.tokenize(x.lower())] for x in plain] + encode(others), plain + others
-        entry.update(zip(new, range(len(entry), len(entry) + len(new))))
-        ends = state["starts"][-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)
+            apart = len(base) < len(w) and (LETTERS.fullmatch(base) or (base.isascii() and base[-1:].isalnum()))
+            parts.append((base, w[len(base) :]) if apart else (w, ""))
+        new = set(chain.from_iterable(parts)).difference(entry)
+        plain = [x for x in new if LETTERS.fullmatch(x)]
+        others = list(new.difference(plain))
+        ids = [[t.id for t in model.tokenize(x.lower() if x.isascii() else x.lower().translate(as_bytes))] for x in plain] + encode(others)
+        entry.update(zip(chain(plain, others), range(len(entry), len(entry) + len(new))))
+        ends = state["starts"][-1] + np.cumsum(list(map(len, ids)), dtype=np.int64)
         state.update(chars=state["chars"] + sum(map(len, words)), starts=np.concatenate([state["starts"], ends]), ids=np.concatenate([state["ids"], joined(ids)]))
         number.update((w, entry[base] << 32 | entry[marks]) for w, (base, marks) in zip(words, parts))
 
-    def by_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def by_words(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not state or state["chars"] > MOST_KNOWN:
             forget()
-        found = [WORD.findall(t.lower() if t.isascii() and "<" not in t else t) for t in texts]
-        if new := set(chain.from_iterable(found)).difference(number):
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        # lower case at once, but for texts that may name a special token
+        low = pc.if_else(pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<"))), pc.ascii_lower(texts), texts)
+        found = pc.ascii_split_whitespace(low)  # may give empty words, which have no ids
+        coded = found.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in words if w not in number]:
             learn(new)
-        lengths = list(map(len, found))
-        both = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, sum(lengths))
+        both = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         at = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1).ravel()
         starts = state["starts"]
         n = starts[at + 1] - starts[at]
         into = np.cumsum(n) - n  # where the ids of each entry go
         ids = state["ids"][np.repeat(starts[at] - into, n) + np.arange(int(n.sum()))]
-        upto = np.concatenate([[0], np.cumsum(n)])[2 * np.cumsum([0, *lengths])]
+        upto = np.concatenate([[0], np.cumsum(n)])[2 * (found.offsets.to_numpy() - found.offsets[0].as_py()).astype(np.int64)]
         return np.diff(upto), ids
 
     return by_words
@@ -137,7 +147,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at = encoder(tokenizer), 0
         for b in batches:
-            n, ids = encode(b.column(1).to_pylist())
+            n, ids = encode(b.column(1))
             ids, n = with_end(n, ids, end), n + 1
             upto = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(ids))

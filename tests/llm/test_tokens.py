@@ -79,6 +79,8 @@ def test_words_give_the_ids_of_whole_texts(prose):
     rng = random.Random(3)
     letters = "aAeEéÉ́ß'sStTdDlL .,;!?\t\n\r\x0b\x0c\x1c\x85\xa0 　腾讯12½Σσς<|endoftext|>🙂"
     texts = [*ODDER, "", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(2_000)), prose(1, 500)]
+    latin = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100), 0x130, 0x131, 0x17F, 0x212A)]
+    texts += [" ".join("".join(rng.choice(latin) for _ in range(rng.randrange(1, 12))) + rng.choice(["", ",", "?!", "'s", "-", "\u0301", "\u0301."]) for _ in range(40)) for _ in range(300)]
     n, ids = encode(texts)
     parts = np.split(ids, np.cumsum(n)[:-1])
     from tokenizers import Tokenizer
