@@ -127,7 +127,7 @@ def q_keyword_class(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey, printf('%.2f MB', o_totalprice * 100 / 1048576.0) megabytes, printf('%.2fs', o_orderkey / 100.0) secs, CAST(floor(o_totalprice / 5000.0 + 0.5) AS BIGINT) pct FROM orders""")
 def q_format_metrics(spark: SparkSession, d: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return table(spark, d, "orders").select("o_orderkey", keys.megabytes(price * 100).alias("megabytes"), keys.seconds(F.col("o_orderkey") * 10).alias("secs"), keys.half_up(price / 5000.0).alias("pct"))
+    return table(spark, d, "orders").select("o_orderkey", keys.megabytes(price * 100).alias("megabytes"), keys.seconds(F.col("o_orderkey"), 100.0).alias("secs"), keys.half_up(price / 5000.0).alias("pct"))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') escaped FROM pages""")

@@ -81,6 +81,15 @@ def test_half_up_and_html(spark):
     assert one(spark, keys.html_escaped(F.col("a")), a='<a href="x">&') == "&lt;a href=&quot;x&quot;&gt;&amp;"
 
 
+def test_two_places_as_printf(spark):
+    values = [0.125, 0.375, 0.625, 1310.72 * 100 / 1048576, 1.005, 2.675, 0.285, 0.0, -0.0, -0.001, -0.125, 45035996273704.96, 90071992547409.92, 1e15 + 0.125, 1e15 + 0.375, 89e15, float("nan"), float("inf"), float("-inf"), 1e17]
+    values += [n / 1000 for n in range(0, 30_000, 7)] + [n / 8 for n in range(-99, 99)] + [n * 1.37e9 / 1048576 for n in range(3_000)]
+    got = spark.createDataFrame(list(enumerate(values)) + [(-1, None)], "i long, v double").select("i", keys.two_places(F.col("v"))).collect()
+    assert [r[1] for r in sorted(got)] == [None] + ["%.2f" % v for v in values]
+    assert one(spark, keys.megabytes(F.col("a").cast("double") * 100), a="1310.72") == "0.12 MB"  # an exact tie
+    assert one(spark, keys.seconds(F.col("a").cast("long")), a="125") == "0.12s" and one(spark, keys.seconds(F.col("a").cast("long"), 100.0), a="125") == "1.25s"
+
+
 def test_looks_generated(spark):
     for entity, shown, want in (("x", "", True), ("bigcompany", "bigcompany", True), ("abc", "Abcdefghij", True), ("a", "腾讯", False), ("ab", "Two Words", False)):
         assert one(spark, keys.looks_generated(F.col("e"), F.lit(""), F.col("d")), e=entity, d=shown) is want
