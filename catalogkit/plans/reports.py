@@ -87,7 +87,7 @@ def q_group_ready(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT l_partkey, count(*) n, bool_or(l_returnflag = 'R') ok FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey), j AS (SELECT p_partkey, p_brand, n, ok FROM part LEFT JOIN c ON p_partkey = l_partkey)
-SELECT p_brand, count(*) total, count(n) covered, count(*) FILTER (ok) approved, count(*) FILTER (n IS NULL) missing_count, array_to_string((coalesce(list(p_partkey ORDER BY p_partkey) FILTER (n IS NULL), []))[1:300], ',') missing, floor(count(n) / count(*) * 1000 + 0.5) / 1000 ratio, count(*) FILTER (ok) >= 4 playable FROM j GROUP BY p_brand""")
+SELECT p_brand, count(*) total, count(n) covered, count(*) FILTER (ok) approved, count(*) FILTER (n IS NULL) missing_count, coalesce(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FILTER (n IS NULL), '') missing, floor(count(n) / count(*) * 1000 + 0.5) / 1000 ratio, count(*) FILTER (ok) >= 4 playable FROM j GROUP BY p_brand""")
 def q_group_coverage(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").where("l_quantity > 45").withColumnRenamed("l_partkey", "p_partkey")
     out = analytics.coverage(table(spark, d, "part"), lines, "p_partkey", "p_brand", F.col("l_returnflag") == "R")

@@ -326,3 +326,11 @@ def test_images_of_all_options_are_checked(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, type string, answer string, options array<string>")
     checks = dict(itembank.item_checks(F.lit(True), F.lit("x"), itembank.item_images(lambda o: F.concat(F.lit("https://x/"), o, F.when(o == "bad", ".png").otherwise(".jpg"))), "https://x/"))
     assert {r.i: r.ok for r in df.select("i", checks["invalid_url"].alias("ok")).collect()} == {0: True, 1: False, 2: False, 3: True, 4: False}
+
+
+def test_coverage_lists_all_that_are_missing(spark):
+    entities = spark.createDataFrame([(i, "g" if i < 700 else "h") for i in range(704)], "e long, g string")
+    candidates = spark.createDataFrame([(i, True) for i in range(700, 704)] + [(699, False)], "e long, ok boolean")
+    got = {r.g: r for r in analytics.coverage(entities, candidates, "e", "g", F.col("ok")).collect()}
+    assert got["g"].missing == list(range(699)) and (got["g"].missing_count, got["g"].covered, got["g"].approved) == (699, 1, 0)
+    assert got["h"].missing == [] and (got["h"].missing_count, got["h"].ratio, got["h"].playable) == (0, 1.0, True)
