@@ -149,7 +149,7 @@ def q_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views"))
 
 
-@query("SELECT c_custkey, count(o_orderkey) candidates, count(*) FILTER (o_orderstatus = 'P') error_count, array_to_string((coalesce(list(concat('order ', o_orderkey) ORDER BY concat('order ', o_orderkey)) FILTER (o_orderstatus = 'P'), []))[1:300], '; ') errors FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, count(o_orderkey) candidates, count(*) FILTER (o_orderstatus = 'P') error_count, coalesce(string_agg(concat('order ', o_orderkey), '; ' ORDER BY concat('order ', o_orderkey)) FILTER (o_orderstatus = 'P'), '') errors FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def q_collect_report(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
     failed = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("order "), "o_orderkey"))

@@ -334,3 +334,10 @@ def test_coverage_lists_all_that_are_missing(spark):
     got = {r.g: r for r in analytics.coverage(entities, candidates, "e", "g", F.col("ok")).collect()}
     assert got["g"].missing == list(range(699)) and (got["g"].missing_count, got["g"].covered, got["g"].approved) == (699, 1, 0)
     assert got["h"].missing == [] and (got["h"].missing_count, got["h"].ratio, got["h"].playable) == (0, 1.0, True)
+
+
+def test_collection_report_lists_all_errors(spark):
+    entities = spark.createDataFrame([(1,), (2,), (3,)], "e long")
+    candidates = spark.createDataFrame([(1, f"error {i:03}") for i in range(450)] + [(2, None)], "e long, failed string")
+    got = {r.e: tuple(r)[1:] for r in analytics.collection_report(entities, candidates, "e", F.col("failed")).collect()}
+    assert got == {1: (450, 450, [f"error {i:03}" for i in range(450)]), 2: (1, 0, []), 3: (0, 0, [])}
