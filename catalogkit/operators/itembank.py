@@ -72,19 +72,21 @@ def distractors(entities: DataFrame, entity: str, tiers: tuple[str | None, ...],
     next ``need`` after it: that is enough, as a later tier must replace at most those
     already taken. Positions are found by ranges of the hash (its first ``digits`` hexadecimal ones), so that a
     tier of all entities is not sorted as one group; at most ``need`` rows a tier come for each entity. All
-    tiers go through one plan, each entity once for each."""
+    tiers go through one plan, each entity once for each.
+
+    The joins are hinted: Spark would take the size of a small file for that of the ring and broadcast it whole."""
     groups = F.array(*(F.struct(F.lit(no).alias("tier"), (F.col(by).cast("string") if by else F.lit("")).alias("g")) for no, by in enumerate(tiers)))
     ring = entities.select(F.col(entity), hash_order(seed, F.col(entity)).alias("h"), F.explode(groups).alias("x")).select(entity, "h", "x.tier", "x.g").where("g is not null")
     ring = ring.withColumn("b", F.substring("h", 1, digits))
     sizes = ring.groupBy("tier", "g", "b").agg(F.count(F.lit(1)).alias("m"))
     whole = W.partitionBy("tier", "g")
     before = sizes.select("tier", "g", "b", (F.sum("m").over(whole.orderBy("b")) - F.col("m")).alias("before"), F.sum("m").over(whole).alias("n"))
-    ring = ring.withColumn("r", F.row_number().over(W.partitionBy("tier", "g", "b").orderBy("h")) - 1).join(before, ["tier", "g", "b"])
+    ring = ring.withColumn("r", F.row_number().over(W.partitionBy("tier", "g", "b").orderBy("h")) - 1).join(before.hint("merge"), ["tier", "g", "b"])
     ring = ring.select(entity, "tier", "g", "n", (F.col("before") + F.col("r")).alias("r"))
     asked = ring.where("n > 1").select(F.col(entity).alias("answer"), "tier", "g", F.explode(F.sequence(F.lit(1), F.least(F.lit(need), F.col("n").cast("int") - 1))).alias("d"), "r", "n")
     asked = asked.select("answer", "tier", "g", "d", ((F.col("r") + F.col("d")) % F.col("n")).alias("r"))
-    found = asked.join(ring.select("tier", "g", "r", F.col(entity).alias("option")), ["tier", "g", "r"]).select("answer", "option", "tier", "d")
-    first = found.groupBy("answer", "option").agg(F.min(F.struct("tier", "d")).alias("at")).select("answer", "option", "at.tier", "at.d")
+    found = asked.join(ring.select("tier", "g", "r", F.col(entity).alias("option")).hint("merge"), ["tier", "g", "r"]).select("answer", "option", (F.col("tier") * (need + 1) + F.col("d")).alias("at"))
+    first = found.groupBy("answer", "option").agg(F.min("at").alias("at")).select("answer", "option", F.floor(F.col("at") / (need + 1)).cast("int").alias("tier"), (F.col("at") % (need + 1)).alias("d"))
     return first.withColumn("pick", F.row_number().over(W.partitionBy("answer").orderBy("tier", "d"))).where(F.col("pick") <= need)
 
 
@@ -92,7 +94,7 @@ def item_bank(entities: DataFrame, entity: str, group: str, category: str, types
     """Two items for each entity with four options: ``item_id``, type, answer, options in a
     seeded order, group and category."""
     chosen = distractors(entities, entity, (group, category, None), seed=seed).groupBy("answer").agg(F.collect_list("option").alias("others"))
-    full = entities.join(chosen.where(F.size("others") == fixed.OPTION_COUNT - 1), F.col(entity) == F.col("answer"))
+    full = entities.join(chosen.where(F.size("others") == fixed.OPTION_COUNT - 1).hint("merge"), F.col(entity) == F.col("answer"))
     options = F.transform(F.array_sort(F.transform(F.concat(F.array(F.col(entity)), "others"), lambda o: F.named_struct(F.lit("h"), hash_order(F.col(entity).cast("string"), o), F.lit("option"), o))), lambda x: x["option"])
     kinds = F.explode(F.array(*map(F.lit, types))).alias("type")
     return full.select(F.col(entity).alias("answer"), kinds, options.alias("options"), F.col(group).alias("item_group"), F.col(category).alias("category")).withColumn("item_id", F.concat_ws("_", "type", F.col("answer").cast("string")))
@@ -132,7 +134,7 @@ def mixed_pick(items: DataFrame, n: int, seed: str, first: str, second: str, ent
 def with_names(items: DataFrame, entities: DataFrame, entity: str, name: str) -> DataFrame:
     """Items with their options as (position, letter, id, name, correct), by one join."""
     placed = items.select("item_id", "answer", F.posexplode("options").alias("pos", "option"))
-    named = placed.join(entities.select(F.col(entity).alias("option"), F.col(name).alias("option_name")), "option", "left")
+    named = placed.join(entities.select(F.col(entity).alias("option"), F.col(name).alias("option_name")).hint("merge"), "option", "left")
     letter = F.chr(F.lit(65) + F.col("pos"))
     one = F.struct("pos", letter.alias("letter"), "option", "option_name", (F.col("option") == F.col("answer")).alias("correct"))
     return named.groupBy("item_id", "answer").agg(F.array_sort(F.collect_list(one)).alias("options"))

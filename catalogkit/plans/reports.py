@@ -240,7 +240,7 @@ e AS (SELECT item_id, unnest([CASE WHEN ty NOT IN ('logo_to_brand', 'brand_to_lo
 def q_validate_items(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("answer")
     part = table(spark, d, "part").select(F.col("p_partkey").alias("pk"), "p_name", "p_size")
-    items = bank(spark, d).join(part, k == F.col("pk")).withColumn("type", F.when(k % 17 == 0, "quiz").otherwise(F.col("type")))
+    items = bank(spark, d).join(part.hint("merge"), k == F.col("pk")).withColumn("type", F.when(k % 17 == 0, "quiz").otherwise(F.col("type")))
     three = F.slice("options", 1, 3)
     items = items.withColumn("options", F.when(k % 7 == 0, three).when(k % 11 == 0, F.concat(three, F.slice("options", 1, 1))).otherwise(F.col("options")))
     image = lambda o: F.concat(F.lit("https://assets.example.com/logos/"), o.cast("string"), F.when(o % 9 == 0, ".png").otherwise(".jpg"))

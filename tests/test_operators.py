@@ -341,3 +341,11 @@ def test_collection_report_lists_all_errors(spark):
     candidates = spark.createDataFrame([(1, f"error {i:03}") for i in range(450)] + [(2, None)], "e long, failed string")
     got = {r.e: tuple(r)[1:] for r in analytics.collection_report(entities, candidates, "e", F.col("failed")).collect()}
     assert got == {1: (450, 450, [f"error {i:03}" for i in range(450)]), 2: (1, 0, []), 3: (0, 0, [])}
+
+
+def test_item_bank_broadcasts_no_table_that_grows(spark):
+    entities = spark.createDataFrame([(i, f"g{i % 3}", f"c{i % 2}", f"name {i}") for i in range(40)], "e long, g string, c string, name string")
+    items = itembank.item_bank(entities, "e", "g", "c")
+    for df in (items, itembank.with_names(items, entities, "e", "name")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert items.count() == 80 and items.where(F.size(F.array_distinct("options")) != 4).count() == 0
