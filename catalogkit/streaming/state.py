@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 from catalogkit.sources import shared
@@ -105,68 +105,55 @@ def upsert_latest_into(path: str, key: str, at: str, buckets: int = 64) -> Calla
     return merge
 
 
-class Attempts(StatefulProcessor):
-    """Attempts at each key until one succeeds: see ``collect_with_retries``."""
+def attempts_of(wait_ms: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    """Attempts at the keys of a bucket until one succeeds, for ``applyInPandasWithState``: see ``collect_with_retries``. Rows have
+    ``key`` (text), ``number``, ``us`` (their time in microseconds) and ``ok``; times go out in milliseconds."""
 
-    def __init__(self, key: str, number: str, at: str, succeeded: str, wait_ms: int) -> None:
-        self.key, self.number, self.at, self.succeeded, self.wait = key, number, at, succeeded, wait_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("attempts", "done boolean, attempts long, due long")
-
-    def rows(self, key: tuple, made: list[tuple]) -> pd.DataFrame:
-        found = pd.DataFrame(made, columns=[self.number, "at", "attempt", "action"])
-        found.insert(0, self.key, key[0])
-        return found.astype({self.number: "Int64"}).assign(at=pd.to_datetime(found["at"], unit="ms"))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done, attempts, due = self.state.get() if self.state.exists() else (False, 0, None)
-        if done:
-            for _ in rows:
-                pass
-            return
-        came = pd.concat([b[[self.at, self.number, self.succeeded]] for b in rows]).sort_values([self.at, self.number])
-        made = []
-        at_ms = came[self.at].to_numpy("datetime64[ms]").astype("int64")
-        for at, number, ok in zip(at_ms.tolist(), came[self.number], came[self.succeeded]):
-            if due is not None and due <= at:
-                made.append((None, due, attempts, "due"))
-            attempts += 1
-            made.append((number, at, attempts, "first" if attempts == 1 else "again"))
-            done, due = bool(ok), None if ok else at + self.wait
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (done, attempts, due) for k, done, attempts, due in json.loads(state.get[0])} if state.exists else {}
+        new = (False, 0, None)
+        came = [row for b in frames for row in zip(b["us"].tolist(), b["number"].tolist(), b["key"].tolist(), b["ok"].tolist()) if not held.get(row[2], new)[0]] if not state.hasTimedOut else []
+        rows = []
+        for us, number, k, ok in sorted(came, key=lambda r: r[:2]):
+            done, attempts, due = held.get(k, new)
             if done:
-                break
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if due is not None:
-            self.handle.registerTimer(due)
-        self.state.update((done, attempts, due))
-        yield self.rows(key, made)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done, attempts, due = self.state.get()
-        if due is not None:
-            self.state.update((done, attempts, None))
-            yield self.rows(key, [(None, due, attempts, "due")])
-
-    def close(self) -> None:
-        pass
-
-
-def collect_with_retries(requests: DataFrame, key: str, number: str, at: str, succeeded: str, wait: int, late: str = "1 hour") -> DataFrame:
+                continue
+            at = us // 1000
+            if due is not None and due <= at:
+                rows.append((k, None, due, attempts, "due"))
+            rows.append((k, number, at, attempts + 1, "again" if attempts else "first"))
+            held[k] = (bool(ok), attempts + 1, None if ok else at + wait_ms)
+        now = state.getCurrentWatermarkMs()
+        for k, (done, attempts, due) in held.items():
+            if due is not None and due <= now:
+                rows.append((k, None, due, attempts, "due"))
+                held[k] = (done, attempts, None)
+        state.update((json.dumps([(k, *v) for k, v in held.items()]),))
+        if waiting := [due for _, _, due in held.values() if due is not None]:
+            state.setTimeoutTimestamp(max(min(waiting) - 1, 1))  # comes once the watermark is beyond it
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "number", "at", "attempt", "action"]).astype({"number": "Int64"})
+
+    return step
+
+
+def collect_with_retries(requests: DataFrame, key: str, number: str, at: str, succeeded: str, wait: int, late: str = "1 hour", buckets: int = 1_024) -> DataFrame:
     """What a resumable collector does with a stream of requests (``succeeded``: how the attempt would end): rows of
     ``key``, request ``number``, ``at`` (to the millisecond), ``attempt``, ``action``.
 
     A key's first request is tried (``first``); after an error the next one is tried again (``again``), after
     a success none is. If no request comes within ``wait`` seconds after an error, a timer of event time tells
     that the key is ``due`` (with no number). State and timers live in the checkpoint, so that a stopped stream goes
-    on where it was. Of rows beyond the watermark (``late``) nothing is promised."""
-    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # what keyed state with timers needs
+    on where it was. Of rows beyond the watermark (``late``) nothing is promised.
+
+    Keys are dealt to ``buckets`` by hash, which have one state and one timer (the first that is due) for all their keys: a call
+    into Python takes milliseconds, so there is none for each key. A stream keeps the number of its buckets."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state on disk, not on the heap
     types = requests.schema
-    schema = StructType([types[key], types[number]]).add("at", "timestamp").add("attempt", "long").add("action", "string")
-    slim = requests.select(key, number, at, succeeded).withWatermark(at, late)
-    return slim.groupBy(key).transformWithStateInPandas(Attempts(key, number, at, succeeded, 1000 * wait), schema, "append", "EventTime")
+    schema = StructType().add("key", "string").add("number", types[number].dataType).add("at", "long").add("attempt", "long").add("action", "string")
+    slim = requests.withWatermark(at, late).select(F.col(at).alias("at"), F.col(key).cast("string").alias("key"), F.col(number).alias("number"), F.unix_micros(at).alias("us"), F.col(succeeded).alias("ok"), bucket_of(key, buckets).alias("bucket"))
+    made = slim.groupBy("bucket").applyInPandasWithState(attempts_of(1000 * wait), schema, "held string", "append", "EventTimeTimeout")
+    return made.select(F.col("key").cast(types[key].dataType).alias(key), F.col("number").alias(number), F.timestamp_millis("at").alias("at"), "attempt", "action")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -88,6 +88,19 @@ def test_collection_goes_on_after_stops(spark, tmp_path):
     assert sorted(got, key=str) == brute_retries(requests, 1_500, max(r[2] for r in requests))
 
 
+def test_collection_of_many_keys(spark, tmp_path):
+    """Ties of time and timers, null keys, and timers that end just at the watermark."""
+    requests = [(k, 10 * k + n, s, ok) for k in range(400) for n, s, ok in ((0, 100 + k % 5, False), (1, 100 + k % 5, k % 7 == 0), (2, 1_600 + k % 5, k % 3 == 0), (3, 3_000 + k, False))] + [(None, 9_999, 50, False), (401, 9_998, 5_000, False)]
+    requests = [r for r in requests if r[2] != 3_399] + [(402, 9_997, 3_500, False)]
+    df = spark.createDataFrame(requests, "k long, n long, s long, ok boolean").select("k", "n", F.timestamp_seconds("s").alias("at"), "ok")
+    for stream in state.arrivals(df, (F.unix_seconds("at") >= 1_500).cast("int"), 2, str(tmp_path / "in")):
+        collected = state.collect_with_retries(stream, "k", "n", "at", "ok", 1_500, "0 seconds")
+        assert "TransformWithState" not in collected._jdf.queryExecution().analyzed().toString()  # which calls the worker for each key, many times
+        found = state.append_to(collected, str(tmp_path / "out"), str(tmp_path / "c"))
+    got = [(r.k, r.n, r.s, r.attempt, r.action) for r in found.select("k", "n", F.unix_seconds("at").alias("s"), "attempt", "action").collect()]
+    assert sorted(got, key=str) == brute_retries(requests, 1_500, 5_000)
+
+
 def test_sessions_of_late_answers(spark, tmp_path):
     rows = [(1, 0, "a", 0), (1, 600, "b", 1), (1, 300, "a", 1), (2, 50_000, "a", 1), (1, 10, "late", 2), (1, 49_000, "c", 2), (2, 200_000, "z", 3)]
     df = spark.createDataFrame(rows, "u long, s long, g string, part int").select("u", F.timestamp_seconds("s").alias("ts"), "g", "part", F.lit(True).alias("ok"))
