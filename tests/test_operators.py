@@ -349,3 +349,14 @@ def test_item_bank_broadcasts_no_table_that_grows(spark):
     for df in (items, itembank.with_names(items, entities, "e", "name")):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert items.count() == 80 and items.where(F.size(F.array_distinct("options")) != 4).count() == 0
+
+
+def test_matches_of_large_entities_are_ranked_in_ranges(spark):
+    e = spark.createDataFrame([("e",), ("w",)], "entity_id string")
+    r = spark.createDataFrame([(i, "e" if i % 10 else "w", i % 10 == 0 or i % 3 == 0, ("light", "default", "alt")[i % 3]) for i in range(500)], "record_id long, name string, wordmark boolean, variant string")
+    found = resolve.rule_match(e, r, [("name", "high", F.col("entity_id"), F.col("name"))])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    ranked = resolve.rank_matches(found.join(r.drop("name"), "record_id"), kept)
+    order = {k: sorted((x for x in r.collect() if x.name == k), key=lambda x: ({"default": 0, "light": 1}.get(x.variant, 10) + 100 * x.wordmark, x.record_id)) for k in "ew"}
+    want = {(k, x.record_id): (n, k == "e" and n == 1, "" if k == "e" else "only_wordmark_candidate") for k, rows in order.items() for n, x in enumerate(rows, 1)}
+    assert {(x.entity_id, x.record_id): (x["rank"], x.recommended, x.note) for x in ranked.collect()} == want
