@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import pytest
 
@@ -42,3 +43,12 @@ def test_query(spark, duck, name):
         assert sorted(columns) == names
         at = [columns.index(c) for c in names]
         assert got == sorted(str(tuple(plain(row[i]) for i in at)) for row in r.fetchall())
+
+
+@pytest.mark.parametrize("name", ["q_error_report"])
+def test_item_queries_send_picks_and_totals_only(spark, name):
+    if not os.path.isdir(DATA):
+        pytest.skip("no driver tables")
+    plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    sent = {re.search(r"TakeOrderedAndProject|HashAggregate\(keys=\[\]|Join|Scan", p)[0] for p in plan.split("BroadcastExchange")[1:]}
+    assert not sent & {"Join", "Scan"}  # nothing that grows with the parts
