@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
         assert got == sorted(str(tuple(plain(row[i]) for i in at)) for row in r.fetchall())
 
 
-@pytest.mark.parametrize("name", ["q_error_report", "q_item_bank", "q_item_denorm", "q_item_risk", "q_mixed_pick", "q_sample_items", "q_valid_items", "q_balanced_pick"])
+@pytest.mark.parametrize("name", ["q_error_report", "q_item_bank", "q_item_denorm", "q_item_risk", "q_mixed_pick", "q_sample_items", "q_valid_items", "q_balanced_pick", "q_type_label"])
 def test_item_queries_send_picks_and_totals_only(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no driver tables")
